@@ -84,17 +84,41 @@ def lex(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def _is_digit(ch: Column) -> Column:
+    return (ch >= F.lit("0")) & (ch <= F.lit("9"))
+
+
+def _is_ident_start(ch: Column) -> Column:
+    return ((ch >= F.lit("a")) & (ch <= F.lit("z"))) | ((ch >= F.lit("A")) & (ch <= F.lit("Z"))) | (ch == F.lit("_"))
+
+
+def _number_class(tok: Column) -> Column:
+    """For a token that starts with a digit: hex -> integer, '.'/exponent -> floating."""
+    return (F.when(F.lower(F.substring(tok, 1, 2)) == F.lit("0x"), F.lit("integer"))
+            .when((F.instr(tok, ".") > 0) | (F.instr(tok, "e") > 0) | (F.instr(tok, "E") > 0), F.lit("floating"))
+            .otherwise(F.lit("integer")))
+
+
 def token_class(tok: Column, keywords=CPP_KEYWORDS) -> Column:
-    expr = None
-    for cls, pat in TOKEN_RULES:
-        cond = tok.rlike(f"^(?:{pat})$")
-        if cls == "identifier":
-            kw = F.array(*[F.lit(k) for k in keywords])
-            val = F.when(F.array_contains(kw, tok), F.lit("keyword")).otherwise(F.lit("identifier"))
-        else:
-            val = F.lit(cls)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr
+    """Class of a token emitted by ``lex``.  Every token matches exactly the
+    alternative that produced it, and the alternatives are told apart by their
+    first one or two characters, so no regular expression is needed here (the
+    SQL oracle classifies with the anchored patterns and must agree)."""
+    f = F.substring(tok, 1, 1)
+    kw = F.array(*[F.lit(k) for k in keywords])
+    return (F.when(f == "#", F.lit("preprocessor"))
+            .when(tok.startswith("//"), F.lit("lc"))
+            .when(tok.startswith("/*"), F.lit("c"))
+            .when(f == '"', F.lit("string"))
+            .when(f == "'", F.lit("char"))
+            .when(_is_digit(f), _number_class(tok))
+            .when((f == ".") & _is_digit(F.substring(tok, 2, 1)), F.lit("floating"))
+            .when(_is_ident_start(f), F.when(F.array_contains(kw, tok), F.lit("keyword"))
+                  .otherwise(F.lit("identifier")))
+            .when(tok == " ", F.lit("s"))
+            .when(tok == "\t", F.lit("t"))
+            .when(tok == "\n", F.lit("newline"))
+            .otherwise(F.lit("operator")))
 
 
 def lex_source(text, keywords=CPP_KEYWORDS) -> Column:
@@ -103,41 +127,67 @@ def lex_source(text, keywords=CPP_KEYWORDS) -> Column:
 
 
 def spell(tok: Column) -> Column:
-    """Identifier spelled character by character (unknown characters -> 0)."""
-    alpha = F.array(*[F.lit(ch) for ch in ALPHABET])
-    return F.transform(F.split(tok, ""), lambda ch: F.when(
-        F.array_position(alpha, ch) > 0, (F.array_position(alpha, ch) + ALPHABET_BASE - 1).cast("int"))
-        .otherwise(F.lit(0)))
+    """Identifier spelled character by character: '_' 13, a-z 14-39, A-Z 40-65,
+    0-9 66-75 (the alphabet order), by code-point arithmetic."""
+    def one(ch):
+        c = F.ascii(ch)
+        return (F.when(c == 95, F.lit(ALPHABET_BASE))
+                .when(c >= 97, c - 97 + ALPHABET_BASE + 1)
+                .when(c >= 65, c - 65 + ALPHABET_BASE + 27)
+                .otherwise(c - 48 + ALPHABET_BASE + 53)).cast("int")
+    return F.transform(F.split(tok, ""), one)
+
 
+def _lit_map(pairs) -> Column:
+    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(int(v)))])
 
-def encode_tokens(tokens, reserved: list[str] | None = None, keywords=CPP_KEYWORDS,
+
+def encode_tokens(text, reserved: list[str] | None = None, keywords=CPP_KEYWORDS,
                   keyword_base: int = KEYWORD_BASE, spell_reserved_too: bool = False) -> Column:
-    """Ids for an array<struct<class, token>>.
+    """X9 + X10: lexer-token ids of a whole text, in one projection.
 
     Class ids 3–12, operators from 76, keywords from ``keyword_base`` (default
     disjoint 130; the reference's 67 overlaps alphabet/operator ids), reserved
-    identifiers (``K1``'s list) after the keywords, other identifiers spelled.
+    identifiers (K1's list) after the keywords, other identifiers spelled.
     ``spell_reserved_too`` reproduces the reference emitting both.
     """
     reserved = reserved or []
     reserved_base = keyword_base + len(keywords)
-    ops = F.array(*[F.lit(o) for o in OPERATORS])
-    kws = F.array(*[F.lit(k) for k in keywords])
-    res = F.array(*[F.lit(r) for r in reserved]) if reserved else F.array().cast("array<string>")
-    class_map = F.create_map(*[x for k, v in CLASS_IDS.items() for x in (F.lit(k), F.lit(v))])
-
-    def one(t: Column) -> Column:
-        cls, tok = t["class"], t["token"]
-        rpos = F.array_position(res, tok)
-        ident = F.when(rpos > 0, F.concat(F.array((rpos + reserved_base - 1).cast("int")),
-                                          spell(tok) if spell_reserved_too else F.array().cast("array<int>"))
-                       ).otherwise(spell(tok))
-        return (F.when(cls == "operator", F.array((F.array_position(ops, tok) + OPERATOR_BASE - 1).cast("int")))
-                .when(cls == "keyword", F.array((F.array_position(kws, tok) + keyword_base - 1).cast("int")))
-                .when(cls == "identifier", ident)
-                .otherwise(F.array(class_map[cls].cast("int"))))
-
-    return F.flatten(F.transform(_c(tokens), one))
+    words = _lit_map([(k, keyword_base + i) for i, k in enumerate(keywords)]
+                     + [(r, reserved_base + i) for i, r in enumerate(reserved) if r not in keywords])
+    ops = _lit_map([(o, OPERATOR_BASE + i) for i, o in enumerate(OPERATORS)])
+    num = {"integer": CLASS_IDS["integer"], "floating": CLASS_IDS["floating"]}
+
+    def one(tok: Column) -> Column:
+        f = F.substring(tok, 1, 1)
+        hit = F.map_contains_key(words, tok)
+        word_id = F.array(F.element_at(words, tok))
+        if spell_reserved_too:
+            ident = F.when(hit & F.array_contains(F.array(*[F.lit(k) for k in keywords]), tok), word_id) \
+                .when(hit, F.concat(word_id, spell(tok))).otherwise(spell(tok))
+        else:
+            ident = F.when(hit, word_id).otherwise(spell(tok))
+        number = F.when(_number_class(tok) == "floating", F.lit(num["floating"])).otherwise(F.lit(num["integer"]))
+        return (F.when(f == "#", F.array(F.lit(CLASS_IDS["preprocessor"])))
+                .when(tok.startswith("//"), F.array(F.lit(CLASS_IDS["lc"])))
+                .when(tok.startswith("/*"), F.array(F.lit(CLASS_IDS["c"])))
+                .when(f == '"', F.array(F.lit(CLASS_IDS["string"])))
+                .when(f == "'", F.array(F.lit(CLASS_IDS["char"])))
+                .when(_is_digit(f), F.array(number))
+                .when((f == ".") & _is_digit(F.substring(tok, 2, 1)), F.array(F.lit(CLASS_IDS["floating"])))
+                .when(_is_ident_start(f), ident)
+                .when(tok == " ", F.array(F.lit(CLASS_IDS["s"])))
+                .when(tok == "\t", F.array(F.lit(CLASS_IDS["t"])))
+                .when(tok == "\n", F.array(F.lit(CLASS_IDS["newline"])))
+                .otherwise(F.array(F.element_at(ops, tok))))
+
+    return F.flatten(F.transform(lex(text), one))
+
+
+def identifiers(text, keywords=CPP_KEYWORDS) -> Column:
+    """Identifier tokens (keywords excluded) of a whole text."""
+    kw = F.array(*[F.lit(k) for k in keywords])
+    return F.filter(lex(text), lambda t: _is_ident_start(F.substring(t, 1, 1)) & ~F.array_contains(kw, t))
 
 
 def vocabulary_size(encoding: str, n_reserved: int = 0, keywords=CPP_KEYWORDS,

@@ -37,12 +37,17 @@ def chars(text) -> Column:
 
 
 def char_encode(text, order: str = "file") -> Column:
-    """[start, ids..., end] with ids from the fixed table, unknown -> 98."""
-    table = F.array(*[F.lit(ch) for ch in CHAR_TABLE])
+    """[start, ids..., end] with ids from the fixed table, unknown -> 98.
+
+    All table characters are ASCII, so the id is an O(1) index into a
+    128-entry array by code point (no search per character)."""
+    lut = [None] * 128
+    for i, ch in enumerate(CHAR_TABLE):
+        lut[ord(ch)] = i + 2
+    lut_col = F.array(*[F.lit(v).cast("int") for v in lut])
     start, end = (1, 0) if order == "file" else (0, 1)
-    ids = F.transform(chars(text), lambda ch: F.when(F.array_position(table, ch) > 0,
-                                                     (F.array_position(table, ch) + 1).cast("int"))
-                      .otherwise(F.lit(CHAR_OOV)))
+    ids = F.transform(chars(text), lambda ch: F.coalesce(
+        F.try_element_at(lut_col, F.ascii(ch) + 1), F.lit(CHAR_OOV)))
     return F.concat(F.array(F.lit(start)), ids, F.array(F.lit(end)))
 
 

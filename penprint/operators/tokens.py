@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.functions.lexer import ALPHABET, CPP_KEYWORDS, lex_source
+from penprint.functions.lexer import ALPHABET, CPP_KEYWORDS, identifiers, lex, token_class
 from penprint.operators.ranking import bucketed_ordinal, first_k
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keywords=CPP_KEYWORDS) -> DataFrame:
-    """X9 as rows: (id, pos, class, token) — position explicit, since rows are unordered."""
-    t = docs.select(id_col, F.posexplode(lex_source(text, keywords)).alias("pos", "t"))
-    return t.select(id_col, "pos", F.col("t.class").alias("class"), F.col("t.token").alias("token"))
+    """X9 as rows: (id, pos, class, token) — position explicit, since rows are
+    unordered.  The class is computed after the explode, as a plain (codegen)
+    expression."""
+    t = docs.select(id_col, F.posexplode(lex(text)).alias("pos", "token"))
+    return t.select(id_col, "pos", token_class(F.col("token"), keywords).alias("class"), "token")
 
 
 def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_col: str = "doc_id",
@@ -25,8 +27,10 @@ def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_c
     (document, position) order, as the reference does with 1/3.  The count is
     a partial aggregate; only n + 100 rows are ever ordered (TakeOrderedAndProject).
     """
-    rows = token_rows(docs, id_col, text, keywords).where(F.col("class") == "identifier")
-    if fraction is not None:
+    if fraction is None:
+        rows = docs.select(F.explode(identifiers(text, keywords)).alias("token"))
+    else:
+        rows = token_rows(docs, id_col, text, keywords).where(F.col("class") == "identifier")
         total = rows.count()
         rows = bucketed_ordinal(rows, [], [id_col], [F.col("pos")], out="_o").where(
             F.col("_o") < int(total * fraction))

@@ -10,15 +10,15 @@ from penprint.functions import lexer as L
 from penprint.functions import text as T
 from penprint.functions.rng import h, sql_h
 from penprint.operators import dedup as D
-from penprint.operators.tokens import top_identifiers
+from penprint.operators.tokens import token_rows, top_identifiers
 from penprint.plans.registry import register
-from penprint.tables import table
+from penprint.tables import spread, table
 
 SEED = "p"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _sql_str(s: str) -> str:
@@ -99,8 +99,10 @@ def x21_format_ordinal(spark, sf):
 WHERE len(ids) > 10""")
 def x1_char_encode(spark, sf):
     """X1 + F5: character ids of every document (kept when more than 10 ids)."""
-    d = _docs(spark, sf).select("doc_id", T.char_encode("text").alias("ids"))
-    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids").where(F.col("n_ids") > 10)
+    # F5 on the id count = characters + 2, so the filter never re-evaluates the encoder
+    d = _docs(spark, sf).where(F.length("text") + 2 > 10)
+    d = d.select("doc_id", T.char_encode("text").alias("ids"))
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
 
 @register("x2_binary_encode", f"""SELECT doc_id, CAST(list_sum(list_transform(ids, lambda i:
@@ -206,8 +208,8 @@ def _tok_sql() -> str:
 SELECT doc_id, class, count(*) AS n_tokens FROM toks GROUP BY doc_id, class""")
 def x9_lex_class_counts(spark, sf):
     """The token stream of every document, counted per class."""
-    t = _docs(spark, sf).select("doc_id", F.explode(L.lex_source("text")).alias("t"))
-    return t.groupBy("doc_id", F.col("t.class").alias("class")).agg(F.count(F.lit(1)).alias("n_tokens"))
+    t = token_rows(_docs(spark, sf))
+    return t.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 TOP_N = 50
@@ -245,13 +247,13 @@ te AS (SELECT doc_id, pos, CASE
 
 
 @register("x10_encode_tokens", f"""WITH {_enc_sql()}
-SELECT doc_id, CAST(flatten(list(ids ORDER BY pos)) AS INTEGER[]) AS ids FROM te GROUP BY doc_id""")
+SELECT d.doc_id, coalesce(e.ids, []::INTEGER[]) AS ids FROM documents d LEFT JOIN
+(SELECT doc_id, CAST(flatten(list(ids ORDER BY pos)) AS INTEGER[]) AS ids FROM te GROUP BY doc_id) e USING (doc_id)""")
 def x10_encode_tokens(spark, sf):
     """X9 + X10: lexer-token ids of every document with the K1 identifiers reserved."""
     docs = _docs(spark, sf)
     reserved = [r["token"] for r in top_identifiers(docs, TOP_N).orderBy("rank").collect()]  # bounded: TOP_N
-    return docs.select("doc_id", L.encode_tokens(L.lex_source("text"), reserved).alias("ids")).where(
-        F.size("ids") > 0)
+    return docs.select("doc_id", L.encode_tokens("text", reserved).alias("ids"))
 
 
 # ------------------------------------------------------------------ dedup / audit

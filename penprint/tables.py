@@ -27,3 +27,14 @@ def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, author, text) view of ``documents``: source = author."""
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS file_id", "source AS author", "text", "lang")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition before CPU-heavy per-row work when the scan
+    yields fewer partitions than the cluster can run at once (e.g. a table
+    stored as one row group).  Large multi-file inputs already have enough
+    splits and are left alone, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
