@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions.rng import draw, h, u01
 from penprint.operators.ranking import bucketed_ordinal, first_k, hash_ordinal
+from penprint.tables import fan_out_ready
 
 # ---------------------------------------------------------------- aggregates
 
@@ -229,7 +230,7 @@ def sample_pair_ranks(quotas: DataFrame, seed="p", tag: str = "comb", author: st
     base = quotas.select(author, "n_files", "quota").where(F.col("quota") > 0)
     base = base.withColumn("_C", (F.col("n_files") * (F.col("n_files") - 1) / 2).cast("bigint"))
     dense = base.where(_dense(F.col("quota"), F.col("_C")))
-    d = dense.withColumn("pair_rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_C") - 1)))
+    d = fan_out_ready(dense).withColumn("pair_rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_C") - 1)))
     d = d.withColumn("draw_t", h(seed, tag, author, "pair_rank"))
     d = first_k(d, [author], [F.col("draw_t"), F.col("pair_rank")], 10 ** 9, out="_o")
     results = [d.where(F.col("_o") <= F.col("quota")).select(author, "pair_rank", "draw_t")]
@@ -240,7 +241,7 @@ def sample_pair_ranks(quotas: DataFrame, seed="p", tag: str = "comb", author: st
         t = todo.withColumn("_T", _draw_budget(F.col("quota"), level))
         t = t.withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                       F.floor((F.col("_T") - 1) / chunk).cast("bigint"))))
-        t = t.repartition("_ch", author)
+        t = fan_out_ready(t)
         t = t.withColumn("draw_t", F.explode(F.sequence(
             F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, F.col("_T")) - 1)))
         t = t.withColumn("pair_rank", F.pmod(h(seed, tag, author, "draw_t"), F.col("_C")))
@@ -343,7 +344,7 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
     ords = file_ordinals(multi, seed, author, file_id)
     counts = ords.select(author, "n_files").distinct()
     nb = math.ceil(n_samples / batch_size)
-    keys = counts.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    keys = fan_out_ready(counts).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     keys = keys.withColumn("_u", (h(seed, "esu", "batch", author) + F.lit(0.5)) / F.lit(2.0 ** 52))
     keys = keys.withColumn("es_key", -F.log(F.col("_u")) / F.col("n_files"))
     picked = first_k(keys, ["batch"], [F.col("es_key"), F.col(author)], batch_size, out="_slot")

@@ -38,3 +38,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def fan_out_ready(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread a small key table (e.g. authors) over the cluster before an
+    ``explode`` multiplies its rows.  An explicit partition count is kept by
+    AQE, unlike a small aggregate's output, which AQE coalesces into one task."""
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
