@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions.rng import draw, h, u01
@@ -210,59 +210,96 @@ def _dense(q: Column, c: Column) -> Column:
     return c <= F.lit(4) * q + F.lit(64)
 
 
-def sample_pair_ranks(quotas: DataFrame, seed="p", tag: str = "comb", author: str = "author",
-                      max_levels: int = 40) -> DataFrame:
-    """W7 engine: ``quota`` distinct pair ranks in [0, C(n,2)) per author, never
-    enumerating the C(n,2) pairs of a large author.
-
-    * dense authors (C <= 4q + 64, only possible for small n since q <= n-1 or
-      q <= m): all C ranks, the q with the smallest ``h(seed, tag, author, r)``;
-    * sparse authors: the first q *distinct* values of the draw sequence
-      ``h(seed, tag, author, t) mod C``, t = 0, 1, ...  Draws are made in a
-      budget of 2q+32 per author; an author whose budget yields fewer than q
-      distinct ranks (rare) is redone with a doubled budget — the answer does
-      not depend on the budget.  Draw generation is chunked so a hot author's
-      draws spread over many tasks, and the per-author rank by draw order uses
-      the bucketed ordinal.
-
-    Output: (author, pair_rank, draw_t, i, j) with i < j file ordinals.
+def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p", tag: str = "comb",
+                    max_levels: int = 40) -> DataFrame:
+    """``quota`` distinct values of [0, ``space``) per ``key``, uniformly without
+    replacement, never enumerating a large space.
+
+    * dense keys (space <= 4q + 64): all values, the q with the smallest
+      ``h(seed, tag, key, value)``;
+    * sparse keys: the first q *distinct* values of the draw sequence
+      ``h(seed, tag, key, t) mod space``, t = 0, 1, ...  Draws are made in a
+      budget of 2q+32; a key whose budget yields fewer than q distinct values
+      (rare) is redone with a doubled budget — the answer does not depend on
+      the budget.  Draw generation is chunked so a hot key's draws spread over
+      many tasks; the per-key rank by draw order uses the bucketed ordinal.
+
+    Output (key, value, draw_t).
     """
-    base = quotas.select(author, "n_files", "quota").where(F.col("quota") > 0)
-    base = base.withColumn("_C", (F.col("n_files") * (F.col("n_files") - 1) / 2).cast("bigint"))
-    dense = base.where(_dense(F.col("quota"), F.col("_C")))
-    d = fan_out_ready(dense).withColumn("pair_rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_C") - 1)))
-    d = d.withColumn("draw_t", h(seed, tag, author, "pair_rank"))
-    d = first_k(d, [author], [F.col("draw_t"), F.col("pair_rank")], 10 ** 9, out="_o")
-    results = [d.where(F.col("_o") <= F.col("quota")).select(author, "pair_rank", "draw_t")]
-
-    todo = base.where(~_dense(F.col("quota"), F.col("_C")))
+    base = groups.select(key, F.col(space).alias("_C"), F.col(quota).alias("_q")).where(F.col("_q") > 0)
+    dense = base.where(_dense(F.col("_q"), F.col("_C")))
+    d = fan_out_ready(dense).withColumn("value", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_C") - 1)))
+    d = d.withColumn("draw_t", h(seed, tag, key, "value"))
+    w = Window.partitionBy(key).orderBy(F.col("draw_t"), F.col("value"))
+    d = d.withColumn("_o", F.row_number().over(w))
+    results = [d.where(F.col("_o") <= F.col("_q")).select(key, "value", "draw_t")]
+
+    todo = base.where(~_dense(F.col("_q"), F.col("_C")))
     chunk = 4096
     for level in range(max_levels):
-        t = todo.withColumn("_T", _draw_budget(F.col("quota"), level))
+        t = todo.withColumn("_T", _draw_budget(F.col("_q"), level))
         t = t.withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                       F.floor((F.col("_T") - 1) / chunk).cast("bigint"))))
         t = fan_out_ready(t)
         t = t.withColumn("draw_t", F.explode(F.sequence(
             F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, F.col("_T")) - 1)))
-        t = t.withColumn("pair_rank", F.pmod(h(seed, tag, author, "draw_t"), F.col("_C")))
-        firsts = t.groupBy(author, "quota", "_T", "pair_rank").agg(F.min("draw_t").alias("draw_t"))
+        t = t.withColumn("value", F.pmod(h(seed, tag, key, "draw_t"), F.col("_C")))
+        firsts = t.groupBy(key, "_q", "_T", "value").agg(F.min("draw_t").alias("draw_t"))
         firsts = firsts.withColumn("_b", F.floor(F.col("draw_t") * 1024 / F.col("_T")).cast("bigint"))
-        ranked = bucketed_ordinal(firsts, [author], ["_b"], [F.col("draw_t")], out="_o").drop("_b")
+        ranked = bucketed_ordinal(firsts, [key], ["_b"], [F.col("draw_t")], out="_o").drop("_b")
         ranked = ranked.persist()
-        short = (ranked.groupBy(author, "quota").agg(F.count(F.lit(1)).alias("_d"))
-                 .where(F.col("_d") < F.col("quota")).select(author))
-        results.append(ranked.where(F.col("_o") < F.col("quota")).join(short, author, "left_anti")
-                       .select(author, "pair_rank", "draw_t"))
+        short = (ranked.groupBy(key, "_q").agg(F.count(F.lit(1)).alias("_d"))
+                 .where(F.col("_d") < F.col("_q")).select(key))
+        results.append(ranked.where(F.col("_o") < F.col("_q")).join(short, key, "left_anti")
+                       .select(key, "value", "draw_t"))
         if short.limit(1).count() == 0:
             break
-        todo = todo.join(short, author, "left_semi")
+        todo = todo.join(short, key, "left_semi")
     else:
-        raise RuntimeError("pair-rank sampling did not converge")
+        raise RuntimeError("distinct sampling did not converge")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    i, j = unrank_pair(F.col("pair_rank"))
-    return out.select(author, "pair_rank", "draw_t", i.alias("i"), j.alias("j"))
+    return out
+
+
+def sample_pair_ranks(quotas: DataFrame, seed="p", tag: str = "comb", author: str = "author",
+                      max_levels: int = 40) -> DataFrame:
+    """W7 engine: ``quota`` distinct pair ranks in [0, C(n,2)) per author
+    (``sample_distinct``), unranked to file ordinals (i < j).
+    Output: (author, pair_rank, draw_t, i, j)."""
+    q = quotas.select(author, "quota", (F.col("n_files") * (F.col("n_files") - 1) / 2).cast("bigint").alias("_space"))
+    out = sample_distinct(q, author, "_space", "quota", seed, tag, max_levels)
+    i, j = unrank_pair(F.col("value"))
+    return out.select(author, F.col("value").alias("pair_rank"), "draw_t", i.alias("i"), j.alias("j"))
+
+
+def diff_author_sample(emb: DataFrame, m: int = 50, max_authors: int | None = 1500, seed="p",
+                       author: str = "author", file_id: str = "file_id", vec: str = "embedding") -> DataFrame:
+    """For every author (>= 2 files; the first ``max_authors`` by name),
+    ``m`` embeddings of *other* authors drawn without replacement, each paired
+    with all of the author's own embeddings.
+
+    Rows are laid out contiguously by author in a global index; an author's m
+    draws come from [0, N - n_a) and skip its own block, so no candidate set is
+    enumerated.  Output (author, own_id, other_id, similarity)."""
+    from penprint.functions.vectors import cosine_similarity
+    from penprint.plans.closed_set import limit_authors
+    counts = author_file_counts(emb, author).where(F.col("n_files") >= 2)
+    keep = limit_authors(counts.select(author), max_authors, author)
+    e = emb.join(keep, author, "left_semi").withColumn("_g", h(seed, "w10g", file_id))
+    gi = hash_ordinal(e, [], "_g", [file_id], out="gidx", prefix_cols=[author]).drop("_g").persist()
+    n_all = gi.count()
+    blocks = gi.groupBy(author).agg(F.min("gidx").alias("start"), F.count(F.lit(1)).alias("n_files"))
+    groups = blocks.withColumn("_space", F.lit(n_all) - F.col("n_files")).withColumn(
+        "_q", F.least(F.lit(m), F.col("_space")))
+    draws = sample_distinct(groups, author, "_space", "_q", seed, "w10")
+    draws = draws.join(blocks, author).withColumn(
+        "gidx", F.when(F.col("value") < F.col("start"), F.col("value")).otherwise(F.col("value") + F.col("n_files")))
+    other = gi.select("gidx", F.col(file_id).alias("other_id"), F.col(vec).alias("_vo"))
+    own = gi.select(author, F.col(file_id).alias("own_id"), F.col(vec).alias("_va"))
+    pairs = draws.select(author, "gidx").join(other, "gidx").join(own, author)
+    return pairs.select(author, "own_id", "other_id", cosine_similarity("_va", "_vo").alias("similarity"))
 
 
 def sample_k_combinations(files: DataFrame, quotas: DataFrame, seed="p", tag: str = "comb",

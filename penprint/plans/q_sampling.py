@@ -281,8 +281,8 @@ def m15_pair_dataset_summary(spark, sf):
 # ------------------------------------------------------------------ W9 / W18 / W8
 
 
-def simclr_sql(batch: int = 64) -> str:
-    return f"""WITH {FILES}, {CNT},
+def simclr_sql(batch: int = 64, files: str = FILES) -> str:
+    return f"""WITH {files}, {CNT},
 m AS (SELECT author, n_files FROM cnt WHERE n_files >= 2),
 mf AS (SELECT f.* FROM f JOIN m USING (author)),
 ords AS (SELECT author, file_id, row_number() OVER (PARTITION BY author

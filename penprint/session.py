@@ -29,6 +29,8 @@ def get_spark(app: str = "penprint", master: str | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if (master or "").startswith("local"):
+        conf["spark.driver.memory"] = "12g"  # local mode: the driver JVM is the whole cluster
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
