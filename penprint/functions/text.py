@@ -15,7 +15,7 @@ from penprint.functions.rng import h
 # ---- fixed values: the character table of the character encoder -------------
 # Characters in id order after the two markers (96 characters, in this order):
 CHAR_TABLE = ("qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM\n\r\t "
-              "1234567890-=!@#$%^&*()_+[]{}|;':\",./<>?")
+              "1234567890-=!@#$%^&*()_+[]{}|;':\\\",./<>?")
 # File-encoder order: <end> = 0, <start> = 1, characters 2..97, unknown 98.
 # Dataset order:      <start> = 0, <end> = 1, characters 2..97, unknown 98.
 CHAR_OOV = len(CHAR_TABLE) + 2

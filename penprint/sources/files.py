@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penprint.functions.text import file_extension
 
@@ -29,7 +30,7 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_fallback(content: pd.Series) -> pd.Series:
     """Bytes that are not valid UTF-8: Windows-1252, else Latin-1 (never fails)."""
     def one(b):
