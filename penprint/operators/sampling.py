@@ -72,30 +72,13 @@ def matches_summary(quotas: DataFrame) -> DataFrame:
                       F.avg("quota").alias("mean_matches"))
 
 
-def match_quota_round_robin(counts: DataFrame, total: int | None = None, seed="p",
-                            fraction: float | None = None, author: str = "author") -> DataFrame:
-    """Round i = 1, 2, ...: every author with more than i files gets one more
-    match, until ``total`` matches are handed out; the last round goes to a
-    hash-random subset of the eligible authors.
-
-    Closed form instead of a loop over rounds: after r full rounds an author has
-    ``min(n-1, r)`` matches, so the number of full rounds follows from the
-    histogram of file counts (its size is bounded by sqrt(2 * files) distinct
-    values, so collecting it is safe).  Raises when ``total`` exceeds the
-    capacity sum(n-1) (the reference would loop forever).
-    """
-    elig = counts.where(F.col("n_files") >= 2)
-    hist = sorted((int(r["n_files"]) - 1, int(r["cnt"]))
-                  for r in elig.groupBy("n_files").agg(F.count(F.lit(1)).alias("cnt")).collect())
+def _full_rounds(hist: list[tuple[int, int]], total: int) -> tuple[int, int]:
+    """(full rounds, matches left for the next round) for caps/counts ``hist``."""
     capacity = sum(c * n for c, n in hist)
-    if total is None:
-        total = int(capacity * fraction)
     if total > capacity:
         raise ValueError(f"total {total} exceeds the matching capacity {capacity}")
-    # walk the piecewise-linear C(r) = sum min(cap, r) * cnt
-    done, prev_cap, active = 0, 0, sum(n for _, n in hist)
-    full_rounds = 0
-    for cap, n in hist:
+    done, prev_cap, active, full_rounds = 0, 0, sum(n for _, n in hist), 0
+    for cap, n in sorted(hist):
         seg = (cap - prev_cap) * active
         if done + seg > total:
             full_rounds = prev_cap + (total - done) // active
@@ -105,15 +88,53 @@ def match_quota_round_robin(counts: DataFrame, total: int | None = None, seed="p
         prev_cap = cap
         full_rounds = cap
         active -= n
-    rem = total - done
-    base = elig.withColumn("quota", F.least(F.col("n_files") - 1, F.lit(full_rounds)).cast("bigint"))
-    if rem > 0:
-        cand = (elig.where(F.col("n_files") - 1 >= full_rounds + 1).select(author)
-                .withColumn("_h", h(seed, "rr", author)))
-        extra = (hash_ordinal(cand, [], "_h", [author], out="_o").where(F.col("_o") < rem)
-                 .select(author, F.lit(1).cast("bigint").alias("_x")))
-        base = (base.join(extra, author, "left")
-                .withColumn("quota", F.col("quota") + F.coalesce(F.col("_x"), F.lit(0))).drop("_x"))
+    return full_rounds, total - done
+
+
+def match_quota_round_robin(counts: DataFrame, total: int | None = None, seed="p",
+                            fraction: float | None = None, author: str = "author",
+                            group: str | None = None, totals: dict | None = None) -> DataFrame:
+    """Round i = 1, 2, ...: every author with more than i files gets one more
+    match, until ``total`` matches are handed out; the last round goes to a
+    hash-random subset of the eligible authors.
+
+    Closed form instead of a loop over rounds: after r full rounds an author has
+    ``min(n-1, r)`` matches, so the number of full rounds follows from the
+    histogram of file counts (its size is bounded by sqrt(2 * files) distinct
+    values, so collecting it is safe).  Raises when ``total`` exceeds the
+    capacity sum(n-1) (the reference would loop forever).
+
+    With ``group`` (e.g. the split) every group gets its own total
+    (``totals[g]`` or ``fraction`` of its capacity) in the same plan.
+    """
+    elig = counts.where(F.col("n_files") >= 2)
+    gcols = [group] if group else []
+    rows = elig.groupBy(*gcols, "n_files").agg(F.count(F.lit(1)).alias("cnt")).collect()
+    hists: dict = {}
+    for r in rows:
+        hists.setdefault(r[group] if group else None, []).append((int(r["n_files"]) - 1, int(r["cnt"])))
+    params = []
+    for g, hist in hists.items():
+        cap = sum(c * n for c, n in hist)
+        t = (totals or {}).get(g) if group else total
+        if t is None:
+            t = int(cap * fraction)
+        params.append((g, *_full_rounds(hist, t)))
+    spark = counts.sparkSession
+    if group:
+        gtype = counts.schema[group].dataType.simpleString()
+        p = spark.createDataFrame(params, f"{group} {gtype}, _full long, _rem long")
+        base = elig.join(F.broadcast(p), group)  # one row per group
+    else:
+        base = elig.withColumn("_full", F.lit(params[0][1] if params else 0)).withColumn(
+            "_rem", F.lit(params[0][2] if params else 0))
+    base = base.withColumn("quota", F.least(F.col("n_files") - 1, F.col("_full")).cast("bigint"))
+    cand = (base.where((F.col("n_files") - 1 >= F.col("_full") + 1) & (F.col("_rem") > 0))
+            .select(*gcols, author, "_rem").withColumn("_h", h(seed, "rr", author)))
+    extra = (hash_ordinal(cand, gcols, "_h", [author], out="_o").where(F.col("_o") < F.col("_rem"))
+             .select(author, F.lit(1).cast("bigint").alias("_x")))
+    base = (base.join(extra, author, "left")
+            .withColumn("quota", F.col("quota") + F.coalesce(F.col("_x"), F.lit(0))).drop("_x", "_full", "_rem"))
     return base.where(F.col("quota") > 0)
 
 
@@ -317,40 +338,64 @@ def sample_k_combinations(files: DataFrame, quotas: DataFrame, seed="p", tag: st
             .select(author, "file_1", "file_2", "draw_t"))
 
 
-def author_index(files: DataFrame, seed="p", author: str = "author") -> DataFrame:
-    """Distinct authors with a hash-random dense index ``author_idx`` (0-based)."""
-    a = files.select(author).distinct().withColumn("_h", h(seed, "aidx", author))
-    return hash_ordinal(a, [], "_h", [author], out="author_idx").drop("_h")
+def author_index(files: DataFrame, seed="p", author: str = "author", group: str | None = None) -> DataFrame:
+    """Distinct authors with a hash-random dense index ``author_idx`` (0-based),
+    within ``group`` when given."""
+    gcols = [group] if group else []
+    a = files.select(*gcols, author).distinct().withColumn("_h", h(seed, "aidx", author))
+    return hash_ordinal(a, gcols, "_h", [author], out="author_idx").drop("_h")
 
 
-def different_author_pairs(spark, files: DataFrame, n: int, seed="p", tag: str = "diff",
+def different_author_pairs(spark, files: DataFrame, n, seed="p", tag: str = "diff",
                            author: str = "author", file_id: str = "file_id",
                            ordinals: DataFrame | None = None,
-                           authors: DataFrame | None = None) -> DataFrame:
+                           authors: DataFrame | None = None, group: str | None = None) -> DataFrame:
     """N pairs with different authors, with replacement.  Author 1 uniform,
     author 2 uniform among the others (draw in [0, A-1) and shift past author 1),
-    then one uniform file of each.  Keyed by sample id, so no author skew."""
-    aidx = authors if authors is not None else author_index(files, seed, author)
+    then one uniform file of each.  Keyed by sample id, so no author skew.
+
+    With ``group`` (e.g. split), ``n`` is a dict group -> samples and authors
+    are drawn inside their group; all groups run in one plan."""
+    gcols = [group] if group else []
+    aidx = authors if authors is not None else author_index(files, seed, author, group)
     ords = ordinals if ordinals is not None else file_ordinals(files, seed, author, file_id)
-    a = aidx.count()
-    s = spark.range(n).withColumnRenamed("id", "sample_id")
-    s = s.withColumn("_a1", draw(seed, f"{tag}a1", a, "sample_id"))
-    s = s.withColumn("_a2", draw(seed, f"{tag}a2", a - 1, "sample_id"))
+    if group:
+        sizes = {r[group]: r["a"] for r in aidx.groupBy(group).agg(F.count(F.lit(1)).alias("a")).collect()}
+        plan, off = [], 0
+        for g, k in sorted(n.items()):
+            plan.append((g, off, int(k), int(sizes.get(g, 0))))
+            off += int(k)
+        total = off
+        split = None
+        for g, o, k, _ in plan:
+            cond = F.col("id") < o + k
+            split = F.when(cond, F.lit(g)) if split is None else split.when(cond, F.lit(g))
+        gp = spark.createDataFrame(plan, f"{group} string, _off long, _n long, _A long")
+        s = spark.range(total).withColumn(group, split).join(F.broadcast(gp), group)
+        s = s.withColumn("sample_id", F.col("id") - F.col("_off")).drop("id")
+        a_col = F.col("_A")
+    else:
+        a = aidx.count()
+        s = spark.range(n).withColumnRenamed("id", "sample_id")
+        a_col = F.lit(a)
+    key = gcols + ["sample_id"]
+    s = s.withColumn("_a1", F.pmod(h(seed, f"{tag}a1", *key), a_col))
+    s = s.withColumn("_a2", F.pmod(h(seed, f"{tag}a2", *key), a_col - 1))
     s = s.withColumn("_a2", F.when(F.col("_a2") >= F.col("_a1"), F.col("_a2") + 1).otherwise(F.col("_a2")))
-    a1 = aidx.select(F.col("author_idx").alias("_a1"), F.col(author).alias("author_1"))
-    a2 = aidx.select(F.col("author_idx").alias("_a2"), F.col(author).alias("author_2"))
-    s = s.join(a1, "_a1").join(a2, "_a2")
+    a1 = aidx.select(*gcols, F.col("author_idx").alias("_a1"), F.col(author).alias("author_1"))
+    a2 = aidx.select(*gcols, F.col("author_idx").alias("_a2"), F.col(author).alias("author_2"))
+    s = s.join(a1, gcols + ["_a1"]).join(a2, gcols + ["_a2"])
     cnt = ords.select(author, "n_files").distinct()
     s = (s.join(cnt.select(F.col(author).alias("author_1"), F.col("n_files").alias("_n1")), "author_1")
          .join(cnt.select(F.col(author).alias("author_2"), F.col("n_files").alias("_n2")), "author_2"))
-    s = s.withColumn("_o1", F.pmod(h(seed, f"{tag}f1", "sample_id"), F.col("_n1")))
-    s = s.withColumn("_o2", F.pmod(h(seed, f"{tag}f2", "sample_id"), F.col("_n2")))
+    s = s.withColumn("_o1", F.pmod(h(seed, f"{tag}f1", *key), F.col("_n1")))
+    s = s.withColumn("_o2", F.pmod(h(seed, f"{tag}f2", *key), F.col("_n2")))
     f1 = ords.select(F.col(author).alias("author_1"), F.col("ordinal").alias("_o1"),
                      F.col(file_id).alias("file_1"))
     f2 = ords.select(F.col(author).alias("author_2"), F.col("ordinal").alias("_o2"),
                      F.col(file_id).alias("file_2"))
     return (s.join(f1, ["author_1", "_o1"]).join(f2, ["author_2", "_o2"])
-            .select("sample_id", "author_1", "author_2", "file_1", "file_2"))
+            .select(*gcols, "sample_id", "author_1", "author_2", "file_1", "file_2"))
 
 
 def label_and_union(matched: DataFrame, unmatched: DataFrame, seed="p") -> DataFrame:

@@ -29,24 +29,23 @@ def build_pair_dataset(spark, files: DataFrame, fraction: float = 0.5, val_test:
     and as many different-author pairs (J5), labelled 1/0 (U2).
 
     ``total`` per split is ``matched_per_split[split]`` when given (the
-    reference's 500,000 / 25,000 / 25,000 at match rate .5), else
-    ``fraction`` of that split's capacity sum(n-1).
-    Output (split, file_1, file_2, label, shuffle_key).
+    reference's 500,000 / 25,000 / 25,000 at match rate .5), else ``fraction``
+    of that split's capacity sum(n-1).  All splits run in one plan: quotas,
+    pair ranks and different-author draws are keyed by (split, author) or
+    (split, sample).  Output (split, file_1, file_2, label, shuffle_key).
     """
     splits = S.author_split_three_way(files, val_test, seed, author).persist()
-    fs_all = S.split_membership(files, splits, author).persist()
-    out = None
-    for sp in SPLITS:
-        fs = fs_all.where(F.col("split") == sp).drop("split")
-        counts = S.author_file_counts(fs, author)
-        total = (matched_per_split or {}).get(sp)
-        quotas = S.match_quota_round_robin(counts, total=total, seed=seed,
-                                           fraction=None if total else fraction, author=author)
-        n_match = quotas.agg(F.sum("quota")).first()[0] or 0
-        ords = S.file_ordinals(fs, seed, author, file_id).persist()
-        matched = S.sample_k_combinations(fs, quotas, seed, "comb", author, file_id, ordinals=ords)
-        unmatched = S.different_author_pairs(spark, fs, int(n_match), seed, f"diff{sp}", author,
-                                             file_id, ordinals=ords)
-        part = S.label_and_union(matched, unmatched, seed).withColumn("split", F.lit(sp))
-        out = part if out is None else out.unionByName(part)
-    return out.select("split", "file_1", "file_2", "label", "shuffle_key")
+    fs = S.split_membership(files, splits, author).persist()
+    counts = fs.groupBy("split", author).agg(F.count(F.lit(1)).alias("n_files"))
+    quotas = S.match_quota_round_robin(counts, seed=seed, fraction=fraction, author=author,
+                                       group="split", totals=matched_per_split).persist()
+    n_match = {r["split"]: int(r["q"]) for r in quotas.groupBy("split").agg(F.sum("quota").alias("q")).collect()}
+    ords = S.file_ordinals(fs, seed, author, file_id).persist()
+    matched = S.sample_k_combinations(fs, quotas, seed, "comb", author, file_id, ordinals=ords)
+    matched = matched.join(splits, author)
+    unmatched = S.different_author_pairs(spark, fs, n_match, seed, "diff", author, file_id,
+                                         ordinals=ords, group="split")
+    m = matched.select("split", "file_1", "file_2", F.lit(1).alias("label"))
+    u = unmatched.select("split", "file_1", "file_2", F.lit(0).alias("label"))
+    from penprint.functions.rng import h
+    return m.unionByName(u).withColumn("shuffle_key", h(seed, "shuffle", "split", "file_1", "file_2", "label"))
