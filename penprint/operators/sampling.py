@@ -358,7 +358,7 @@ def different_author_pairs(spark, files: DataFrame, n, seed="p", tag: str = "dif
     are drawn inside their group; all groups run in one plan."""
     gcols = [group] if group else []
     aidx = authors if authors is not None else author_index(files, seed, author, group)
-    ords = ordinals if ordinals is not None else file_ordinals(files, seed, author, file_id)
+    ords = ordinals if ordinals is not None else file_ordinals(files, seed, author, file_id).persist()
     if group:
         sizes = {r[group]: r["a"] for r in aidx.groupBy(group).agg(F.count(F.lit(1)).alias("a")).collect()}
         plan, off = [], 0
@@ -423,7 +423,7 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
     batch and map task are shuffled.
     """
     multi = min_files_per_author(files, 2, author)
-    ords = file_ordinals(multi, seed, author, file_id)
+    ords = file_ordinals(multi, seed, author, file_id).persist()  # used three times below
     counts = ords.select(author, "n_files").distinct()
     nb = math.ceil(n_samples / batch_size)
     keys = fan_out_ready(counts).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
@@ -455,7 +455,7 @@ def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5,
     to the next round, so the result is exact for any skew.
     """
     tag = f"e{epoch}"
-    ords = file_ordinals(files, seed, author, file_id)
+    ords = file_ordinals(files, seed, author, file_id).persist()
     n_all = ords.count()
     # global index over all files and over files of multi-file authors
     gall = hash_ordinal(ords.withColumn("_g", h(seed, "gall", file_id)), [], "_g", [file_id], out="gidx")
