@@ -62,13 +62,14 @@ def fit_verifier(cs: DataFrame, k: int, vec: str = "embedding") -> tuple[Histogr
     return same, diff
 
 
-def verification_trials(cs: DataFrame, set_size: int, n_authors: int, vec: str = "embedding") -> DataFrame:
+def verification_trials(cs: DataFrame, set_size: int, n_authors: int, vec: str = "embedding",
+                        n_rows: int | None = None) -> DataFrame:
     """M8: per author l, set A = its folds [0, s); true trial: set B = its folds
     [s, 2s); false trial: set B = the rows one position further in fold-major
     order (the next author, wrapping at the end).  Output one row per
     (trial, truth, pos_a, pos_b) with the cosine similarity."""
     s, a_n = set_size, n_authors
-    total = cs.count()  # = k * A rows in fold-major order
+    total = n_rows if n_rows is not None else cs.count()  # = k * A rows in fold-major order
     a = cs.where(F.col("fold") < s).select(F.col("label").alias("trial"), F.col("fold").alias("pos_a"),
                                             F.col(vec).alias("va"))
     bt = cs.where((F.col("fold") >= s) & (F.col("fold") < 2 * s)).select(
