@@ -21,7 +21,7 @@ def prepare_corpus(docs: DataFrame, min_size: int = 100, val: float = 0.1, test:
     kept = D.drop_duplicates_by_cluster(files.where(F.octet_length("text") > min_size), dups, "file_id")
     splits = S.author_split(kept, val, test, seed)
     enc = S.split_membership(kept, splits).select("split", "file_id", "author", T.char_encode("text").alias("ids"))
-    return enc.withColumn("n_ids", F.size("ids")), audit
+    return enc.withColumn("n_ids", F.size("ids").cast("bigint")), audit
 
 
 def materialise_simclr_samples(spark, docs: DataFrame, batch: int = 64, length: int = 500, seed="p",

@@ -169,7 +169,21 @@ def m12_text_closed_set_knn(spark, sf):
 # ------------------------------------------------------------------ M14 / M17
 
 
-@register("m14_prepare_corpus", None)
+def _m14_sql() -> str:
+    from penprint.plans.q_text import CHAR_IDS_SQL
+    return f"""WITH f AS (SELECT doc_id AS file_id, source AS author, text FROM documents),
+c AS (SELECT file_id, min(file_id) OVER (PARTITION BY md5(text)) AS first FROM f),
+kept AS (SELECT f.* FROM f JOIN c USING (file_id) WHERE c.file_id = c.first AND strlen(f.text) > 100),
+au AS (SELECT DISTINCT author FROM kept),
+na AS (SELECT count(*) AS a FROM au),
+r AS (SELECT author, row_number() OVER (ORDER BY {H('split', 'author')}, author) - 1 AS rk FROM au),
+sp AS (SELECT author, CASE WHEN rk < floor(0.1 * (SELECT a FROM na)) THEN 'val'
+                      WHEN rk < 2 * floor(0.1 * (SELECT a FROM na)) THEN 'test' ELSE 'train' END AS split FROM r),
+enc AS (SELECT sp.split, kept.file_id, kept.author, {CHAR_IDS_SQL} AS ids FROM kept JOIN sp USING (author))
+SELECT split, file_id, author, ids, len(ids) AS n_ids FROM enc"""
+
+
+@register("m14_prepare_corpus", _m14_sql())
 def m14_prepare_corpus(spark, sf):
     """Documents as a corpus: size filter, duplicate removal, author split,
     character encoding."""

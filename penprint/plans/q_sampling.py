@@ -322,7 +322,33 @@ def w18_shuffle_and_batch(spark, sf):
     return S.shuffle_and_batch(files_from_orders(spark, sf).select("file_id"), 100, "file_id", 0, SEED)
 
 
-@register("w8_random_pair_epoch", None)
+W8_SQL = f"""WITH {FILES}, {CNT}, {ORDS},
+o AS (SELECT ords.*, cnt.n_files FROM ords JOIN cnt USING (author)),
+gall AS (SELECT author, file_id, row_number() OVER (ORDER BY {H('gall', 'file_id')}, file_id) - 1 AS gidx FROM o),
+gmul AS (SELECT author, file_id, n_files, row_number() OVER (ORDER BY {H('gmul', 'file_id')}, file_id) - 1 AS midx
+         FROM o WHERE n_files > 1),
+nn AS (SELECT (SELECT count(*) FROM o) AS n_all, (SELECT count(*) FROM gmul) AS n_multi),
+s AS (SELECT generate_series AS sample_id FROM generate_series(0, (SELECT n_all FROM nn) - 1)),
+sl AS (SELECT sample_id, CASE WHEN {H('e0m', 'sample_id')} / {2.0 ** 52!r} < 0.5 THEN 1 ELSE 0 END AS label FROM s),
+m1 AS (SELECT sl.sample_id, g.author, g.n_files FROM sl, nn JOIN gmul g ON g.midx = {H('e0mf', 'sl.sample_id')} % nn.n_multi
+       WHERE sl.label = 1),
+m2 AS (SELECT sample_id, author, {H('e0m1', 'sample_id')} % n_files AS o1,
+              {H('e0m2', 'sample_id')} % (n_files - 1) AS o2r FROM m1),
+m3 AS (SELECT sample_id, author, o1, CASE WHEN o2r >= o1 THEN o2r + 1 ELSE o2r END AS o2 FROM m2),
+matched AS (SELECT m3.sample_id, 1 AS label, a.file_id AS file_1, b.file_id AS file_2 FROM m3
+            JOIN o a ON a.author = m3.author AND a.ordinal = m3.o1 JOIN o b ON b.author = m3.author AND b.ordinal = m3.o2),
+t AS (SELECT sl.sample_id, tt AS t FROM sl, LATERAL (SELECT unnest(generate_series(0, 7)) AS tt) WHERE sl.label = 0),
+t2 AS (SELECT sample_id, t, {H('e0n1', 'sample_id', 't')} % nn.n_all AS g1,
+              {H('e0n2', 'sample_id', 't')} % (nn.n_all - 1) AS g2r FROM t, nn),
+t3 AS (SELECT sample_id, t, g1, CASE WHEN g2r >= g1 THEN g2r + 1 ELSE g2r END AS g2 FROM t2),
+t4 AS (SELECT t3.sample_id, t3.t, a.file_id AS file_1, b.file_id AS file_2 FROM t3
+       JOIN gall a ON a.gidx = t3.g1 JOIN gall b ON b.gidx = t3.g2 WHERE a.author <> b.author),
+unmatched AS (SELECT sample_id, 0 AS label, arg_min(file_1, t) AS file_1, arg_min(file_2, t) AS file_2
+              FROM t4 GROUP BY sample_id)
+SELECT * FROM matched UNION ALL SELECT * FROM unmatched"""
+
+
+@register("w8_random_pair_epoch", W8_SQL)
 def w8_random_pair_epoch(spark, sf):
     """One epoch (as many samples as files) of random matched/non-matched pairs."""
     files = files_from_orders(spark, sf)
