@@ -76,12 +76,12 @@ def a7_matches_summary(spark, sf):
     return S.matches_summary(a5_max_matches_per_author(spark, sf))
 
 
-def rr_sql(files_cte: str = FILES, fraction: float = 0.5, group: str | None = None) -> str:
+def rr_sql(files_cte: str = FILES, fraction: float = 0.5, group: str | None = None, src: str = "f") -> str:
     """Round-robin quota oracle: explode the rounds and take the first total."""
     g = f"{group}, " if group else ""
     part = f"PARTITION BY {group} " if group else ""
     return f"""{files_cte},
-rr_cnt AS (SELECT {g}author, count(*) AS n_files FROM f GROUP BY {g}author),
+rr_cnt AS (SELECT {g}author, count(*) AS n_files FROM {src} GROUP BY {g}author),
 rr_cap AS (SELECT {g}CAST(floor(sum(n_files - 1) * {fraction!r}) AS BIGINT) AS total
            FROM rr_cnt WHERE n_files >= 2 {'GROUP BY ' + group if group else ''}),
 rr_rounds AS (SELECT {g}author, n_files, unnest(generate_series(1, n_files - 1)) AS rnd
@@ -266,13 +266,46 @@ def w3_sample_split_legacy(spark, sf):
     return S.sample_split_legacy(pairs, int(0.8 * n), int(0.1 * n), id_col="sample_id", seed=SEED)
 
 
-@register("m15_pair_dataset", None)
+def _m15_sql() -> str:
+    fs = "fs AS (SELECT f.*, sp.split FROM f JOIN sp USING (author))"
+    return f"""WITH {split3_sql()},
+{rr_sql(fs, 0.5, 'split', 'fs')},
+ords AS (SELECT author, file_id, row_number() OVER (PARTITION BY author
+         ORDER BY {H('ord', 'file_id')}, file_id) - 1 AS ordinal FROM fs),
+{pair_ranks_sql("SELECT split, author, n_files, quota FROM rr", 'split')},
+matched AS (SELECT ij.split, o1.file_id AS file_1, o2.file_id AS file_2, 1 AS label
+            FROM ij JOIN ords o1 ON o1.author = ij.author AND o1.ordinal = ij.i
+                    JOIN ords o2 ON o2.author = ij.author AND o2.ordinal = ij.j),
+dcnt AS (SELECT split, author, count(*) AS n_files FROM fs GROUP BY split, author),
+aidx AS (SELECT split, author, row_number() OVER (PARTITION BY split ORDER BY {H('aidx', 'author')}, author) - 1
+         AS author_idx FROM dcnt),
+gp AS (SELECT a.split, a.a, m.n FROM (SELECT split, count(*) AS a FROM aidx GROUP BY split) a
+       JOIN (SELECT split, CAST(sum(quota) AS BIGINT) AS n FROM rr GROUP BY split) m USING (split)),
+s0 AS (SELECT gp.split, gp.a, x.sample_id FROM gp, LATERAL (SELECT unnest(generate_series(0, gp.n - 1)) AS sample_id) x),
+s1 AS (SELECT split, sample_id, {H('diffa1', 'split', 'sample_id')} % a AS a1,
+              {H('diffa2', 'split', 'sample_id')} % (a - 1) AS a2r FROM s0),
+s2 AS (SELECT split, sample_id, a1, CASE WHEN a2r >= a1 THEN a2r + 1 ELSE a2r END AS a2 FROM s1),
+s3 AS (SELECT s2.split, s2.sample_id, x1.author AS author_1, x2.author AS author_2 FROM s2
+       JOIN aidx x1 ON x1.split = s2.split AND x1.author_idx = s2.a1
+       JOIN aidx x2 ON x2.split = s2.split AND x2.author_idx = s2.a2),
+s4 AS (SELECT s3.*, {H('difff1', 's3.split', 's3.sample_id')} % c1.n_files AS o1,
+              {H('difff2', 's3.split', 's3.sample_id')} % c2.n_files AS o2
+       FROM s3 JOIN dcnt c1 ON c1.author = s3.author_1 JOIN dcnt c2 ON c2.author = s3.author_2),
+unmatched AS (SELECT s4.split, d1.file_id AS file_1, d2.file_id AS file_2, 0 AS label FROM s4
+       JOIN ords d1 ON d1.author = s4.author_1 AND d1.ordinal = s4.o1
+       JOIN ords d2 ON d2.author = s4.author_2 AND d2.ordinal = s4.o2),
+allp AS (SELECT * FROM matched UNION ALL SELECT * FROM unmatched)
+SELECT split, file_1, file_2, label, {H('shuffle', 'split', 'file_1', 'file_2', 'label')} AS shuffle_key FROM allp"""
+
+
+@register("m15_pair_dataset", _m15_sql())
 def m15_pair_dataset(spark, sf):
     """W2 -> A6 quotas -> W7 matched + J5 unmatched (match rate .5) -> U2."""
     return build_pair_dataset(spark, files_from_orders(spark, sf), fraction=0.5, val_test=0.1, seed=SEED)
 
 
-@register("m15_pair_dataset_summary", None)
+@register("m15_pair_dataset_summary", f"""SELECT split, label, count(*) AS pairs FROM ({_m15_sql()})
+GROUP BY split, label""")
 def m15_pair_dataset_summary(spark, sf):
     d = m15_pair_dataset(spark, sf)
     return d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"))
