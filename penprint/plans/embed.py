@@ -35,6 +35,15 @@ def char_ngram_embeddings(docs: DataFrame, text: str = "text", id_col: str = "do
     return out.select(id_col, vector_to_array("_vec", "float32").alias("embedding"))
 
 
+def char_ngrams(text, n: int = 3):
+    """Overlapping character n-grams of a whole text as strings (the raw terms
+    hashed by ``char_ngram_embeddings``), built from array slices."""
+    c = F.split(text if not isinstance(text, str) else F.col(text), "")
+    m = F.greatest(F.size(c) - (n - 1), F.lit(0))
+    parts = [F.slice(c, i + 1, m) for i in range(n)]
+    return F.transform(F.arrays_zip(*parts), lambda z: F.concat(*[z[str(i)] for i in range(n)]))
+
+
 def embed_with_model(df: DataFrame, load_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
                      dim: int, id_col: str = "file_id", normalize: bool = True) -> DataFrame:
     """M12(a)/D2: ``load_model()`` runs once per task and returns a batch

@@ -14,7 +14,7 @@ from penprint.operators.losses import simclr_loss, simclr_loss_matrix
 from penprint.plans.classifiers import cross_validate
 from penprint.plans.closed_set import closed_set, closed_set_neighbours, fold_accuracy
 from penprint.plans.corpus import materialise_simclr_samples, prepare_corpus
-from penprint.plans.embed import char_ngram_embeddings, project_pca
+from penprint.plans.embed import char_ngram_embeddings, char_ngrams, project_pca
 from penprint.operators.votes import mode_vote
 from penprint.plans.registry import register
 from penprint.plans.sqlparts import cosine_sql, distinct_sql
@@ -154,6 +154,20 @@ def m11_project_pca(spark, sf):
                        F.array(*[F.lit(float(r)) for r in ratio]).alias("explained_variance"))
 
 
+@register("m12_char_trigram_counts", """WITH c AS (SELECT doc_id, string_split(text, '') AS ch FROM documents),
+g AS (SELECT doc_id, ch[i] || ch[i + 1] || ch[i + 2] AS gram FROM c,
+      LATERAL (SELECT unnest(generate_series(1, len(ch) - 2)) AS i))
+SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram
+ORDER BY n DESC, gram LIMIT 100""")
+def m12_char_trigram_counts(spark, sf):
+    """M12(b) terms: the 100 most frequent character trigrams over all
+    documents, with document frequency (the raw counts behind HashingTF/IDF)."""
+    docs = spread(table(spark, sf, "documents"))
+    g = docs.select("doc_id", F.explode(char_ngrams("text", 3)).alias("gram"))
+    c = g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return c.orderBy(F.col("n").desc(), "gram").limit(100)
+
+
 @register("m12_text_closed_set_knn", None)
 def m12_text_closed_set_knn(spark, sf):
     """M12(b) + M1: character-trigram TF-IDF embeddings of the documents,
