@@ -430,7 +430,7 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
     keys = keys.withColumn("_u", (h(seed, "esu", "batch", author) + F.lit(0.5)) / F.lit(2.0 ** 52))
     keys = keys.withColumn("es_key", -F.log(F.col("_u")) / F.col("n_files"))
     picked = first_k(keys, ["batch"], [F.col("es_key"), F.col(author)], batch_size, out="_slot")
-    picked = picked.withColumn("sample_id", F.col("batch") * batch_size + F.col("_slot") - 1)
+    picked = picked.withColumn("sample_id", (F.col("batch").cast("bigint") * batch_size + F.col("_slot") - 1))
     picked = picked.where(F.col("sample_id") < n_samples)
     picked = picked.withColumn("_o1", F.pmod(h(seed, "es1", "batch", author), F.col("n_files")))
     picked = picked.withColumn("_o2", F.pmod(h(seed, "es2", "batch", author), F.col("n_files") - 1))

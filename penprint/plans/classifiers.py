@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,15 +67,17 @@ def first_fold_holdout(cs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float | None = None,
                      seed="p") -> DataFrame:
-    """Per label, the first ceil(f * n) rows by hash go to test, f =
-    max(1/k, .1) by default where k is the smallest label count; every test
-    label keeps at least one training row when n >= 2."""
+    """Per label, the first ceil(f * n) rows in hash order go to test,
+    f = max(1/k, .1) by default where k is the smallest label count; every
+    label keeps at least one training row when n >= 2.  A label may hold half
+    of all rows, so the rank inside a label is the bucketed (skew-safe) ordinal."""
     from penprint.functions.rng import h
+    from penprint.operators.ranking import hash_ordinal
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     if test_fraction is None:
         k = counts.agg(F.min("_n")).first()[0]
         test_fraction = max(1.0 / k, 0.1)
-    w = Window.partitionBy(label).orderBy(h(seed, "strat", id_col), F.col(id_col))
-    r = df.join(counts, label).withColumn("_r", F.row_number().over(w))
+    r = hash_ordinal(df.withColumn("_h", h(seed, "strat", id_col)), [label], "_h", [id_col], out="_o")
+    r = r.join(counts, label)
     cut = F.least(F.ceil(F.col("_n") * F.lit(test_fraction)), F.greatest(F.col("_n") - 1, F.lit(1)))
-    return r.withColumn("split", F.when(F.col("_r") <= cut, "test").otherwise("train")).drop("_n", "_r")
+    return r.withColumn("split", F.when(F.col("_o") < cut, "test").otherwise("train")).drop("_n", "_o", "_h")

@@ -11,7 +11,7 @@ from penprint.functions.rng import sql_h
 from penprint.operators import bpe
 from penprint.operators import sampling as S
 from penprint.operators.losses import simclr_loss, simclr_loss_matrix
-from penprint.plans.classifiers import cross_validate
+from penprint.plans.classifiers import cross_validate, first_fold_holdout, stratified_split
 from penprint.plans.closed_set import closed_set, closed_set_neighbours, fold_accuracy
 from penprint.plans.corpus import materialise_simclr_samples, prepare_corpus
 from penprint.plans.embed import char_ngram_embeddings, char_ngrams, project_pca
@@ -98,7 +98,8 @@ X7_SQL = """WITH w AS (SELECT unnest(regexp_split_to_array(replace(replace(repla
 wc AS (SELECT word, count(*) AS freq FROM w WHERE length(word) > 0 GROUP BY word),
 s AS (SELECT freq, string_split(word, '') AS ch FROM wc),
 p AS (SELECT freq, ch[i] AS l, ch[i + 1] AS r FROM s, LATERAL (SELECT unnest(generate_series(1, len(ch) - 1)) AS i))
-SELECT l AS "left", r AS "right", sum(freq) AS count FROM p GROUP BY l, r ORDER BY count DESC, l, r LIMIT 100"""
+SELECT l AS "left", r AS "right", CAST(sum(freq) AS BIGINT) AS count FROM p GROUP BY l, r
+ORDER BY count DESC, l, r LIMIT 100"""
 
 
 @register("x7_bpe_pair_counts", X7_SQL)
@@ -210,3 +211,57 @@ def m17_simclr_samples(spark, sf):
     """M17 (simclr layout): W9 batches of documents -> X11 crop -> X12 pad."""
     return materialise_simclr_samples(spark, spread(table(spark, sf, "documents")), batch=16, length=256,
                                       seed=SEED)
+
+
+# ------------------------------------------------------------------ W16 / M4 / S7
+
+
+@register("w16_stratified_split", f"""WITH l AS (SELECT doc_id, quality FROM labels),
+c AS (SELECT quality, count(*) AS n FROM l GROUP BY quality),
+f AS (SELECT greatest(1.0 / min(n), 0.1)::DOUBLE AS f FROM c),
+r AS (SELECT l.doc_id, l.quality, c.n, row_number() OVER (PARTITION BY l.quality
+      ORDER BY {H('strat', 'l.doc_id')}, l.doc_id) AS rk FROM l JOIN c USING (quality))
+SELECT doc_id, quality, CASE WHEN rk <= least(ceil(n * f), greatest(n - 1, 1)) THEN 'test' ELSE 'train' END AS split
+FROM r, f""")
+def w16_stratified_split(spark, sf):
+    """Stratified train/test split of the labelled documents by quality."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return stratified_split(lab, "quality", "doc_id", seed=SEED).select("doc_id", "quality", "split")
+
+
+@register("m4_mlp_holdout", None)
+def m4_mlp_holdout(spark, sf):
+    """M4 + W17: MLP head (d -> 512 -> 512 -> A) on frozen embeddings, trained on
+    folds 1..8 and validated on fold 0."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from penprint.plans.classifiers import features
+    cs = _cs(spark, sf)
+    train, val = first_fold_holdout(cs)
+    tr, va = features(train).persist(), features(val)
+    n_labels = int(cs.agg(F.max("label")).first()[0]) + 1
+    dim = len(tr.select("features").first()[0])
+    model = MultilayerPerceptronClassifier(layers=[dim, 512, 512, n_labels], seed=1, maxIter=50).fit(tr)
+    pred = model.transform(va)
+    return pred.agg(F.count(F.lit(1)).alias("n"),
+                    F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def _s7_sql() -> str:
+    from penprint.plans.q_sampling import diff_pairs_sql
+    files = "f AS (SELECT source AS author, doc_id AS file_id FROM documents)"
+    return f"""WITH {files}, {diff_pairs_sql()}
+SELECT p.sample_id, p.file_1, p.file_2, length(d1.text) AS len_1, length(d2.text) AS len_2
+FROM dpairs p JOIN documents d1 ON d1.doc_id = p.file_1 JOIN documents d2 ON d2.doc_id = p.file_2"""
+
+
+@register("s7_pair_texts", _s7_sql())
+def s7_pair_texts(spark, sf):
+    """Both texts of every different-author document pair (J5), by path join."""
+    from penprint.sources.files import read_text_by_path
+    docs = table(spark, sf, "documents")
+    files = docs.select(F.col("source").alias("author"), F.col("doc_id").alias("file_id"))
+    pairs = S.different_author_pairs(spark, files, files.count(), SEED)
+    contents = docs.select(F.col("doc_id").alias("filepath"), F.col("text").alias("file_content"))
+    t = read_text_by_path(pairs, contents)
+    return t.select("sample_id", "file_1", "file_2", F.length("text_1").cast("bigint").alias("len_1"),
+                    F.length("text_2").cast("bigint").alias("len_2"))

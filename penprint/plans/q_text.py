@@ -291,9 +291,10 @@ def a8_corpus_length_stats(spark, sf):
                                 F.round(F.avg(F.length("text")), 6).alias("avg_chars"))
 
 
-@register("a9_special_char_audit", """SELECT count_if(contains(text, chr(0))) AS with_nul,
-count_if(contains(replace(text, chr(0), ''), chr(0))) AS with_nul_after_clean,
-count_if(contains(text, chr(9))) AS with_tab, count_if(contains(text, chr(13))) AS with_cr FROM documents""")
+@register("a9_special_char_audit", """SELECT CAST(count_if(contains(text, chr(0))) AS BIGINT) AS with_nul,
+CAST(count_if(contains(replace(text, chr(0), ''), chr(0))) AS BIGINT) AS with_nul_after_clean,
+CAST(count_if(contains(text, chr(9))) AS BIGINT) AS with_tab,
+CAST(count_if(contains(text, chr(13))) AS BIGINT) AS with_cr FROM documents""")
 def a9_special_char_audit(spark, sf):
     d = _docs(spark, sf)
     return d.agg(F.count_if(F.col("text").contains("\u0000")).alias("with_nul"),
@@ -304,7 +305,7 @@ def a9_special_char_audit(spark, sf):
 
 @register("s14_ingest_audit", """WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY md5(text)) AS f FROM documents)
 SELECT CASE WHEN strlen(text) <= 100 THEN 'too_small' WHEN doc_id <> f THEN 'duplicate' ELSE 'loaded' END AS reject_reason,
-count(*) AS files, count_if(contains(text, '�')) AS with_replacement_chars FROM d GROUP BY 1""".replace(
+count(*) AS files, CAST(count_if(contains(text, '�')) AS BIGINT) AS with_replacement_chars FROM d GROUP BY 1""".replace(
     "\\ufffd", "�"))
 def s14_ingest_audit(spark, sf):
     """Files loaded / rejected by size (<= 100 bytes) / by duplicate, one pass."""

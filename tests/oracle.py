@@ -38,13 +38,34 @@ def rows_of(pdf):
     return sorted((tuple(_norm(r[c]) for c in cols) for _, r in pdf.iterrows()), key=repr), cols
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "float": "FLOAT", "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]",
+                 "array<bigint>": "BIGINT[]", "array<double>": "DOUBLE[]"}
+
+
+def type_mismatches(sdf, rel) -> list:
+    duck_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append((f.name, f.dataType.simpleString(), got))
+    return out
+
+
 def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None) -> tuple[bool, str]:
     con = con or duck(sf_dir)
     t0 = time.time()
-    sp = fn(spark, sf_dir).toPandas()
+    sdf = fn(spark, sf_dir)
+    sp = sdf.toPandas()
     t1 = time.time()
-    dd = con.execute(sql).fetchdf()
+    rel = con.sql(sql)
+    tm = type_mismatches(sdf, rel)
+    dd = rel.fetchdf()
     t2 = time.time()
+    if tm:
+        return False, f"type mismatch {tm}"
     a, ca = rows_of(sp)
     b, cb = rows_of(dd)
     if ca != cb:
