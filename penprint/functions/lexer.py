@@ -144,6 +144,12 @@ def _lit_map(pairs) -> Column:
 
 def encode_tokens(text, reserved: list[str] | None = None, keywords=CPP_KEYWORDS,
                   keyword_base: int = KEYWORD_BASE, spell_reserved_too: bool = False) -> Column:
+    """X9 + X10 on a text column (see ``encode_token_array``)."""
+    return encode_token_array(lex(text), reserved, keywords, keyword_base, spell_reserved_too)
+
+
+def encode_token_array(tokens, reserved: list[str] | None = None, keywords=CPP_KEYWORDS,
+                       keyword_base: int = KEYWORD_BASE, spell_reserved_too: bool = False) -> Column:
     """X9 + X10: lexer-token ids of a whole text, in one projection.
 
     Class ids 3–12, operators from 76, keywords from ``keyword_base`` (default
@@ -181,13 +187,18 @@ def encode_tokens(text, reserved: list[str] | None = None, keywords=CPP_KEYWORDS
                 .when(tok == "\n", F.array(F.lit(CLASS_IDS["newline"])))
                 .otherwise(F.array(F.element_at(ops, tok))))
 
-    return F.flatten(F.transform(lex(text), one))
+    return F.flatten(F.transform(_c(tokens), one))
 
 
 def identifiers(text, keywords=CPP_KEYWORDS) -> Column:
     """Identifier tokens (keywords excluded) of a whole text."""
+    return identifier_tokens(lex(text), keywords)
+
+
+def identifier_tokens(tokens, keywords=CPP_KEYWORDS) -> Column:
+    """Identifier tokens (keywords excluded) of a lexed token array."""
     kw = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(lex(text), lambda t: _is_ident_start(F.substring(t, 1, 1)) & ~F.array_contains(kw, t))
+    return F.filter(_c(tokens), lambda t: _is_ident_start(F.substring(t, 1, 1)) & ~F.array_contains(kw, t))
 
 
 def vocabulary_size(encoding: str, n_reserved: int = 0, keywords=CPP_KEYWORDS,

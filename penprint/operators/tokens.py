@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.functions.lexer import ALPHABET, CPP_KEYWORDS, identifiers, lex, token_class
+from penprint.functions.lexer import ALPHABET, CPP_KEYWORDS, identifier_tokens, identifiers, lex, token_class
 from penprint.operators.ranking import bucketed_ordinal, first_k
 
 
@@ -18,7 +18,8 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keyw
 
 
 def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_col: str = "doc_id",
-                    text: str = "text", keywords=CPP_KEYWORDS, max_len: int = 20) -> DataFrame:
+                    text: str = "text", keywords=CPP_KEYWORDS, max_len: int = 20,
+                    tokens_col: str | None = None) -> DataFrame:
     """K1: identifiers cut to ``max_len`` characters, counted; the n + 100 most
     frequent (ties: token ascending), the 63 single characters of the spelling
     alphabet removed, the first n kept.  Output (rank, token, count).
@@ -27,7 +28,9 @@ def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_c
     (document, position) order, as the reference does with 1/3.  The count is
     a partial aggregate; only n + 100 rows are ever ordered (TakeOrderedAndProject).
     """
-    if fraction is None:
+    if fraction is None and tokens_col is not None:
+        rows = docs.select(F.explode(identifier_tokens(F.col(tokens_col), keywords)).alias("token"))
+    elif fraction is None:
         rows = docs.select(F.explode(identifiers(text, keywords)).alias("token"))
     else:
         rows = token_rows(docs, id_col, text, keywords).where(F.col("class") == "identifier")
