@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penprint.functions import text as T
 from penprint.functions.rng import sql_h
 from penprint.operators import bpe
 from penprint.operators import sampling as S
