@@ -78,10 +78,13 @@ def best_epoch(history: DataFrame, by=("combination",)) -> DataFrame:
     return out.withColumnRenamed("loss", "train_loss") if "loss" in cols else out
 
 
-def best_per_combination(results: DataFrame, by=("combination",), metric: str = "accuracy") -> DataFrame:
-    """The best row (highest metric) per combination."""
+def best_per_combination(results: DataFrame, by=("combination",), metric: str = "accuracy",
+                         tie: str | None = None) -> DataFrame:
+    """The best row (highest metric, then highest ``tie``) per combination —
+    a ``max_by`` aggregate, partial per map task."""
     cols = [c for c in results.columns if c not in by]
-    best = results.groupBy(*by).agg(F.max_by(F.struct(*cols), F.col(metric)).alias("_b"))
+    key = F.struct(F.col(metric), F.col(tie)) if tie else F.col(metric)
+    best = results.groupBy(*by).agg(F.max_by(F.struct(*cols), key).alias("_b"))
     return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 

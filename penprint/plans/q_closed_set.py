@@ -22,8 +22,8 @@ def _cs(spark, sf):
     return closed_set(files_from_embeddings(spark, sf), K, None, SEED).persist()
 
 
-def _knn_sql(n: int, vote: str) -> str:
-    base = f"""WITH {closed_set_sql(K, SEED)},
+def _knn_sql(n: int, vote: str, k: int = K) -> str:
+    base = f"""WITH {closed_set_sql(k, SEED)},
 sims AS (SELECT q.file_id AS qid, q.label AS qlabel, q.fold AS qfold, b.file_id AS bid, b.label AS blabel,
                 {cosine_sql('q.embedding', 'b.embedding')} AS score
          FROM cs q JOIN cs b ON q.fold <> b.fold),
@@ -87,3 +87,69 @@ def j7_knn_top5_all(spark, sf):
     nb = knn_join(e, e, 5, id_col="file_id", vec_col="embedding")
     return nb.select("query_id", "base_id", F.col("rank").cast("int").alias("rank"),
                      F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ X22 / A21 / M13
+
+GRID = {"k_cross_val": [5, 9], "model": ["knn1", "knn5_mode", "knn5_distance"]}
+MODELS = {"knn1": (1, "mode"), "knn5_mode": (5, "mode"), "knn5_distance": (5, "distance")}
+
+
+def _grid_results(spark, sf):
+    """Mean closed-set accuracy for every combination of the grid."""
+    import json
+
+    from penprint.plans.experiments import param_grid
+    grid = param_grid(spark, GRID).collect()  # the grid itself: 6 rows
+    e = files_from_embeddings(spark, sf)
+    out = None
+    for g in grid:
+        k, model = json.loads(g["k_cross_val"]), json.loads(g["model"])
+        n, vote = MODELS[model]
+        cs = closed_set(e, k, None, SEED).persist()
+        nb = closed_set_neighbours(cs, n)
+        pred = mode_vote(nb) if vote == "mode" else distance_weighted_vote(nb, metric="cosine")
+        acc = mean_accuracy(fold_accuracy(pred)).select(
+            F.lit(int(g["combination"])).cast("bigint").alias("combination"), F.lit(model).alias("model"),
+            F.lit(k).alias("k_cross_val"), F.round("accuracy", 9).alias("accuracy"))
+        out = acc if out is None else out.unionByName(acc)
+    return out
+
+
+def _grid_sql() -> str:
+    parts = []
+    combo = 0
+    for k in GRID["k_cross_val"]:
+        for model in GRID["model"]:
+            n, vote = MODELS[model]
+            parts.append(f"""SELECT CAST({combo} AS BIGINT) AS combination, '{model}' AS model, {k} AS k_cross_val,
+round(avg(accuracy), 9) AS accuracy FROM ({_knn_sql(n, vote, k)})""")
+            combo += 1
+    return " UNION ALL ".join(parts)
+
+
+@register("x22_grid_results", _grid_sql())
+def x22_grid_results(spark, sf):
+    """X22 + A12: the (k, model) grid of closed-set classifiers, one mean accuracy each."""
+    return _grid_results(spark, sf)
+
+
+@register("a21_best_per_k", f"""SELECT k_cross_val, model, accuracy FROM (
+SELECT *, row_number() OVER (PARTITION BY k_cross_val ORDER BY accuracy DESC, model DESC) AS rk FROM ({_grid_sql()}))
+WHERE rk = 1""")
+def a21_best_per_k(spark, sf):
+    """The best classifier row for every k."""
+    from penprint.plans.experiments import best_per_combination
+    b = best_per_combination(_grid_results(spark, sf).drop("combination"), by=("k_cross_val",), tie="model")
+    return b.select("k_cross_val", "model", "accuracy")
+
+
+@register("m13_leaderboard", f"""SELECT model, k_cross_val, accuracy FROM (
+SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, k_cross_val) AS rk FROM ({_grid_sql()}))
+WHERE rk = 1""")
+def m13_leaderboard(spark, sf):
+    """Per model, its best k over the grid."""
+    from pyspark.sql import Window
+    r = _grid_results(spark, sf)
+    w = Window.partitionBy("model").orderBy(F.col("accuracy").desc(), F.col("k_cross_val"))
+    return r.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select("model", "k_cross_val", "accuracy")
