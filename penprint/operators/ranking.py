@@ -18,9 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from penprint.functions.rng import HASH_BITS
 
@@ -72,15 +71,16 @@ def first_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k
     return res if out else res.drop(rn)
 
 
-def sorted_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx") -> DataFrame:
-    """Dense 0-based index of rows in ``order_cols`` order, computed distributed.
-
-    A range-partitioned sort followed by ``zipWithIndex`` (per-partition counts
-    then offsets) — no single-partition window.  Meant for key tables such as
-    the distinct authors.
+def sorted_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx",
+                 partitions: int | None = None) -> DataFrame:
+    """Dense 0-based index of rows in ``order_cols`` order, computed distributed
+    and JVM-side: a range repartition makes the partition number a coarse,
+    monotone sort key, so the bucketed ordinal (per-partition counts, running
+    offsets, ``row_number`` inside a partition) gives the global rank without a
+    single-partition window.  Meant for key tables such as the distinct authors.
     """
-    spark: SparkSession = df.sparkSession
-    s = df.orderBy(*order_cols)
-    schema = T.StructType(s.schema.fields + [T.StructField(out, T.LongType(), False)])
-    rdd = s.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    return spark.createDataFrame(rdd, schema)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranged = (df.repartitionByRange(n, *order_cols)
+              .withColumn("_si_p", F.spark_partition_id()).persist())  # pin the partition numbers
+    res = bucketed_ordinal(ranged, [], ["_si_p"], [F.col(c) for c in order_cols], out=out)
+    return res.drop("_si_p")
