@@ -42,7 +42,7 @@ def get_spark(app: str = "penprint", master: str | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, required: bool = True) -> str | None:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is configured by the operator and is only read here.  Only
@@ -57,7 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        if required:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        return None
     path = tempfile.mkdtemp(prefix="penprint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
