@@ -37,19 +37,29 @@ def author_probabilities(files: DataFrame, author: str = "author") -> DataFrame:
         "probability", F.col("n_files") / F.lit(float(total)))
 
 
+SPLIT_AUTHOR_FILES = 1 << 16  # authors above this many files are ranked in hash buckets
+
+
 def file_ordinals(files: DataFrame, seed="p", author: str = "author", file_id: str = "file_id",
-                  with_counts: bool = True) -> DataFrame:
+                  with_counts: bool = True, bucket_bits: int = 10) -> DataFrame:
     """A2/A3 at scale: one row per (author, ordinal, file_id).
 
     The ordinal is the rank of ``h(seed,'ord',file_id)`` (tie: file id) inside
     the author, so it is a uniformly random bijection files -> [0, n).  Rows
     instead of an array: an author's file list is never collected into one row.
+    Authors with more than ``SPLIT_AUTHOR_FILES`` files are split into 2^bits
+    hash buckets (bucketed ordinal); smaller authors form one bucket, so the
+    bucket-offset table has about one row per author, not one per file.
     """
-    staged = files.withColumn("_h", h(seed, "ord", file_id))
-    out = hash_ordinal(staged, [author], "_h", [file_id], out="ordinal").drop("_h")
-    if with_counts:
-        out = out.join(author_file_counts(files, author), author)
-    return out
+    counts = author_file_counts(files, author)
+    staged = files.join(counts, author).withColumn("_h", h(seed, "ord", file_id))
+    from penprint.functions.rng import HASH_BITS
+    staged = staged.withColumn("_b", F.when(F.col("n_files") > SPLIT_AUTHOR_FILES,
+                                            F.shiftright(F.col("_h"), HASH_BITS - bucket_bits))
+                               .otherwise(F.lit(0).cast("bigint")))
+    out = bucketed_ordinal(staged, [author], ["_b"], [F.col("_h"), F.col(file_id)], out="ordinal")
+    out = out.drop("_h", "_b")
+    return out if with_counts else out.drop("n_files")
 
 
 def min_files_per_author(files: DataFrame, k: int, author: str = "author") -> DataFrame:

@@ -34,3 +34,15 @@ def test_hot_author_pairs_and_quotas(spark):
     assert hot.count() == q_hot
     assert hot.select(F.least("file_1", "file_2"), F.greatest("file_1", "file_2")).distinct().count() == q_hot
     assert hot.where("file_1 = file_2").count() == 0
+
+
+def test_file_ordinals_split_path_equals_plain_rank(spark, monkeypatch):
+    from pyspark.sql import Window
+    monkeypatch.setattr(S, "SPLIT_AUTHOR_FILES", 100)   # force the hot author into buckets
+    files = _skewed(spark)
+    got = S.file_ordinals(files, "p")
+    w = Window.partitionBy("author").orderBy(h("p", "ord", "file_id"), F.col("file_id"))
+    want = files.withColumn("ordinal", F.row_number().over(w) - 1)
+    a = got.select("author", "file_id", "ordinal")
+    b = want.select("author", "file_id", F.col("ordinal").cast("bigint"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
