@@ -3,10 +3,14 @@ express the whole result."""
 
 from __future__ import annotations
 
+from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.language import op4_language_id
+from penprint.llm.packing import op8_packing
 
 QUERIES = {
     "op4_language_id": op4_language_id,
+    "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
