@@ -6,11 +6,15 @@ from __future__ import annotations
 from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.language import op4_language_id
 from penprint.llm.packing import op8_packing
+from penprint.llm.substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
+}
