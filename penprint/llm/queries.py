@@ -7,8 +7,10 @@ from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.language import op4_language_id
 from penprint.llm.packing import op8_packing
 from penprint.llm.substrings import OP3_SQL, op3_substring_dedup
+from penprint.llm.suffixes import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
     "op8_packing": op8_packing,
