@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, functions as F
 
 from penprint.session import cut_lineage
@@ -35,12 +37,12 @@ def bucket_count(spark, total_bytes: float, per_bucket: float = 16e6) -> int:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back: cuts lineage.
-    Shuffle files of the finished step are released at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return cut_lineage(df)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+    """Checkpointed to the shared folder: cuts lineage.  Nothing refers to the
+    finished step afterwards, so its shuffle files go as soon as the driver
+    collects its garbage; that is asked for here, because a driver with a quiet
+    heap may not do so before the job ends."""
+    spark, out = df.sparkSession, cut_lineage(df)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
