@@ -6,11 +6,13 @@ from __future__ import annotations
 from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.jaccard import op6_jaccard_join
 from penprint.llm.language import op4_language_id
+from penprint.llm.licenses import OP1_SQL, op1_license_scan
 from penprint.llm.packing import op8_packing
 from penprint.llm.substrings import OP3_SQL, op3_substring_dedup
 from penprint.llm.suffixes import op2_suffix_dedup
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
@@ -20,5 +22,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
 }
