@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 from penprint.tables import TABLES
 
@@ -22,9 +23,11 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    if v is None or v is pd.NA:
+        return "null"
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return "null"  # pandas shows a null of a numeric column as nan
         return round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
