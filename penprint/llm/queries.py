@@ -3,6 +3,7 @@ express the whole result."""
 
 from __future__ import annotations
 
+from penprint.llm.decontaminate import op5_decontaminate
 from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.jaccard import op6_jaccard_join
 from penprint.llm.language import op4_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
