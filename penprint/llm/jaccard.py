@@ -288,42 +288,64 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, stars: bool) -
     else:
         dealt = (dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
                  .withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")))
-    full = (dealt.join(sets.select("cls", "n", "own", "lower"), "cls")
-            .select("entry", "_i", "_j", "_c", "cls", "label", "n", "own", "lower"))
-    num, den = bands.num, bands.den
+    # many blocks share a task: a call for each of them would cost more than its work
+    n_parts = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = (dealt.withColumn("_part", F.pmod(F.xxhash64("entry", "_i", "_j"), F.lit(n_parts)))
+            .join(sets.select("cls", "n", "own", "lower"), "cls")
+            .select("_part", F.xxhash64("entry", "_i", "_j").alias("block"), (F.col("_i") != F.col("_j")).alias("cross"),
+                    "_c", "cls", "label", "n", "own", "lower"))
 
     def run(table):
-        cls = table.column("cls").to_numpy()
-        order = np.argsort(cls)
-        cls, label = cls[order], table.column("label").to_numpy()[order]
-        n, chunk = table.column("n").to_numpy().astype(np.int64)[order], table.column("_c").to_numpy()[order]
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        own, lower = table.column("own").to_pylist(), table.column("lower").to_pylist()
-        out_a, out_b = [], []
-        by_band: dict[int, list] = {}
-        for at, o in enumerate(order.tolist()):
-            for b, mark in zip(bands.of(int(n[at])), (own[o], lower[o])):
-                by_band.setdefault(b, []).append((at, mark))
-        for got in by_band.values():
-            at = np.array([x for x, _ in got])
-            marks = np.frombuffer(b"".join(m for _, m in got), np.uint64).reshape(len(got), -1)
-            for q in range(1 if stars else len(at)):
-                later = np.arange(q + 1, len(at))
-                y = at[later]
-                ok = label[y] != label[at[q]]
-                if i != j:
-                    ok &= chunk[y] != chunk[at[q]]
-                small, large = np.minimum(n[y], n[at[q]]), np.maximum(n[y], n[at[q]])
-                later = later[ok & (small * den >= large * num)]
-                if len(later):
-                    y = at[later]
-                    apart = np.bitwise_count(marks[later] ^ marks[q]).sum(axis=1)
-                    y = y[apart <= bands.apart(n[y], n[at[q]])]
-                    out_a += [cls[at[q]]] * len(y)
-                    out_b += cls[y].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return full.groupBy("entry", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+        out = list(_near_in_blocks(table, bands, stars))
+        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]) if out else [], pa.int64())
+                         for i, c in enumerate(("a", "b"))})
+
+    return full.groupBy("_part").applyInArrow(run, "a long, b long").distinct()
+
+
+def _near_in_blocks(table, bands: Bands, stars: bool):
+    """(classes, classes) of near pairs inside the blocks of a table.  Pairs are
+    compared for all blocks at once: with the first class of their block
+    (stars), or those that stand k rows apart, for k = 1, 2, ..."""
+    block, cls, label = (table.column(c).to_numpy() for c in ("block", "cls", "label"))
+    n, chunk = table.column("n").to_numpy().astype(np.int64), table.column("_c").to_numpy()
+    cross = table.column("cross").to_numpy(zero_copy_only=False)
+    own, lower = table.column("own").to_pylist(), table.column("lower").to_pylist()
+    by_band: dict[int, list] = {}
+    for size in np.unique(n).tolist():
+        for b, marks in zip(bands.of(size), (own, lower)):
+            by_band.setdefault(b, []).append((np.flatnonzero(n == size), marks))
+
+    def near(x, y, marks):
+        ok = label[at[x]] != label[at[y]]
+        ok &= ~cross[at[x]] | (chunk[at[x]] != chunk[at[y]])
+        small, large = np.minimum(n[at[x]], n[at[y]]), np.maximum(n[at[x]], n[at[y]])
+        ok &= small * bands.den >= large * bands.num
+        x, y = x[ok], y[ok]
+        for i in range(0, len(x), 1 << 15):
+            u, v = x[i:i + (1 << 15)], y[i:i + (1 << 15)]
+            apart = np.bitwise_count(marks[u] ^ marks[v]).sum(axis=1)
+            close = apart <= bands.apart(n[at[u]], n[at[v]])
+            if close.any():
+                yield cls[at[u[close]]], cls[at[v[close]]]
+
+    for parts in by_band.values():
+        at = np.concatenate([x for x, _ in parts])
+        blobs = [m[i] for x, m in parts for i in x.tolist()]
+        order = np.lexsort((cls[at], block[at]))
+        at = at[order]
+        marks = np.frombuffer(b"".join(blobs[i] for i in order.tolist()), U).reshape(len(at), -1)
+        new = np.concatenate([[True], block[at][1:] != block[at][:-1]])
+        first = np.flatnonzero(new)
+        head = first[np.cumsum(new) - 1]
+        after = np.append(first, len(at))[np.cumsum(new)] - np.arange(len(at))  # rows of the block from here on
+        if stars:
+            rest = np.flatnonzero(~new)
+            yield from near(head[rest], rest, marks)
+        else:
+            for k in range(1, int(after.max())):
+                x = np.flatnonzero(after > k)
+                yield from near(x, x + k, marks)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
