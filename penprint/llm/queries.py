@@ -6,6 +6,7 @@ from __future__ import annotations
 from penprint.llm.decontaminate import op5_decontaminate
 from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.jaccard import op6_jaccard_join
+from penprint.llm.katz import op7_language_model
 from penprint.llm.language import op4_language_id
 from penprint.llm.licenses import OP1_SQL, op1_license_scan
 from penprint.llm.packing import op8_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
 }
