@@ -42,7 +42,7 @@ class Packer:
     ones, so a cut leaves them at the end."""
 
     def __init__(self, tokens: int, segments: int, loss: int, most_pool: int = POOL):
-        self.limit = np.array([tokens, segments, loss], np.int64)
+        self.limit = np.array([tokens, segments, loss], np.float64)
         self.most_pool, self.pool = most_pool, np.empty((0, 4), np.int64)
         self.left, self.n, self.offset = self.limit.copy(), 0, 0
         self.open = False
@@ -71,10 +71,11 @@ class Packer:
 
     def _put(self, i: int) -> tuple:
         doc, start, length, loss = self.pool[i].tolist()
-        self.pool = np.delete(self.pool, i, axis=0)
+        self.pool[i:-1] = self.pool[i + 1:]
+        self.pool = self.pool[:-1]
         row = (doc, start, length, loss, self.n, self.offset)
         self.offset += length
-        self.left -= (length, 1, loss)
+        self.left -= np.array((length, 1, loss))
         self.open = True
         if self.left[0] == 0 or self.left[1] == 0:
             self._close()
@@ -88,11 +89,12 @@ class Packer:
         self.pool = np.concatenate([self.pool, [[doc, start + length, whole - length, later]]])
 
     def _place(self) -> list[tuple]:
-        demand = np.stack([self.pool[:, 2], np.ones(len(self.pool), np.int64), self.pool[:, 3]], axis=1)
-        fits = (demand <= self.left).all(axis=1)
-        if fits.any():
-            score = np.where(fits, (demand / self.limit) @ (self.left / self.limit), -1.0)
-            return [self._put(int(score.argmax()))]
+        length, loss = self.pool[:, 2], self.pool[:, 3]
+        fits = np.flatnonzero((length <= self.left[0]) & (loss <= self.left[2]))
+        if len(fits):
+            # (demand / limit) . (left / limit); a piece demands one segment, which is the same for all
+            weight = self.left / self.limit ** 2
+            return [self._put(int(fits[(length[fits] * weight[0] + loss[fits] * weight[2]).argmax()]))]
         i = int(self.pool[:, 2].argmax())
         length, loss = int(self.pool[i, 2]), int(self.pool[i, 3])
         # tokens that fit: those before the loss-bearing part, then as many of it as are left
@@ -109,7 +111,7 @@ class Packer:
         out = []
         while len(self.pool):
             size = 1 << (int(self.pool[:, 2].sum()).bit_length() - 1)
-            saved, self.limit = self.limit, np.array([size, self.limit[1], self.limit[2]], np.int64)
+            saved, self.limit = self.limit, np.array([size, self.limit[1], self.limit[2]])
             self.left = self.limit.copy()
             while len(self.pool):
                 out += self._place()
