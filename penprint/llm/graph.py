@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from penprint.llm.frames import saved
+from penprint.session import cut_lineage
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,7 +23,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
                  .where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = saved(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:

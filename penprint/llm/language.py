@@ -165,6 +165,28 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             .mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean"))
 
 
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, whose language can be told: the text has a
+    letter and its nearest codeword is not ambiguous.  Without a learned
+    language only texts without a letter go."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            keep = []
+            for text in b.column(at).to_pylist():
+                known = bool(text and _LETTER.search(text))
+                if known and m["langs"]:
+                    x = _counts(_clean(text), m["bins"])
+                    n = int(x.sum())
+                    known = not decode(m, x @ m["w"] / max(n, 1), n)[2]
+                keep.append(known)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def holdout(id_col: str, modulus: int, remainder: int):
     """crc32 of the id as text, modulo; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from penprint.llm.arrays import BYTE_CODES, U, mix, rolling, slices, sliding_min, utf8
-from penprint.llm.frames import keyed, saved, text_bytes
+from penprint.llm.frames import NULL_KEY, keyed, saved, text_bytes
 
 WIDTH = 100
 CORE = 40
@@ -398,10 +398,8 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   core: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row: maximal removed byte spans
-    [first, after) of the UTF-8 text, and its other bytes."""
+def repeated_marks(docs: DataFrame, id_col: str, text_col: str, width: int, core: int | None):
+    """(grp, block) of all repeated windows, and the number of groups."""
     spark = docs.sparkSession
     core = core or max(1, width * CORE // WIDTH)
     if not 1 <= core <= width <= 250:
@@ -409,12 +407,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = text_bytes(docs, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(2 * parts, int(total / 24e6) + 1)
-    rows = keyed(docs, id_col, text_col).select("_id", "_key", "_text")
+    rows = keyed(docs, id_col, text_col).select("_key", "_text")
     cell_splits, window_splits = sample_splitters(rows, total, n, width, core)
     level1 = saved(settle_cells(rows, cell_splits, n, width, core))
     level2 = saved(settle_windows(rows, level1, window_splits, n, width))
     marks = (level1.unionByName(level2).where(F.col("kind") == MARKS)
              .unionByName(across_boundaries(level2, n)).select("grp", "block"))
+    return marks, n
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                   core: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) of every row: maximal removed byte spans
+    [first, after) of the UTF-8 text, and its other bytes."""
+    marks, n = repeated_marks(docs, id_col, text_col, width, core)
 
     def finish(own, marked):
         wanted = _by_key(marked.column("block").to_pylist())
@@ -433,11 +439,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))),
                          "kept": pa.array(kept, pa.binary())})
 
-    grouped = rows.select("_id", "_key", "_text", group_column(n).alias("grp"))
+    grouped = keyed(docs, id_col, text_col).select("_id", "_key", "_text", group_column(n).alias("grp"))
     return (grouped.groupBy("grp").cogroup(marks.groupBy("grp"))
             .applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<first:long,after:long>>, kept binary"))
 
 
+def whole_characters(raw: bytes, mask: np.ndarray) -> np.ndarray:
+    """A character goes only if all its bytes do."""
+    buf = np.frombuffer(raw, np.uint8)
+    starts = np.flatnonzero((buf & 0xC0) != 0x80)
+    gone = np.logical_and.reduceat(mask, starts)
+    return np.repeat(gone, np.diff(np.append(starts, len(buf))))
+
+
+def rewrite(docs: DataFrame, id_col: str, columns: list[str], text_col: str = "text",
+            width: int = WIDTH) -> DataFrame:
+    """``columns`` of every row with the repeated strings taken out of the text
+    (at whole characters); ``n_chars``, if among them, is counted anew.  A row
+    that loses all its text goes; an empty or null text stays as it is."""
+    marks, n = repeated_marks(docs, id_col, text_col, width, None)
+    out = docs.select(*columns).schema
+    own_rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.struct(*columns).alias("_row"))
+    at = columns.index(text_col)
+
+    def finish(own, marked):
+        wanted = _by_key(marked.column("block").to_pylist())
+        fields = own.column("_row").combine_chunks().flatten()
+        texts, keep = fields[at].to_pylist(), []
+        for i, (key, text) in enumerate(zip(own.column("_key").to_pylist(), texts)):
+            if text and key in wanted:
+                raw = text.encode()
+                mask = whole_characters(raw, removed_mask(raw, wanted[key], width))
+                texts[i] = np.frombuffer(raw, np.uint8)[~mask].tobytes().decode()
+            keep.append(not text or bool(texts[i]))
+        fields[at] = pa.array(texts, fields[at].type)
+        if "n_chars" in columns:
+            k = columns.index("n_chars")
+            fields[k] = pa.array([None if t is None else len(t) for t in texts], fields[k].type)
+        return pa.Table.from_arrays(fields, names=list(columns)).filter(pa.array(keep, pa.bool_()))
+
+    return (own_rows.withColumn("grp", group_column(n)).groupBy("grp").cogroup(marks.groupBy("grp"))
+            .applyInArrow(finish, out))
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
