@@ -12,6 +12,7 @@ from penprint.llm.licenses import OP1_SQL, op1_license_scan
 from penprint.llm.packing import op8_packing
 from penprint.llm.substrings import OP3_SQL, op3_substring_dedup
 from penprint.llm.suffixes import op2_suffix_dedup
+from penprint.llm.tokenfile import op10_token_files
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
