@@ -107,11 +107,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         F.concat(F.col("item")[p]["t"], F.col("item")[p]["v"]).alias("a"),
         F.concat(F.col("doc")[p + F.col("best.shift")]["t"], F.col("doc")[p + F.col("best.shift")]["v"]).alias("b"),
         F.col("item")[p]["v"].alias("v"))), lambda s: s["v"] != "")
+    # a pair of values agrees with all others if each of them has no second partner
+    alone = lambda s: F.size(F.filter("slots", lambda x: (x["a"] == s["a"]) | (x["b"] == s["b"]))) == 1
     return (both.withColumn("slots", F.array_distinct(slots))
             .withColumn("n_slots", F.size("slots"))
             .withColumn("n_changed", F.size(F.filter("slots", lambda s: s["a"] != s["b"])))
             .withColumn("consistency", F.when(F.col("n_slots") == 0, F.lit(1.0)).otherwise(
-                F.least(F.size(F.array_distinct("slots.a")), F.size(F.array_distinct("slots.b"))) / F.col("n_slots")))
+                F.size(F.filter("slots", alone)) / F.col("n_slots")))
             .where(F.col("consistency") >= CONSISTENCY)
             .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"),
                     (F.col("n_windows") / F.col("total")).alias("coverage"),
