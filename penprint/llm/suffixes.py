@@ -406,7 +406,7 @@ def repeated_marks(docs: DataFrame, id_col: str, text_col: str, width: int, core
         raise ValueError("width must lie in [1, 250] and core in [1, width]")
     total = text_bytes(docs, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(2 * parts, int(total / 24e6) + 1)
+    n = max(parts, int(total / 24e6) + 1)
     rows = keyed(docs, id_col, text_col).select("_key", "_text")
     cell_splits, window_splits = sample_splitters(rows, total, n, width, core)
     level1 = saved(settle_cells(rows, cell_splits, n, width, core))
