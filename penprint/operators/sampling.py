@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.functions.rng import draw, h, u01
+from penprint.functions.rng import HASH_BITS, draw, h, u01
 from penprint.operators.ranking import bucketed_ordinal, first_k, hash_ordinal
 from penprint.tables import fan_out_ready
 
@@ -53,7 +53,6 @@ def file_ordinals(files: DataFrame, seed="p", author: str = "author", file_id: s
     """
     counts = author_file_counts(files, author)
     staged = files.join(counts, author).withColumn("_h", h(seed, "ord", file_id))
-    from penprint.functions.rng import HASH_BITS
     staged = staged.withColumn("_b", F.when(F.col("n_files") > SPLIT_AUTHOR_FILES,
                                             F.shiftright(F.col("_h"), HASH_BITS - bucket_bits))
                                .otherwise(F.lit(0).cast("bigint")))
@@ -236,36 +235,23 @@ def _draw_budget(q: Column, level: int) -> Column:
     return ((F.lit(2) * q + F.lit(32)) * F.lit(2 ** level)).cast("bigint")
 
 
-def _dense(q: Column, c: Column) -> Column:
-    """Quota is a large share of all pairs: enumerate them (C <= 4q + 64)."""
-    return c <= F.lit(4) * q + F.lit(64)
-
-
 def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p", tag: str = "comb",
                     max_levels: int = 40) -> DataFrame:
     """``quota`` distinct values of [0, ``space``) per ``key``, uniformly without
     replacement, never enumerating a large space.
 
-    * dense keys (space <= 4q + 64): all values, the q with the smallest
-      ``h(seed, tag, key, value)``;
-    * sparse keys: the first q *distinct* values of the draw sequence
-      ``h(seed, tag, key, t) mod space``, t = 0, 1, ...  Draws are made in a
-      budget of 2q+32; a key whose budget yields fewer than q distinct values
-      (rare) is redone with a doubled budget — the answer does not depend on
-      the budget.  Draw generation is chunked so a hot key's draws spread over
-      many tasks; the per-key rank by draw order uses the bucketed ordinal.
+    The first q *distinct* values of the draw sequence ``h(seed, tag, key, t)
+    mod space``, t = 0, 1, ...  Draws are made in a budget of 2q+32; a key whose
+    budget yields fewer than q distinct values (a quota near the whole space
+    needs about space * ln(space) draws) is redone with a doubled budget — the
+    answer does not depend on the budget.  Draw generation is chunked so a hot
+    key's draws spread over many tasks; the per-key rank by draw order uses the
+    bucketed ordinal.
 
     Output (key, value, draw_t).
     """
     base = groups.select(key, F.col(space).alias("_C"), F.col(quota).alias("_q")).where(F.col("_q") > 0)
-    dense = base.where(_dense(F.col("_q"), F.col("_C")))
-    d = fan_out_ready(dense).withColumn("value", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_C") - 1)))
-    d = d.withColumn("draw_t", h(seed, tag, key, "value"))
-    w = Window.partitionBy(key).orderBy(F.col("draw_t"), F.col("value"))
-    d = d.withColumn("_o", F.row_number().over(w))
-    results = [d.where(F.col("_o") <= F.col("_q")).select(key, "value", "draw_t")]
-
-    todo = base.where(~_dense(F.col("_q"), F.col("_C")))
+    results, todo = [], base
     chunk = 4096
     for level in range(max_levels):
         t = todo.withColumn("_T", _draw_budget(F.col("_q"), level))
@@ -435,6 +421,8 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
     multi = min_files_per_author(files, 2, author)
     ords = file_ordinals(multi, seed, author, file_id).persist()  # used three times below
     counts = ords.select(author, "n_files").distinct()
+    if n_samples > 0 and counts.limit(batch_size).count() < batch_size:
+        raise ValueError(f"a batch of {batch_size} needs as many authors with two files")
     nb = math.ceil(n_samples / batch_size)
     keys = fan_out_ready(counts).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     keys = keys.withColumn("_u", (h(seed, "esu", "batch", author) + F.lit(0.5)) / F.lit(2.0 ** 52))
@@ -453,32 +441,40 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
 
 
 def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5, seed="p",
-                      epoch: int = 0, author: str = "author", file_id: str = "file_id",
-                      retries: int = 8) -> DataFrame:
+                      epoch: int = 0, author: str = "author", file_id: str = "file_id") -> DataFrame:
     """One epoch of the on-the-fly pair generator.
 
     Per sample: match with probability ``match_rate``.  Match: a uniform file
     among authors with > 1 file picks the author, then two distinct uniform
-    files of that author.  Non-match: two distinct uniform files, redrawn while
-    their authors are equal — the retries t = 0, 1, ... are enumerated in
-    rounds of ``retries`` and the first accepted t wins; unresolved samples go
-    to the next round, so the result is exact for any skew.
+    files of that author.  Non-match: two distinct uniform files with different
+    authors.  Drawing both and redrawing while the authors are equal has the
+    same law as drawing the first author with weight n_a * (N - n_a), a uniform
+    file of it, and a uniform one of the N - n_a files outside; so nothing is
+    redrawn and the plan is the same for any skew.
+
+    The weights' running sum is cut into ranges of equal width; an author is
+    listed in each range that it touches, and a draw meets the authors of its
+    range in an equi-join.  Raises ValueError where a kind of pair cannot exist.
     """
     tag = f"e{epoch}"
     ords = file_ordinals(files, seed, author, file_id).persist()
-    n_all = ords.count()
-    # global index over all files and over files of multi-file authors
-    gall = hash_ordinal(ords.withColumn("_g", h(seed, "gall", file_id)), [], "_g", [file_id], out="gidx")
-    gall = gall.drop("_g").persist()
+    counts = ords.select(author, "n_files").distinct().persist()
+    n_all, n_authors, n_multi, total = counts.agg(
+        F.sum("n_files"), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("n_files") > 1, F.col("n_files"))), F.lit(0)),
+        F.sum(F.col("n_files").cast("decimal(19,0)") * F.col("n_files").cast("decimal(19,0)"))).first()
+    n_all = int(n_all or 0)
+    weight = n_all * n_all - int(total or 0)
+    if match_rate < 1 and not weight:
+        raise ValueError("pairs of different authors need at least two authors")
+    if match_rate > 0 and not n_multi:
+        raise ValueError("pairs of one author need an author with two files")
     multi = ords.where(F.col("n_files") > 1)
-    n_multi = multi.count()
-    gmul = hash_ordinal(multi.withColumn("_g", h(seed, "gmul", file_id)), [], "_g", [file_id], out="midx")
-    gmul = gmul.drop("_g")
+    gmul = hash_ordinal(multi.withColumn("_g", h(seed, "gmul", file_id)), [], "_g", [file_id], out="midx").drop("_g")
 
     s = spark.range(n).withColumnRenamed("id", "sample_id")
     s = s.withColumn("label", (u01(seed, f"{tag}m", "sample_id") < match_rate).cast("int"))
     # matched
-    m = s.where("label = 1").withColumn("midx", draw(seed, f"{tag}mf", n_multi, "sample_id"))
+    m = s.where("label = 1").withColumn("midx", draw(seed, f"{tag}mf", max(int(n_multi), 1), "sample_id"))
     m = m.join(gmul.select("midx", author, "n_files"), "midx")
     m = m.withColumn("_o1", F.pmod(h(seed, f"{tag}m1", "sample_id"), F.col("n_files")))
     m = m.withColumn("_o2", F.pmod(h(seed, f"{tag}m2", "sample_id"), F.col("n_files") - 1))
@@ -487,24 +483,32 @@ def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5,
     f2 = ords.select(author, F.col("ordinal").alias("_o2"), F.col(file_id).alias("file_2"))
     matched = m.join(f1, [author, "_o1"]).join(f2, [author, "_o2"]).select(
         "sample_id", "label", "file_1", "file_2")
-    # non-matched: rejection rounds
-    pending = s.where("label = 0").select("sample_id")
-    parts = []
-    g1 = gall.select(F.col("gidx").alias("_g1"), F.col(file_id).alias("file_1"), F.col(author).alias("_a1"))
-    g2 = gall.select(F.col("gidx").alias("_g2"), F.col(file_id).alias("file_2"), F.col(author).alias("_a2"))
-    for rnd in range(64):
-        c = pending.withColumn("_t", F.explode(F.sequence(F.lit(rnd * retries), F.lit(rnd * retries + retries - 1))))
-        c = c.withColumn("_g1", draw(seed, f"{tag}n1", n_all, "sample_id", "_t"))
-        c = c.withColumn("_g2", draw(seed, f"{tag}n2", n_all - 1, "sample_id", "_t"))
-        c = c.withColumn("_g2", F.when(F.col("_g2") >= F.col("_g1"), F.col("_g2") + 1).otherwise(F.col("_g2")))
-        c = c.join(g1, "_g1").join(g2, "_g2").where(F.col("_a1") != F.col("_a2"))
-        best = c.groupBy("sample_id").agg(F.min_by(F.struct("file_1", "file_2"), F.col("_t")).alias("p"))
-        best = best.select("sample_id", F.lit(0).alias("label"), "p.file_1", "p.file_2").persist()
-        parts.append(best)
-        pending = pending.join(best, "sample_id", "left_anti").persist()
-        if pending.limit(1).count() == 0:
-            break
-    out = matched
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    # non-matched: authors laid out by a hash, with the running sum of their weights
+    big = lambda c: c.cast("decimal(38,0)")
+    w = counts.withColumn("_h", h(seed, "w8a", author)).withColumn("_b", F.shiftright(F.col("_h"), HASH_BITS - 10))
+    w = w.withColumn("_w", big(F.col("n_files").cast("decimal(19,0)") * (F.lit(n_all) - F.col("n_files")).cast("decimal(19,0)")))
+    per = w.groupBy("_b").agg(big(F.sum("_w")).alias("_sum"))
+    per = per.withColumn("_off", big(F.sum("_sum").over(Window.orderBy("_b")) - F.col("_sum"))).select("_b", "_off")
+    inside = Window.partitionBy("_b").orderBy("_h", author).rowsBetween(Window.unboundedPreceding, 0)
+    w = (w.join(per, "_b").withColumn("_to", big(F.col("_off") + F.sum("_w").over(inside)))
+         .withColumn("_from", big(F.col("_to") - F.col("_w"))).where(F.col("_w") > 0))
+    width = max(1, -(-weight // max(1, min(int(n_authors), 1 << 20))))
+    slot = lambda c: F.floor(c / F.lit(width).cast("decimal(38,0)")).cast("bigint")
+    w = w.withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to") - 1))))
+    draws = s.where("label = 0").select("sample_id", big(
+        (big(h(seed, f"{tag}n1", "sample_id")) * F.lit(1 << HASH_BITS).cast("decimal(17,0)")
+         + h(seed, f"{tag}n2", "sample_id")) % F.lit(max(weight, 1)).cast("decimal(38,0)")).alias("_u"))
+    first = (draws.withColumn("_slot", slot(F.col("_u"))).join(w, "_slot")
+             .where((F.col("_from") <= F.col("_u")) & (F.col("_u") < F.col("_to"))).select("sample_id", author, "n_files"))
+    # all files contiguous by author: the second draw skips the first author's block
+    gall = hash_ordinal(ords.withColumn("_g", h(seed, "gall", file_id)), [], "_g", [file_id], out="gidx",
+                        prefix_cols=[author]).drop("_g").persist()
+    start = gall.groupBy(author).agg(F.min("gidx").alias("_start"))
+    c = first.join(start, author)
+    c = c.withColumn("_o1", F.pmod(h(seed, f"{tag}n3", "sample_id"), F.col("n_files")))
+    c = c.withColumn("_r", F.pmod(h(seed, f"{tag}n4", "sample_id"), F.lit(n_all) - F.col("n_files")))
+    c = c.withColumn("gidx", F.when(F.col("_r") < F.col("_start"), F.col("_r")).otherwise(F.col("_r") + F.col("n_files")))
+    g2 = gall.select("gidx", F.col(file_id).alias("file_2"))
+    unmatched = (c.join(f1, [author, "_o1"]).join(g2, "gidx")
+                 .select("sample_id", F.lit(0).alias("label"), "file_1", "file_2"))
+    return matched.unionByName(unmatched)

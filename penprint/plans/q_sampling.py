@@ -11,6 +11,7 @@ from penprint.operators import sampling as S
 from penprint.plans.closed_set import limit_authors
 from penprint.plans.pair_dataset import build_contrastive_combinations, build_pair_dataset
 from penprint.plans.registry import register
+from penprint.plans.sqlparts import draws_sql
 from penprint.tables import files_from_orders, table
 
 SEED = "p"
@@ -170,19 +171,16 @@ def a10_distinct_authors(spark, sf):
 
 
 def pair_ranks_sql(quota_cte: str, group: str | None = None, tag: str = "comb") -> str:
-    """Oracle for the W7 engine: dense authors enumerate, sparse authors draw."""
+    """Oracle for the W7 engine: the first distinct draws of every author."""
     g = f"{group}, " if group else ""
     return f"""q AS ({quota_cte}),
 qc AS (SELECT {g}author, n_files, quota, (n_files * (n_files - 1) // 2) AS c FROM q WHERE quota > 0),
-dn AS (SELECT {g}author, quota, unnest(generate_series(0, c - 1)) AS pair_rank FROM qc WHERE c <= 4 * quota + 64),
-dn2 AS (SELECT * FROM (SELECT {g}author, pair_rank, row_number() OVER (PARTITION BY {g}author
-          ORDER BY {H(tag, 'author', 'pair_rank')}, pair_rank) AS o, quota FROM dn) WHERE o <= quota),
-sd AS (SELECT {g}author, quota, c, unnest(generate_series(0, 2 * quota + 31)) AS t FROM qc WHERE c > 4 * quota + 64),
+sd AS (SELECT {g}author, quota, c, unnest(generate_series(0, {draws_sql('quota', 'c')})) AS t FROM qc),
 sd1 AS (SELECT {g}author, quota, {H(tag, 'author', 't')} % c AS pair_rank, t FROM sd),
 sd2 AS (SELECT {g}author, quota, pair_rank, min(t) AS t FROM sd1 GROUP BY {g}author, quota, pair_rank),
 sd3 AS (SELECT * FROM (SELECT {g}author, pair_rank, row_number() OVER (PARTITION BY {g}author ORDER BY t) AS o, quota
           FROM sd2) WHERE o <= quota),
-ranks AS (SELECT {g}author, pair_rank FROM dn2 UNION ALL SELECT {g}author, pair_rank FROM sd3),
+ranks AS (SELECT {g}author, pair_rank FROM sd3),
 jj AS (SELECT {g}author, pair_rank,
               CAST(floor((1 + sqrt(1 + 8 * pair_rank::DOUBLE)) / 2) AS BIGINT) AS j0 FROM ranks),
 jj2 AS (SELECT {g}author, pair_rank, CASE WHEN j0 * (j0 - 1) // 2 > pair_rank THEN j0 - 1
@@ -357,7 +355,7 @@ def w18_shuffle_and_batch(spark, sf):
 
 W8_SQL = f"""WITH {FILES}, {CNT}, {ORDS},
 o AS (SELECT ords.*, cnt.n_files FROM ords JOIN cnt USING (author)),
-gall AS (SELECT author, file_id, row_number() OVER (ORDER BY {H('gall', 'file_id')}, file_id) - 1 AS gidx FROM o),
+gall AS (SELECT author, file_id, row_number() OVER (ORDER BY author, {H('gall', 'file_id')}, file_id) - 1 AS gidx FROM o),
 gmul AS (SELECT author, file_id, n_files, row_number() OVER (ORDER BY {H('gmul', 'file_id')}, file_id) - 1 AS midx
          FROM o WHERE n_files > 1),
 nn AS (SELECT (SELECT count(*) FROM o) AS n_all, (SELECT count(*) FROM gmul) AS n_multi),
@@ -370,14 +368,18 @@ m2 AS (SELECT sample_id, author, {H('e0m1', 'sample_id')} % n_files AS o1,
 m3 AS (SELECT sample_id, author, o1, CASE WHEN o2r >= o1 THEN o2r + 1 ELSE o2r END AS o2 FROM m2),
 matched AS (SELECT m3.sample_id, 1 AS label, a.file_id AS file_1, b.file_id AS file_2 FROM m3
             JOIN o a ON a.author = m3.author AND a.ordinal = m3.o1 JOIN o b ON b.author = m3.author AND b.ordinal = m3.o2),
-t AS (SELECT sl.sample_id, tt AS t FROM sl, LATERAL (SELECT unnest(generate_series(0, 7)) AS tt) WHERE sl.label = 0),
-t2 AS (SELECT sample_id, t, {H('e0n1', 'sample_id', 't')} % nn.n_all AS g1,
-              {H('e0n2', 'sample_id', 't')} % (nn.n_all - 1) AS g2r FROM t, nn),
-t3 AS (SELECT sample_id, t, g1, CASE WHEN g2r >= g1 THEN g2r + 1 ELSE g2r END AS g2 FROM t2),
-t4 AS (SELECT t3.sample_id, t3.t, a.file_id AS file_1, b.file_id AS file_2 FROM t3
-       JOIN gall a ON a.gidx = t3.g1 JOIN gall b ON b.gidx = t3.g2 WHERE a.author <> b.author),
-unmatched AS (SELECT sample_id, 0 AS label, arg_min(file_1, t) AS file_1, arg_min(file_2, t) AS file_2
-              FROM t4 GROUP BY sample_id)
+wt AS (SELECT author, n_files, CAST(n_files AS HUGEINT) * (n_all - n_files) AS w FROM cnt, nn),
+cum AS (SELECT author, n_files, w, sum(w) OVER (ORDER BY {H('w8a', 'author')}, author) AS hi FROM wt),
+tot AS (SELECT CAST(sum(w) AS HUGEINT) AS w FROM wt),
+t AS (SELECT sl.sample_id, (CAST({H('e0n1', 'sample_id')} AS HUGEINT) * 4503599627370496 + {H('e0n2', 'sample_id')}) % tot.w AS u
+      FROM sl, tot WHERE sl.label = 0),
+t2 AS (SELECT t.sample_id, cum.author, cum.n_files FROM t JOIN cum ON cum.hi - cum.w <= t.u AND t.u < cum.hi),
+st AS (SELECT author, min(gidx) AS start FROM gall GROUP BY author),
+t3 AS (SELECT t2.sample_id, t2.author, t2.n_files, st.start, {H('e0n3', 't2.sample_id')} % t2.n_files AS o1,
+              {H('e0n4', 't2.sample_id')} % (nn.n_all - t2.n_files) AS r FROM t2 JOIN st ON st.author = t2.author, nn),
+unmatched AS (SELECT t3.sample_id, 0 AS label, a.file_id AS file_1, b.file_id AS file_2 FROM t3
+       JOIN o a ON a.author = t3.author AND a.ordinal = t3.o1
+       JOIN gall b ON b.gidx = CASE WHEN t3.r < t3.start THEN t3.r ELSE t3.r + t3.n_files END)
 SELECT * FROM matched UNION ALL SELECT * FROM unmatched"""
 
 

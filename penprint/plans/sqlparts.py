@@ -29,15 +29,19 @@ cs AS (SELECT file_id, author, embedding, CAST(label AS INTEGER) AS label,
        FROM cs0)"""
 
 
+def draws_sql(q: str, space: str) -> str:
+    """Enough draws for q distinct values: a quota near the whole space needs
+    about space * ln(space) of them."""
+    return (f"CASE WHEN {space} <= 4 * {q} + 64 THEN CAST({space} * (ln({space}) + 25) AS BIGINT) + 64 "
+            f"ELSE 2 * {q} + 31 END")
+
+
 def distinct_sql(groups: str, key: str, tag: str, seed: str = "p") -> str:
     """Oracle of ``sampling.sample_distinct`` for a CTE ``groups`` with columns
     (key, sp, q): CTE ``dv`` (key, value)."""
     return f"""dq AS (SELECT {key} AS k, sp, q FROM {groups} WHERE q > 0),
-dd AS (SELECT k, q, unnest(generate_series(0, sp - 1)) AS value FROM dq WHERE sp <= 4 * q + 64),
-dd2 AS (SELECT * FROM (SELECT k, value, row_number() OVER (PARTITION BY k
-         ORDER BY {sql_h(seed, tag, 'k', 'value')}, value) AS o, q FROM dd) WHERE o <= q),
-ds AS (SELECT k, q, sp, unnest(generate_series(0, 2 * q + 31)) AS t FROM dq WHERE sp > 4 * q + 64),
+ds AS (SELECT k, q, sp, unnest(generate_series(0, {draws_sql('q', 'sp')})) AS t FROM dq),
 ds1 AS (SELECT k, q, {sql_h(seed, tag, 'k', 't')} % sp AS value, t FROM ds),
 ds2 AS (SELECT k, q, value, min(t) AS t FROM ds1 GROUP BY k, q, value),
 ds3 AS (SELECT * FROM (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY t) AS o, q FROM ds2) WHERE o <= q),
-dv AS (SELECT k AS {key}, value FROM dd2 UNION ALL SELECT k AS {key}, value FROM ds3)"""
+dv AS (SELECT k AS {key}, value FROM ds3)"""
