@@ -38,13 +38,13 @@ from penprint.llm.language import holdout
 
 K = 5
 END, BEGIN = mix(np.array([1, 2], U), 31)
-_SHARD = 8 << 20
+_SHARD = 16 << 20
 
 SHARD = "shard long, ids binary, null_ids binary, held binary, sizes binary, words binary, tokens binary"
 
 
 def shards(docs: DataFrame, id_col: str, text_col: str, held) -> DataFrame:
-    """One row for each run of documents (about 8 MB of text)."""
+    """One row for each run of documents (about 16 MB of text)."""
     def run(batches):
         k, rows, size = 0, [], 0
 
@@ -232,8 +232,9 @@ class Model:
         return np.where(c > 0, self.one.counts(c) / max(self.one.total, 1), self.p_unseen)
 
 
-def _returned(back, shard: Shard, pairs, n: int):
-    """Corpus counts of words and pairs, and which pairs are this shard's own."""
+def _returned(back):
+    """Corpus counts of words and pairs, which pairs are this shard's own, and
+    the context sums by range."""
     got: dict[int, list] = {1: [], 2: [], 3: []}
     for step, bucket, body in zip(*(back.column(c).to_pylist() for c in ("step", "bucket", "body"))):
         got[step].append((bucket, body))
@@ -249,45 +250,52 @@ def _returned(back, shard: Shard, pairs, n: int):
     return out[0][0], out[1][0], out[1][1], sorted(got[3], key=lambda x: x[0])
 
 
-def context_sums(store: DataFrame, back: DataFrame, model, docs_trained: int, n: int) -> DataFrame:
-    """For each context, sent back to the shards: its denominator and backoff
-    weight.  A pair is added up by the shard that owns it."""
+def asked(v: np.ndarray, c2: np.ndarray, size: int) -> np.ndarray:
+    """Contexts whose corpus sums a shard needs: those before an unseen pair, and
+    those all of whose pairs here are frequent (perhaps none is discounted)."""
+    here = np.bincount(v, minlength=size) > 0
+    unseen = np.bincount(v, c2 == 0, size) > 0
+    freed = np.bincount(v, (c2 > 0) & (c2 <= K), size) > 0
+    return unseen | (here & ~freed)
+
+
+def context_sums(store: DataFrame, back: DataFrame, model, n: int) -> DataFrame:
+    """For each context a shard asks for, sent back to it: the sums of its pairs'
+    discounted counts and of their words' unigram probabilities.  A pair is added
+    up by the shard that owns it."""
     def scatter(own, returned):
         out = []
         for row in own.to_pylist():
             s = Shard(row)
             _, v, w, _, _ = s.pairs()
-            c1, c2, mine, _ = _returned(returned, s, None, n)
+            c1, c2, mine, _ = _returned(returned)
             m = model.value
             seen = mine & (c2 > 0)
             size = len(s.words) + 1
             disc = np.bincount(v[seen], m.two.counts(c2[seen]), size)
-            freed = np.bincount(v[seen], c2[seen] <= K, size)
             lower = np.bincount(v[seen], m.unigram(c1)[w[seen]], size)
             # contexts by hash: the begin mark takes its place among the words
             h = np.append(s.words, BEGIN)
-            order = np.argsort(h)
-            have = np.append(c1, docs_trained)
-            cols = [x[order] for x in (disc, lower, freed > 0, have)]
-            out.append(_send(row["shard"], h[order], lambda a, z, cols=cols: (
-                cols[0][a:z].tobytes() + cols[1][a:z].tobytes() + cols[2][a:z].astype(np.uint8).tobytes()
-                + small(cols[3][a:z])), n))
+            ask = asked(v, c2, size)
+            use = np.flatnonzero(ask | (disc > 0))
+            use = use[np.argsort(h[use])]
+            cols = [x[use] for x in (disc, lower, ask)]
+            out.append(_send(row["shard"], h[use], lambda a, z, cols=cols: (
+                cols[0][a:z].tobytes() + cols[1][a:z].tobytes() + np.packbits(cols[2][a:z]).tobytes()), n))
         return pa.concat_tables(out) if out else _table(_PART, [])
 
     def settle(bucket, table):
         who, places, own, bodies = _merge(table)
-        disc, lower, freed, have = (np.zeros(len(own)) for _ in range(4))
+        disc, lower = np.zeros(len(own)), np.zeros(len(own))
+        rows = []
         for at, b in zip(places, bodies):
-            k = len(at)
-            disc[at] += np.frombuffer(b, float, k)
-            lower[at] += np.frombuffer(b, float, k, 8 * k)
-            freed[at] += np.frombuffer(b, np.uint8, k, 16 * k)
-            have[at] = unsmall(b[17 * k:])
-        denominator = have + (freed == 0)
-        left = np.where(have > 0, 1 - disc / np.maximum(denominator, 1), 1.0)
-        weight = left / np.maximum(1 - lower, 1e-300)
-        return _table(_BACK, [(shard, 3, bucket[0].as_py(), denominator[at].tobytes() + weight[at].tobytes())
-                              for shard, at in zip(who, places)])
+            disc[at] += np.frombuffer(b, float, len(at))
+            lower[at] += np.frombuffer(b, float, len(at), 8 * len(at))
+        for shard, at, b in zip(who, places, bodies):
+            ask = at[np.unpackbits(np.frombuffer(b, np.uint8, offset=16 * len(at)), count=len(at)).astype(bool)]
+            if len(ask):
+                rows.append((shard, 3, bucket[0].as_py(), disc[ask].tobytes() + lower[ask].tobytes()))
+        return _table(_BACK, rows)
 
     return (store.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(scatter, _PART)
             .groupBy("bucket").applyInArrow(settle, _BACK))
@@ -314,23 +322,32 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fitted = Model(info(back1), info(back2))
     model = spark.sparkContext.broadcast(fitted)  # a few numbers
-    trained = docs.select((~held).cast("int").alias("x")).agg(F.sum("x")).first()[0] or 0
+    trained = int(docs.select((~held).cast("int").alias("x")).agg(F.sum("x")).first()[0] or 0)
     back = back1.unionByName(back2).where("shard >= 0")
-    back3 = saved(context_sums(store, back, model, int(trained), n))
+    back3 = saved(context_sums(store, back, model, n))
 
     def finish(own, returned):
         out = []
         for row in own.to_pylist():
             s, m = Shard(row), model.value
             at, v, w, _, _ = s.pairs()
-            c1, c2, _, sums = _returned(returned, s, None, n)
+            c1, c2, _, sums = _returned(returned)
+            size = len(s.words) + 1
+            ask = np.flatnonzero(asked(v, c2, size))
+            ask = ask[np.argsort(np.append(s.words, BEGIN)[ask])]  # as the ranges sent them back
+            disc, lower = np.zeros(size), np.zeros(size)
             halves = [np.frombuffer(b, float).reshape(2, -1) for _, b in sums]
-            order = np.argsort(np.append(s.words, BEGIN))
-            both = np.empty((2, len(order)))
-            both[:, order] = np.concatenate(halves, axis=1)
+            if halves:
+                disc[ask], lower[ask] = np.concatenate(halves, axis=1)
+            have = np.append(c1, trained).astype(float)
+            # counts that were not discounted add up to the context's count: one more then
+            whole = np.zeros(size, bool)
+            whole[ask] = (disc[ask] >= have[ask] - 1e-9) & (have[ask] > 0)
+            below = have + whole
+            weight = np.where(have > 0, 1 - disc / np.maximum(below, 1), 1.0) / np.maximum(1 - lower, 1e-300)
             p1 = m.unigram(c1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                p2 = np.where(c2 > 0, m.two.counts(c2) / both[0][v], both[1][v] * p1[w])
+                p2 = np.where(c2 > 0, m.two.counts(c2) / np.maximum(below, 1)[v], weight[v] * p1[w])
             total, types = m.one.total, m.one.types
             base = np.log10((c1 + 1) / (total + types + 1))
             ends = s.first[:-1]
