@@ -37,6 +37,11 @@ def bucket_count(spark, total_bytes: float, per_bucket: float = 16e6) -> int:
     return max(4 * parts, int(total_bytes / per_bucket) + 1)
 
 
+def parts_for(rows: int, per_part: int = 200_000) -> int:
+    """Partitions (files) for a table of about so many short rows."""
+    return max(4, -(-rows // per_part))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Checkpointed to the shared folder: cuts lineage.  Nothing refers to the
     finished step afterwards, so its shuffle files go as soon as the driver

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from penprint.llm.arrays import U, ascii_lower, mix, rolling, slices, utf8, word_hashes, words
-from penprint.llm.frames import keyed, saved, text_bytes
+from penprint.llm.frames import keyed, parts_for, saved, text_bytes
 from penprint.llm.graph import components
 
 SHINGLE = 3
@@ -385,11 +385,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = (base.where("n > 0").join(met.select("cls").distinct(), "cls")
             .groupBy("cls").agg(F.min("_key").alias("_key")))
     sets = saved(candidate_sets(rows, reps, bands, size))
-    first = saved(verified(close_pairs(met.withColumn("label", F.col("cls")), sets, bands, True), sets, bands))
+    few = parts_for(50 * sets.count())
+    first = saved(verified(close_pairs(met.withColumn("label", F.col("cls")), sets, bands, True), sets, bands)
+                  .coalesce(few))
     roots = components(first)
     labelled = (met.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                 .select("entry", "cls", F.coalesce("root", "cls").alias("label")))
-    rest = saved(verified(close_pairs(labelled, sets, bands, False), sets, bands))
+    rest = saved(verified(close_pairs(labelled, sets, bands, False), sets, bands).coalesce(few))
     links = first.unionByName(rest)
     roots = components(links)
     own = F.when(F.col("_key") != F.lit(-(1 << 63)), F.col("_key"))
