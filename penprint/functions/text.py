@@ -24,7 +24,9 @@ TAB_SYMBOL = "[TAB]"
 EOL_SYMBOL = "[EOL]"
 # ------------------------------------------------------------------------------
 
-WS_CLASS = "[ \\t\\n\\r\\f\\v]"
+# Unicode white space, as Python's ``\\s`` has it (the same spelling works in Java and RE2).
+WS_SET = (r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WS_CLASS = f"[{WS_SET}]"
 
 
 def _c(c) -> Column:
@@ -32,8 +34,9 @@ def _c(c) -> Column:
 
 
 def chars(text) -> Column:
-    """Unicode code points of ``text`` as an array of 1-char strings."""
-    return F.split(_c(text), "")
+    """Unicode code points of ``text`` as an array of 1-char strings (none for
+    the empty text)."""
+    return F.when(F.length(_c(text)) == 0, F.array().cast("array<string>")).otherwise(F.split(_c(text), ""))
 
 
 def char_encode(text, order: str = "file") -> Column:
@@ -58,6 +61,18 @@ def binary_encode(ids, plus_one: bool = False) -> Column:
         lambda b: F.call_function("shiftright", i + F.lit(1 if plus_one else 0), b).bitwiseAND(F.lit(1))))
 
 
+def one_hot(ids, depth: int, length: int | None = None) -> Column:
+    """One row of ``depth`` zeros and ones for each id; an id outside
+    [0, depth) — the unknown id — gives a zero row, and so does the padding up
+    to ``length`` rows."""
+    rows = F.transform(_c(ids), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(depth - 1)), lambda d: F.when(i == d, 1).otherwise(0)))
+    if length is None:
+        return rows
+    zero = F.array_repeat(F.lit(0), F.lit(depth))
+    return F.concat(F.slice(rows, 1, length), F.array_repeat(zero, F.greatest(F.lit(length) - F.size(rows), F.lit(0))))
+
+
 def clean_for_subwords(text) -> Column:
     """X4 (program form): drop NUL, tab -> [TAB], newline -> [EOL]."""
     t = F.regexp_replace(_c(text), "\u0000", "")
@@ -81,7 +96,7 @@ def trainer_text(text) -> Column:
 def whitespace_keeping_split(text) -> Column:
     """``re.split('(\\s+)', text)`` — words and separators alternate, with an
     empty first/last item when the text starts/ends with whitespace."""
-    toks = F.regexp_extract_all(_c(text), F.lit(f"({WS_CLASS}+|[^ \\t\\n\\r\\f\\v]+)"), 1)
+    toks = F.regexp_extract_all(_c(text), F.lit(f"({WS_CLASS}+|[^{WS_SET}]+)"), 1)
     lead = F.when(_c(text).rlike(f"^{WS_CLASS}") | (F.length(_c(text)) == 0), F.array(F.lit(""))) \
         .otherwise(F.array().cast("array<string>"))
     trail = F.when(_c(text).rlike(f"{WS_CLASS}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
@@ -89,10 +104,13 @@ def whitespace_keeping_split(text) -> Column:
 
 
 def crop_prefix_with_end(ids, length: int, eos: int = 2) -> Column:
-    """X11: first min(n, L) - 2 ids between two ``eos`` markers (length min(n, L));
-    requires n >= 2 and L >= 2."""
+    """X11: first min(n, L) - 2 ids between two ``eos`` markers (length min(n, L)).
+    With fewer than two ids (F5 filters such rows before) there is one marker
+    for each id."""
     m = F.least(F.size(_c(ids)), F.lit(length))
-    return F.concat(F.array(F.lit(eos)), F.slice(_c(ids), F.lit(1), m - 2), F.array(F.lit(eos)))
+    inner = F.slice(_c(ids), F.lit(1), F.greatest(m - 2, F.lit(0)))
+    return F.concat(F.array_repeat(F.lit(eos), F.greatest(F.least(m, F.lit(1)), F.lit(0))), inner,
+                    F.array_repeat(F.lit(eos), F.when(m >= 2, 1).otherwise(0)))
 
 
 def pad_to(ids, length: int, value: int = 0) -> Column:
@@ -120,6 +138,18 @@ def truncate_text(text, max_len: int) -> Column:
     return F.left(_c(text), F.lit(max_len))
 
 
+def cut_bytes(text, max_len: int) -> Column:
+    """X14, X15 as the reference cuts: the first ``max_len`` UTF-8 bytes, which may
+    end inside a character (so the result is binary)."""
+    return F.substring(_c(text).cast("binary"), 1, max_len)
+
+
+def cut_line_bytes(text, max_lines: int, max_len: int) -> Column:
+    """X14 in bytes: the first ``max_lines`` lines, each cut to ``max_len`` bytes."""
+    return F.transform(F.slice(F.split(_c(text), "\n", -1), 1, max_lines),
+                       lambda ln: F.substring(ln.cast("binary"), 1, max_len))
+
+
 def concat_pair(a, b, separator) -> Column:
     """File 1, one separator element, file 2."""
     return F.concat(_c(a), F.array(separator), _c(b))

@@ -5,11 +5,13 @@ every merge round then works on the distinct words only: adjacent symbol
 pairs are counted with a weighted group-by, the best pair (count desc, then
 pair text asc) is taken, and the merge is applied to every word with one
 JVM-side regex replace.  Lineage is cut into the shared checkpoint folder
-every ``checkpoint_every`` rounds.
+after every round.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +19,17 @@ from pyspark.sql import functions as F
 from penprint.functions.text import trainer_text
 from penprint.session import cut_lineage
 
+SYMBOL = r"\[EOL\]|\[TAB\]|(?s:.)"  # the cleaning symbols are never spelled
 SEP = "\u0001"  # symbol separator inside a word (never occurs in text)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, freq, symbols) — words are the whitespace-separated pieces of the
-    trainer text; symbols start as single characters joined by SEP."""
+    trainer text; symbols start as single characters ([EOL] and [TAB] are single
+    symbols) joined by SEP."""
     words = docs.select(F.explode(F.split(trainer_text(F.col(text)), "[ \\t\\n\\r\\f\\v]+")).alias("word"))
     wc = words.where(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    return wc.withColumn("symbols", F.array_join(F.split("word", ""), SEP))
+    return wc.withColumn("symbols", F.array_join(F.regexp_extract_all("word", F.lit(SYMBOL), F.lit(0)), SEP))
 
 
 def pair_counts(wc: DataFrame) -> DataFrame:
@@ -45,9 +49,11 @@ def _merge(symbols: Column, left: str, right: str) -> Column:
     return F.regexp_replace(symbols, pat, (left + right).replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def learn_merges(docs: DataFrame, n_merges: int, text: str = "text", checkpoint_every: int = 50):
-    """The first ``n_merges`` byte-pair merges, as a list of (left, right, count)."""
-    wc = word_counts(docs, text).persist()
+def learn_merges(docs: DataFrame, n_merges: int, text: str = "text"):
+    """The first ``n_merges`` byte-pair merges, as a list of (left, right, count).
+    The word table is checkpointed after every merge, so a round applies one
+    merge and its plan does not grow."""
+    wc = cut_lineage(word_counts(docs, text))
     merges = []
     for r in range(n_merges):
         best = pair_counts(wc).orderBy(F.col("count").desc(), "left", "right").limit(1).collect()
@@ -55,9 +61,8 @@ def learn_merges(docs: DataFrame, n_merges: int, text: str = "text", checkpoint_
             break
         left, right, cnt = best[0]["left"], best[0]["right"], best[0]["count"]
         merges.append((left, right, int(cnt)))
-        wc = wc.withColumn("symbols", _merge(F.col("symbols"), left, right))
-        if (r + 1) % checkpoint_every == 0:
-            wc = cut_lineage(wc)
+        if r + 1 < n_merges:
+            wc = cut_lineage(wc.withColumn("symbols", _merge(F.col("symbols"), left, right)))
     return merges
 
 
@@ -66,11 +71,12 @@ def encode_words(words: DataFrame, merges: list[tuple[str, str, int]], word_col:
     standard byte-pair encoding) in a pandas UDF; the merge list is bounded by
     the vocabulary size and shipped with the function."""
     ranks = {(l_, r_): i for i, (l_, r_, _) in enumerate(merges)}
+    symbol = re.compile(SYMBOL)
 
     @F.pandas_udf("array<string>")
     def enc(ws: pd.Series) -> pd.Series:
         def one(w):
-            s = list(w)
+            s = symbol.findall(w)
             while len(s) > 1:
                 best, at = None, -1
                 for i in range(len(s) - 1):
@@ -95,14 +101,42 @@ def encode_words(words: DataFrame, merges: list[tuple[str, str, int]], word_col:
     return words.withColumn("pieces", enc(F.col(word_col)))
 
 
-def subword_encode(docs: DataFrame, merges, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document as its sequence of subword pieces.  Distinct words are
-    encoded once and joined back by word; the pieces are reassembled in word
-    order per document."""
-    occ = docs.select(id_col, F.posexplode(F.split(trainer_text(F.col(text)), "[ \\t\\n\\r\\f\\v]+")).alias("pos", "word"))
-    occ = occ.where(F.length("word") > 0)
-    distinct = occ.select("word").distinct()
-    enc = encode_words(distinct, merges)
-    joined = occ.join(enc, "word")
+# Ids of the special symbols.
+PAD, BOS, EOS, UNK = 0, 1, 2, 3
+
+
+def vocabulary(wc: DataFrame, merges) -> dict[str, int]:
+    """Piece -> id: the four special symbols, the single symbols of the corpus in
+    code point order, then the merged pieces by rank (bounded by the alphabet and
+    the number of merges)."""
+    single = sorted(r[0] for r in wc.select(F.explode(F.regexp_extract_all("word", F.lit(SYMBOL), F.lit(0))).alias("s"))
+                    .distinct().collect())
+    out = {}
+    for piece in [*single, *(l_ + r_ for l_, r_, _ in merges)]:
+        out.setdefault(piece, len(out) + 4)
+    return out
+
+
+def subword_encode(docs: DataFrame, merges, id_col: str = "doc_id", text: str = "text",
+                   vocab: dict[str, int] | None = None) -> DataFrame:
+    """Every document as its sequence of subword pieces, and with ``vocab``
+    their ids between BOS and EOS (white space and symbols outside it: UNK).
+
+    Separators are pieces of their own, so the pieces joined give the cleaned
+    text; a blank document keeps its row.  Distinct words are encoded once and
+    joined back by word; the pieces are reassembled in word order per document."""
+    parts = F.regexp_extract_all(trainer_text(F.col(text)), F.lit(r"[ \t\n\r\f\x0b]|[^ \t\n\r\f\x0b]+"), F.lit(0))
+    occ = docs.select(id_col, F.posexplode(parts).alias("pos", "word"))
+    joined = occ.join(encode_words(occ.select("word").distinct(), merges), "word")
     per_doc = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "pieces"))).alias("_w"))
-    return per_doc.select(id_col, F.flatten(F.transform("_w", lambda x: x["pieces"])).alias("pieces"))
+    out = (docs.select(id_col).join(per_doc, id_col, "left")
+           .select(id_col, F.coalesce(F.flatten(F.transform("_w", lambda x: x["pieces"])),
+                                      F.array().cast("array<string>")).alias("pieces")))
+    if vocab is None:
+        return out
+
+    @F.pandas_udf("array<int>")
+    def number(pieces: pd.Series) -> pd.Series:
+        return pieces.map(lambda ps: [BOS, *(vocab.get(x, UNK) for x in ps), EOS])
+
+    return out.withColumn("ids", number("pieces"))

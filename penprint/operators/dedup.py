@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penprint.operators.ranking import sorted_index
+
 
 def content_clusters(df: DataFrame, id_col: str = "file_id", text: str = "text") -> DataFrame:
     """Exact-duplicate clusters: (cluster = md5(text), id, is_first) where the
@@ -26,18 +28,27 @@ def duplicates_from_clusters(clusters: DataFrame, id_col: str = "file_id") -> Da
     return clusters.where(~F.col("is_first")).select(id_col).distinct()
 
 
-def read_duplicate_cluster_text(spark, path: str, language: str) -> DataFrame:
-    """S5 (file form): blank-line separated clusters, one ``path:...`` per line;
-    every line after the first of a cluster names a duplicate submission id,
-    extracted by ``.*/{language}/(.*)\\..*:.*``.  Output (cluster, pos, path, submission_id)."""
-    whole = spark.read.text(path, wholetext=True)
-    clusters = whole.select(F.posexplode(F.split(F.col("value"), r"\n\s*\n")).alias("cluster", "block"))
-    lines = clusters.select("cluster", F.posexplode(F.split(F.trim(F.col("block")), "\n")).alias("pos", "path"))
+def cluster_members(blocks: DataFrame, language: str, cluster: str = "cluster", block: str = "block") -> DataFrame:
+    """Members of clusters given as text blocks, one ``path:...`` a line; the
+    submission id is extracted by ``.*/{language}/(.*)\\..*:.*``, and every member
+    but the first (``pos`` > 0) is a duplicate.  Output (cluster, pos, path,
+    submission_id)."""
+    lines = blocks.select(cluster, F.posexplode(F.split(F.trim(F.col(block)), "\n")).alias("pos", "path"))
     lines = lines.where(F.length("path") > 0)
     return lines.withColumn("submission_id",
                             F.regexp_extract("path", f".*/{language}/(.*)\\..*:.*", 1))
 
 
+def read_duplicate_cluster_text(spark, path: str, language: str) -> DataFrame:
+    """S5 (file form): clusters parted by blank lines.  The blank line is the
+    record separator, so a large file is many rows in many tasks; ``cluster``
+    orders the blocks by their place in the file's splits."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path)
+    blocks = blocks.where(F.length(F.trim("value")) > 0).select(
+        F.monotonically_increasing_id().alias("cluster"), F.trim(F.col("value"), F.lit("\n")).alias("block"))
+    return cluster_members(blocks, language)
+
+
 def drop_duplicates_by_cluster(df: DataFrame, duplicates: DataFrame, id_col: str = "file_id",
                                keep_repeats: bool = False) -> DataFrame:
     """Anti-join on the duplicate ids (unless ``keep_repeats``)."""
@@ -63,8 +74,9 @@ def keep_last(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str])
 
 def cross_author_duplicates(df: DataFrame, id_col: str = "file_id", author: str = "author",
                             text: str = "text") -> DataFrame:
-    """A11 + K5: clusters whose copies belong to more than one author, with the
-    number of copies and authors, ordered by text length."""
+    """Clusters whose copies belong to more than one author, with their
+    number of copies and authors and the text's length.  The members of a
+    cluster are rows (``cluster_rows``), never one array."""
     c = df.select(F.md5(F.col(text)).alias("cluster"), F.col(author), F.length(text).alias("length"))
     g = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("copies"),
                                  F.countDistinct(author).alias("authors"),
@@ -72,6 +84,19 @@ def cross_author_duplicates(df: DataFrame, id_col: str = "file_id", author: str
     return g.where(F.col("authors") > 1)
 
 
+def cluster_rows(df: DataFrame, clusters: DataFrame, id_col: str = "file_id", author: str = "author",
+                 text: str = "text") -> DataFrame:
+    """The member rows (cluster, id, author) of the given clusters."""
+    rows = df.select(F.md5(F.col(text)).alias("cluster"), F.col(id_col), F.col(author))
+    return rows.join(clusters.select("cluster"), "cluster", "left_semi")
+
+
+def order_clusters_by_length(clusters: DataFrame, tie: str = "cluster") -> DataFrame:
+    """K5: clusters with their 0-based place ``rank`` in order of text length
+    (ties by cluster), without a single-partition window."""
+    return sorted_index(clusters, ["length", tie], out="rank")
+
+
 def ingest_audit(df: DataFrame, min_size: int, duplicates: DataFrame, id_col: str = "file_id",
                  text: str = "text", size_col: str | None = None) -> DataFrame:
     """One pass, one ``reject_reason`` per row (size first, then duplicate,

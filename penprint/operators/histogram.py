@@ -7,8 +7,7 @@ on the value when all values are equal), numpy's edge arithmetic and its
 one-ulp corrections, and density = count / (N * width).
 
 Everything is distributed: min/max/count are one aggregate; the exact
-quartiles come from Spark's exact ``percentile`` while the value count is
-under a fixed bound (checked first), and above it from a bucketed global rank
+quartiles come from a bucketed global rank
 (no single-task sort, only the two or four order statistics reach the
 driver); bin counts are a grouped count.
 The bin table is small (its size is known on the driver before it is used in
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from penprint.operators.ranking import bucketed_ordinal
 
 PDF_FLOOR = 1e-11
-SMALL_EXACT_PERCENTILE = 2_000_000
 BROADCAST_MAX_BINS = 1_000_000
 
 
@@ -117,11 +115,7 @@ def histogram_auto(values: DataFrame, col: str) -> Histogram:
     v = values.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     r = v.agg(F.count("_v").alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).first()
     n, mn, mx = int(r["n"]), float(r["mn"]), float(r["mx"])
-    if n <= SMALL_EXACT_PERCENTILE:
-        # bounded: Spark's exact percentile buffers at most this many values
-        q1, q3 = v.agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
-    else:
-        q1, q3 = exact_quantiles(v, "_v", [0.25, 0.75], n, mn, mx)
+    q1, q3 = exact_quantiles(v, "_v", [0.25, 0.75], n, mn, mx)
     first, last, nb = auto_bin_count(n, mn, mx, q1, q3)
     hist = Histogram(first, last, nb, n, None)  # type: ignore[arg-type]
     counts = v.groupBy(hist.bin_of(F.col("_v"), True).alias("bin")).agg(F.count(F.lit(1)).alias("count"))

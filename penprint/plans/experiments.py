@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,11 +37,6 @@ def param_grid(spark: SparkSession, params: dict, tied: list[str] | None = None)
     return df.select("combination", *params.keys())
 
 
-def expected_grid(params: dict) -> list[dict]:
-    """Driver-side reference of the same grid (for tests)."""
-    return [dict(zip(params, v)) for v in itertools.product(*params.values())]
-
-
 def select_combinations(spark: SparkSession, spec: str) -> DataFrame | None:
     """``"0 3:6 -1"`` -> combinations 0, 3, 4, 5; ``-1`` means all (None)."""
     parts = spec.split()
@@ -89,10 +83,15 @@ def best_per_combination(results: DataFrame, by=("combination",), metric: str =
 
 
 def upsert_results(old: DataFrame, new: DataFrame, key_cols, ts_col: str = "run_ts") -> DataFrame:
-    """Last write wins per full parameter tuple."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    keep = both.groupBy(*key_cols).agg(F.max(ts_col).alias(ts_col))
-    return both.join(keep, list(key_cols) + [ts_col], "left_semi")
+    """One row per full parameter tuple, the one with the latest ``ts_col``;
+    a new row wins against an old one of the same time, further ties go to the
+    larger row.  Null keys are values like any other (grouping, not a join)."""
+    keys = list(key_cols)
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys and c != "_new"]
+    row = F.struct(*[F.col(c) for c in rest])
+    last = both.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(ts_col), F.col("_new"), row)).alias("_r"))
+    return last.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def leaderboard(results: DataFrame, group=("model", "k_cross_val", "max_authors"),

@@ -92,10 +92,10 @@ def a17_simclr_loss_matrix(spark, sf):
 
 # ------------------------------------------------------------------ X7 / X8
 
-X7_SQL = """WITH w AS (SELECT unnest(regexp_split_to_array(replace(replace(replace(text, chr(0), ''), chr(9), '[TAB]'),
-          chr(10), '[EOL]' || chr(10)), '[ \\t\\n\\r\\f\\v]+')) AS word FROM documents),
+X7_SQL = r"""WITH w AS (SELECT unnest(regexp_split_to_array(replace(replace(replace(text, chr(0), ''), chr(9), '[TAB]'),
+          chr(10), '[EOL]' || chr(10)), '[ \t\n\r\f\v]+')) AS word FROM documents),
 wc AS (SELECT word, count(*) AS freq FROM w WHERE length(word) > 0 GROUP BY word),
-s AS (SELECT freq, string_split(word, '') AS ch FROM wc),
+s AS (SELECT freq, regexp_extract_all(word, '\[EOL\]|\[TAB\]|(?s:.)') AS ch FROM wc),
 p AS (SELECT freq, ch[i] AS l, ch[i + 1] AS r FROM s, LATERAL (SELECT unnest(generate_series(1, len(ch) - 1)) AS i))
 SELECT l AS "left", r AS "right", CAST(sum(freq) AS BIGINT) AS count FROM p GROUP BY l, r
 ORDER BY count DESC, l, r LIMIT 100"""

@@ -26,9 +26,9 @@ def _sql_str(s: str) -> str:
 
 
 CHAR_LIST_SQL = "[" + ", ".join(_sql_str(c) for c in T.CHAR_TABLE) + "]"
-CHAR_IDS_SQL = (f"list_concat([1], list_transform(string_split(text, ''), lambda c: CASE WHEN list_position("
+CHAR_IDS_SQL = (f"list_concat([1], list_transform(CASE WHEN text = '' THEN [] ELSE string_split(text, '') END, lambda c: CASE WHEN list_position("
                 f"{CHAR_LIST_SQL}, c) > 0 THEN list_position({CHAR_LIST_SQL}, c) + 1 ELSE {T.CHAR_OOV} END), [0])")
-WS = "[ \\t\\n\\r\\f\\v]"
+WS = T.WS_CLASS
 
 # ------------------------------------------------------------------ filters
 
@@ -134,7 +134,7 @@ def x5_corpus_lines(spark, sf):
 
 @register("x6_whitespace_keeping_split", f"""SELECT doc_id, len(p) AS n_pieces, p AS pieces FROM (
 SELECT doc_id, list_concat(CASE WHEN regexp_matches(text, '^{WS}') OR length(text) = 0 THEN [''] ELSE [] END,
-  regexp_extract_all(text, '({WS}+|[^ \\t\\n\\r\\f\\v]+)', 1),
+  regexp_extract_all(text, '({WS}+|[^{T.WS_SET}]+)', 1),
   CASE WHEN regexp_matches(text, '{WS}$') THEN [''] ELSE [] END) AS p FROM documents)""")
 def x6_whitespace_keeping_split(spark, sf):
     d = _docs(spark, sf).select("doc_id", T.whitespace_keeping_split("text").alias("pieces"))

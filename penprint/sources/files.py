@@ -8,6 +8,8 @@ turned into columns with ``split``; per-key choices are aggregates.
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,17 @@ from pyspark.sql import types as T
 from penprint.functions.text import file_extension
 
 
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+def extension_glob(extensions) -> str:
+    """Path glob of the listed extensions (case-sensitive)."""
+    return "*.{" + ",".join(sorted(extensions)) + "}"
+
+
+def _tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """Files below ``root``; with ``extensions``, others are not even listed as input."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions:
+        r = r.option("pathGlobFilter", extension_glob(extensions))
+    return r.load(root)
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -32,22 +43,30 @@ def _re_escape(s: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _decode_fallback(content: pd.Series) -> pd.Series:
-    """Bytes that are not valid UTF-8: Windows-1252, else Latin-1 (never fails)."""
+    """Bytes that are not valid UTF-8: UTF-16 with a byte order mark, else
+    Windows-1252; null where neither fits."""
     def one(b):
         if b is None:
             return None
+        b = bytes(b)
+        for mark, name in ((codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+            if b.startswith(mark):
+                try:
+                    return b[2:].decode(name)
+                except UnicodeDecodeError:
+                    return None
         try:
-            return bytes(b).decode("cp1252")
+            return b.decode("cp1252")
         except UnicodeDecodeError:
-            return bytes(b).decode("latin-1")
+            return None
     return content.map(one)
 
 
 def decode_bytes(content: Column) -> Column:
     """Text of a file.  Valid UTF-8 (BOM stripped) is decoded on the JVM;
-    only the other files go through the Windows-1252 pandas fallback."""
+    only the other files go through the pandas fallback.  Null: undecodable (F8)."""
     as_str = content.cast("string")
-    utf8 = F.regexp_replace(as_str, "^﻿", "")
+    utf8 = F.regexp_replace(as_str, "^\ufeff", "")
     return F.when(F.is_valid_utf8(as_str), utf8).otherwise(_decode_fallback(content))
 
 
@@ -61,24 +80,21 @@ def ingest_contest_tree(spark: SparkSession, root: str, extensions, min_size: in
     Output (contest, username, problem, solution, filepath, file_content,
     replaced) — ``replaced`` flags U+FFFD in the decoded text.
     """
-    files = _tree(spark, root).where(F.col("length") > min_size)
+    files = _tree(spark, root, extensions).where(F.col("length") > min_size)
     rel = relative_path(F.col("path"), root)
     parts = F.split(rel, "/")
-    df = files.select(rel.alias("filepath"), parts.alias("_parts"), "content")
-    df = df.where(file_extension(F.col("filepath")).isin(list(extensions)))
-    df = df.select(
-        F.col("_parts")[0].alias("contest"), F.col("_parts")[1].alias("username"),
-        F.col("_parts")[2].alias("problem"), F.col("_parts")[3].alias("solution"),
-        F.element_at(F.col("_parts"), -1).alias("file_name"), "_parts", "filepath",
-        decode_bytes(F.col("content")).alias("file_content"))
-    df = df.where(F.col("file_content").isNotNull())
-    key = ["contest", "username", "problem"] + (["solution"] if keep_repeats else []) + ["file_name"]
+    # the winners are chosen on paths: no byte is read and no content shuffled for that
+    names = files.select("path", parts.alias("_parts"))
+    names = names.where(file_extension(F.element_at("_parts", -1)).isin(list(extensions)))
+    key = [F.col("_parts")[i] for i in range(4 if keep_repeats else 3)] + [F.element_at("_parts", -1)]
     # later in a sorted depth-first walk == larger path-component array
-    best = df.groupBy(*key).agg(F.max_by(F.struct("solution", "filepath", "file_content"),
-                                         F.col("_parts")).alias("_b"))
-    out = best.select("contest", "username", "problem", F.col("_b.solution").alias("solution"),
-                      F.col("_b.filepath").alias("filepath"), F.col("_b.file_content").alias("file_content"))
-    return out.withColumn("replaced", F.col("file_content").contains("�"))
+    best = names.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+        F.max_by("path", F.col("_parts")).alias("path")).select("path")
+    out = files.join(best, "path", "left_semi").select(
+        parts[0].alias("contest"), parts[1].alias("username"), parts[2].alias("problem"), parts[3].alias("solution"),
+        rel.alias("filepath"), decode_bytes(F.col("content")).alias("file_content"))
+    out = out.where(F.col("file_content").isNotNull())
+    return out.withColumn("replaced", F.col("file_content").contains("\ufffd"))
 
 
 def build_file_index(spark: SparkSession, root: str) -> DataFrame:

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.functions.text import file_extension
-from penprint.sources.files import decode_bytes, relative_path
+from penprint.sources.files import decode_bytes, extension_glob, relative_path
 
 
 def submissions_stream(spark: SparkSession, root: str, extensions, min_size: int = 100,
                        max_files_per_trigger: int = 10000) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     src = (spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", extension_glob(extensions))
            .option("maxFilesPerTrigger", max_files_per_trigger).load(root))
     rel = relative_path(F.col("path"), root)
     parts = F.split(rel, "/")
