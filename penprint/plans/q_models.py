@@ -110,20 +110,47 @@ def x7_bpe_pair_counts(spark, sf):
     return pc.orderBy(F.col("count").desc(), "left", "right").limit(100)
 
 
-@register("x7_learn_merges", None)
+N_MERGES = 20
+
+
+def _merges_sql() -> str:
+    """The merge rounds one after the other.  Every symbol stands between two
+    chr(1), so replacing a pair never touches a neighbour's mark."""
+    rounds = []
+    for r in range(N_MERGES):
+        rounds.append(f"""p{r} AS MATERIALIZED (SELECT l, r, CAST(sum(freq) AS BIGINT) AS n FROM (
+  SELECT freq, ch[i] AS l, ch[i + 1] AS r FROM (SELECT freq, string_split(s[2:length(s) - 1], chr(1) || chr(1)) AS ch FROM w{r}),
+  LATERAL (SELECT unnest(generate_series(1, len(ch) - 1)) AS i)) GROUP BY l, r ORDER BY n DESC, l, r LIMIT 1)""")
+        rounds.append(f"""w{r + 1} AS MATERIALIZED (SELECT freq, replace(s, chr(1) || l || chr(1) || chr(1) || r || chr(1),
+  chr(1) || l || r || chr(1)) AS s FROM w{r}, p{r})""")
+    head = X7_SQL[:X7_SQL.index("\ns AS")]
+    out = " UNION ALL ".join(f'SELECT {r} AS rank, l AS "left", r AS "right", n AS count FROM p{r}' for r in range(N_MERGES))
+    return f"""{head}
+w0 AS MATERIALIZED (SELECT freq, list_aggregate(list_transform(regexp_extract_all(word, '\\[EOL\\]|\\[TAB\\]|(?s:.)'),
+  lambda x: chr(1) || x || chr(1)), 'string_agg', '') AS s FROM wc),
+{", ".join(rounds)}
+{out}"""
+
+
+@register("x7_learn_merges", _merges_sql())
 def x7_learn_merges(spark, sf):
     """The first 20 byte-pair merges learned from the corpus."""
-    merges = bpe.learn_merges(spread(table(spark, sf, "documents")), 20)
+    merges = bpe.learn_merges(spread(table(spark, sf, "documents")), N_MERGES)
     return spark.createDataFrame([(i, l_, r_, c) for i, (l_, r_, c) in enumerate(merges)],
                                  "rank int, left string, right string, count long")
 
 
-@register("x8_subword_encode", None)
+@register("x8_subword_encode", """SELECT doc_id, md5(replace(replace(replace(text, chr(0), ''), chr(9), '[TAB]'),
+chr(10), '[EOL]' || chr(10))) AS rebuilt_md5, true AS framed, true AS numbered FROM documents""")
 def x8_subword_encode(spark, sf):
-    """Every document encoded with the 20 learned merges."""
+    """Every document encoded with the 20 learned merges.  The pieces joined
+    are the cleaned text; the ids stand between BOS and EOS, one for each piece."""
     docs = spread(table(spark, sf, "documents"))
-    merges = bpe.learn_merges(docs, 20)
-    return bpe.subword_encode(docs, merges)
+    merges = bpe.learn_merges(docs, N_MERGES)
+    enc = bpe.subword_encode(docs, merges, vocab=bpe.vocabulary(bpe.word_counts(docs), merges))
+    return enc.select("doc_id", F.md5(F.array_join("pieces", "")).alias("rebuilt_md5"),
+                      ((F.col("ids")[0] == bpe.BOS) & (F.element_at("ids", -1) == bpe.EOS)).alias("framed"),
+                      (F.size("ids") == F.size("pieces") + 2).alias("numbered"))
 
 
 # ------------------------------------------------------------------ M2 / M3 / M11 / M12
@@ -205,7 +232,19 @@ def m14_prepare_corpus(spark, sf):
     return corpus
 
 
-@register("m17_simclr_samples", None)
+def _m17_sql() -> str:
+    from penprint.plans.q_sampling import simclr_sql
+    from penprint.plans.q_text import CHAR_IDS_SQL
+    batches = simclr_sql(16, "f AS (SELECT doc_id AS file_id, source AS author FROM documents)", 2)
+    return f"""WITH b AS ({batches}),
+e AS (SELECT doc_id, list_concat([2], ids[1:least(len(ids), 256) - 2], [2]) AS x
+      FROM (SELECT doc_id, {CHAR_IDS_SQL} AS ids FROM documents)),
+p AS (SELECT doc_id, list_concat(x, list_transform(generate_series(1, 256 - len(x)), lambda i: 0)) AS x FROM e)
+SELECT 0 AS epoch, sample_id, batch, p1.x AS input_1, p2.x AS input_2, 1 AS label
+FROM b JOIN p p1 ON p1.doc_id = file_1 JOIN p p2 ON p2.doc_id = file_2"""
+
+
+@register("m17_simclr_samples", _m17_sql())
 def m17_simclr_samples(spark, sf):
     """M17 (simclr layout): W9 batches of documents -> X11 crop -> X12 pad."""
     return materialise_simclr_samples(spark, spread(table(spark, sf, "documents")), batch=16, length=256,

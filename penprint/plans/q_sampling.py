@@ -312,13 +312,13 @@ def m15_pair_dataset_summary(spark, sf):
 # ------------------------------------------------------------------ W9 / W18 / W8
 
 
-def simclr_sql(batch: int = 64, files: str = FILES) -> str:
+def simclr_sql(batch: int = 64, files: str = FILES, share: int = 4) -> str:
     return f"""WITH {files}, {CNT},
 m AS (SELECT author, n_files FROM cnt WHERE n_files >= 2),
 mf AS (SELECT f.* FROM f JOIN m USING (author)),
 ords AS (SELECT author, file_id, row_number() OVER (PARTITION BY author
          ORDER BY {H('ord', 'file_id')}, file_id) - 1 AS ordinal FROM mf),
-ns AS (SELECT count(*) // 4 AS n FROM f),
+ns AS (SELECT count(*) // {share} AS n FROM f),
 nb AS (SELECT CAST(ceil(n / {batch}.0) AS BIGINT) AS nb, n FROM ns),
 k AS (SELECT m.author, m.n_files, b.batch, -ln(({H('esu', 'b.batch', 'm.author')} + 0.5) / {2.0 ** 52!r}) / m.n_files AS es_key
       FROM m, nb, LATERAL (SELECT unnest(generate_series(0, nb.nb - 1)) AS batch) b),

@@ -26,6 +26,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, Entry]:
     # importing the query modules fills REGISTRY
     from penprint.plans import (  # noqa: F401
-        q_closed_set, q_models, q_sampling, q_text, q_verification,
+        q_closed_set, q_files, q_models, q_sampling, q_text, q_verification,
     )
     return REGISTRY

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penprint.functions.text import format_ordinal
 
+# Schemas of the input files.
 METADATA_SCHEMA = T.StructType([T.StructField("competitions", T.ArrayType(T.StructType([
     T.StructField("year", T.StringType()),
     T.StructField("round", T.ArrayType(T.StructType([
@@ -95,12 +96,16 @@ def read_tokens_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.col("class") != "class")
 
 
+def parse_id_list(text) -> Column:
+    """``"[1, 2, ]"`` -> [1, 2]."""
+    ids = F.split(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"[\[\] ]", ""), ",")
+    return F.transform(F.filter(ids, lambda x: x != ""), lambda x: x.cast("int"))
+
+
 def read_encoded_csv(spark: SparkSession, path: str) -> DataFrame:
     """``username|filename|"[1, 2, ]"`` -> (username, filename, file_content array<int>)."""
     df = spark.read.option("header", True).option("sep", "|").csv(path)
-    ids = F.split(F.regexp_replace(F.col("file_content"), r"[\[\] ]", ""), ",")
-    return df.select("username", "filename", F.transform(F.filter(ids, lambda x: x != ""),
-                                                         lambda x: x.cast("int")).alias("file_content"))
+    return df.select("username", "filename", parse_id_list("file_content").alias("file_content"))
 
 
 def read_experiments(spark: SparkSession, paths: list[str], header_fallback: list[str] | None = None) -> DataFrame:
