@@ -37,13 +37,21 @@ def _estimator(name: str, n_labels: int, dim: int, params: dict):
     raise KeyError(name)
 
 
-CLASSIFIERS = ("random_forest", "svm", "mlp")
+CLASSIFIERS = ("knn", "random_forest", "svm", "mlp")
 
 
 def cross_validate(cs: DataFrame, model: str, params: dict | None = None, vec: str = "embedding",
                    folds: list[int] | None = None) -> DataFrame:
-    """D4 + M2/M3/M4: per-fold accuracy (fold, n, accuracy) of ``model``."""
+    """D4 + M1/M2/M3/M4: per-fold accuracy (fold, n, accuracy) of ``model``."""
     params = params or {}
+    if model == "knn":  # all folds in one plan; nothing is fitted
+        from penprint.operators.votes import distance_weighted_vote, mode_vote
+        from penprint.plans.closed_set import closed_set_neighbours, fold_accuracy
+        rows = cs if folds is None else cs.where(F.col("fold").isin(list(folds)))
+        nb = closed_set_neighbours(cs, params.get("n_neighbors", 1), vec_col=vec)
+        nb = nb.join(rows.select(F.col("file_id").alias("query_id")), "query_id", "left_semi") if folds is not None else nb
+        vote = distance_weighted_vote if params.get("vote") == "distance" else mode_vote
+        return fold_accuracy(vote(nb, metric="cosine") if vote is distance_weighted_vote else vote(nb))
     feats = features(cs, vec).persist()
     n_labels = int(feats.agg(F.max("label")).first()[0]) + 1
     dim = len(feats.select("features").first()[0])

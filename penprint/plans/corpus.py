@@ -39,3 +39,30 @@ def materialise_simclr_samples(spark, docs: DataFrame, batch: int = 64, length:
            .join(enc.select(F.col("file_id").alias("file_2"), F.col("x").alias("input_2")), "file_2"))
     return out.select(F.lit(epoch).alias("epoch"), "sample_id", "batch", "input_1", "input_2",
                       F.lit(1).alias("label"))
+
+
+def materialise_pairs(pairs: DataFrame, docs: DataFrame, kind: str, length: int = 200, max_lines: int = 10,
+                      seed="p", epoch: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """M17, the pair layouts over (sample_id, label, file_1, file_2):
+
+    * ``by_line``: S7 -> X14 (``max_lines`` lines of ``length`` characters) -> X1,
+      every line padded with 0 to ``length`` + 2 ids;
+    * ``combined``: S7 -> X15 (texts cut to ``length`` characters, one separator
+      id -1) -> X1, in ``input_1`` (``input_2`` is null);
+    * ``split``: X13 (a random window of ``length``) -> X1.
+    """
+    own = docs.select(F.col(id_col).alias("file"), F.col(text).alias("t"))
+    p = (pairs.join(own.select(F.col("file").alias("file_1"), F.col("t").alias("t1")), "file_1")
+         .join(own.select(F.col("file").alias("file_2"), F.col("t").alias("t2")), "file_2"))
+    if kind == "by_line":
+        one, two = (F.transform(T.truncate_lines(c, max_lines, length),
+                                lambda ln: T.pad_to(T.char_encode(ln), length + 2)) for c in ("t1", "t2"))
+    elif kind == "combined":
+        a, b = (T.char_encode(T.truncate_text(c, length)) for c in ("t1", "t2"))
+        one, two = T.concat_pair(a, b, F.lit(-1)), F.lit(None).cast("array<int>")
+    elif kind == "split":
+        one = T.char_encode(T.random_crop("t1", length, seed, "sample_id", "file_1"))
+        two = T.char_encode(T.random_crop("t2", length, seed, "sample_id", "file_2"))
+    else:
+        raise ValueError(kind)
+    return p.select(F.lit(epoch).alias("epoch"), "sample_id", one.alias("input_1"), two.alias("input_2"), "label")

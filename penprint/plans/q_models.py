@@ -20,6 +20,7 @@ from penprint.plans.sqlparts import cosine_sql, distinct_sql
 from penprint.tables import files_from_embeddings, spread, table
 
 SEED = "p"
+MAX_AUTHORS = 1600  # F7
 K = 9
 
 
@@ -157,7 +158,7 @@ def x8_subword_encode(spark, sf):
 
 
 def _cs(spark, sf):
-    return closed_set(files_from_embeddings(spark, sf), K, None, SEED).persist()
+    return closed_set(files_from_embeddings(spark, sf), K, MAX_AUTHORS, SEED).persist()
 
 
 @register("m2_random_forest_cv", None)
@@ -251,6 +252,63 @@ def m17_simclr_samples(spark, sf):
                                       seed=SEED)
 
 
+def _pairs_sql() -> str:
+    from penprint.plans.q_sampling import FILES, W8_SQL
+    return W8_SQL.replace(FILES, "f AS (SELECT doc_id AS file_id, source AS author FROM documents)")
+
+
+def _layout(spark, sf, kind, **kw):
+    from penprint.operators.sampling import random_pair_epoch
+    from penprint.plans.corpus import materialise_pairs
+    docs = spread(table(spark, sf, "documents"))
+    files = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("author"))
+    return materialise_pairs(random_pair_epoch(spark, files, files.count(), 0.5, SEED), docs, kind, seed=SEED, **kw)
+
+
+def _ids_sql(expr: str) -> str:
+    from penprint.plans.q_text import CHAR_IDS_SQL
+    return CHAR_IDS_SQL.replace("text", f"({expr})")
+
+
+def _layout_sql(one: str, two: str, label: str = "label") -> str:
+    return f"""WITH p AS ({_pairs_sql()})
+SELECT 0 AS epoch, p.sample_id, {one} AS input_1, {two} AS input_2, p.{label} FROM p
+JOIN documents a ON a.doc_id = p.file_1 JOIN documents b ON b.doc_id = p.file_2"""
+
+
+def _lines_sql(col: str) -> str:
+    ids = _ids_sql("left(ln, 40)")
+    return (f"list_transform(string_split({col}, chr(10))[1:10], lambda ln: list_concat({ids}, "
+            f"list_transform(generate_series(1, 40 - least(length(ln), 40)), lambda z: 0)))")
+
+
+def _crop_sql(col: str, file: str) -> str:
+    start = f"({H('crop', 'p.sample_id', file)} % greatest(length({col}) - 60 + 1, 1))"
+    cut = f"CASE WHEN length({col}) > 60 THEN substr({col}, {start} + 1, 60) ELSE {col} END"
+    ids = _ids_sql(cut)
+    return (f"list_concat(({ids})[1:least(length({col}), 60) + 1], "
+            f"list_transform(generate_series(1, 60 - least(length({col}), 60)), lambda z: 98), [0])")
+
+
+@register("m17_by_line_samples", _layout_sql(_lines_sql("a.text"), _lines_sql("b.text")))
+def m17_by_line_samples(spark, sf):
+    """M17 (by-line layout): W8 pairs of documents, 10 lines of 40 characters."""
+    return _layout(spark, sf, "by_line", length=40, max_lines=10)
+
+
+@register("m17_combined_samples", _layout_sql(
+    f"list_concat({_ids_sql('left(a.text, 100)')}, [-1], {_ids_sql('left(b.text, 100)')})", "NULL::INTEGER[]"))
+def m17_combined_samples(spark, sf):
+    """M17 (combined layout): W8 pairs of documents, 100 characters of each."""
+    return _layout(spark, sf, "combined", length=100)
+
+
+@register("m17_split_samples", _layout_sql(_crop_sql("a.text", "p.file_1"), _crop_sql("b.text", "p.file_2")))
+def m17_split_samples(spark, sf):
+    """M17 (split layout): W8 pairs of documents, a window of 60 characters of each."""
+    return _layout(spark, sf, "split", length=60)
+
+
 # ------------------------------------------------------------------ W16 / M4 / S7
 
 

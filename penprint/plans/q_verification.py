@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions.vectors import euclidean_distance, l2_norm, l2_normalize
 from penprint.operators import verification as V
-from penprint.operators.histogram import density_grid
+from penprint.operators.histogram import density_grid, kde_grid
 from penprint.plans.closed_set import closed_set
 from penprint.plans.registry import register
 from penprint.plans.sqlparts import closed_set_sql, cosine_sql
@@ -15,11 +15,12 @@ from penprint.tables import files_from_embeddings, table
 
 K = 9
 SEED = "p"
+MAX_AUTHORS = 1600  # the reference's bound on the authors of a closed set
 SET_SIZES = (1, 2, 3, 4)
 
 
 def _cs(spark, sf):
-    return closed_set(files_from_embeddings(spark, sf), K, None, SEED).persist()
+    return closed_set(files_from_embeddings(spark, sf), K, MAX_AUTHORS, SEED).persist()
 
 
 def _fit(spark, sf):
@@ -77,7 +78,7 @@ def lookup_sql(src: str, dst: str, hist: str, x: str, out: str, floor: bool = Tr
 
 
 def fit_sql() -> str:
-    return f"""{closed_set_sql(K, SEED)},
+    return f"""{closed_set_sql(K, SEED, MAX_AUTHORS)},
 {SAME_SQL},
 {DIFF_SQL},
 {hist_sql('hs', 'same_v')},
@@ -138,7 +139,7 @@ def m5_fit_verifier(spark, sf):
     return fmt(same, "same").unionByName(fmt(diff, "diff"))
 
 
-@register("u4_similarity_kinds", f"""WITH {closed_set_sql(K, SEED)}, {SAME_SQL}, {DIFF_SQL}
+@register("u4_similarity_kinds", f"""WITH {closed_set_sql(K, SEED, MAX_AUTHORS)}, {SAME_SQL}, {DIFF_SQL}
 SELECT 1 AS kind, round(similarity, 9) AS similarity FROM same_v
 UNION ALL SELECT 0, round(similarity, 9) FROM diff_v""")
 def u4_similarity_kinds(spark, sf):
@@ -147,7 +148,7 @@ def u4_similarity_kinds(spark, sf):
     return k.select("kind", F.round("similarity", 9).alias("similarity"))
 
 
-@register("a23_similarity_extremes", f"""WITH {closed_set_sql(K, SEED)}, {SAME_SQL}, {DIFF_SQL},
+@register("a23_similarity_extremes", f"""WITH {closed_set_sql(K, SEED, MAX_AUTHORS)}, {SAME_SQL}, {DIFF_SQL},
 kinds AS (SELECT 1 AS kind, similarity FROM same_v UNION ALL SELECT 0, similarity FROM diff_v)
 SELECT kind, count(*) AS n, round(max(similarity), 9) AS max_sim, round(min(similarity), 9) AS min_sim
 FROM kinds GROUP BY kind""")
@@ -245,6 +246,25 @@ def m10_density_curves(spark, sf):
     return fmt(same, "same").unionByName(fmt(diff, "diff"))
 
 
+def _kde_sql(kind: str, cte: str) -> str:
+    return f"""SELECT '{kind}' AS kind, CAST(g.point AS INTEGER) AS point, round(lo + step * g.point, 9) AS x,
+round(sum(exp(-0.5 * pow((lo + step * g.point - v.similarity) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS pdf
+FROM {cte} v, (SELECT n, bw, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 199 AS step FROM (SELECT count(*) AS n, min(similarity) AS mn,
+max(similarity) AS mx, 0.25 * pow(count(*), -0.2) * stddev_samp(similarity) AS bw FROM {cte})) s,
+(SELECT unnest(generate_series(0, 199)) AS point) g GROUP BY g.point, lo, step"""
+
+
+@register("m10_kde_curves", f"""WITH {closed_set_sql(K, SEED, MAX_AUTHORS)}, {SAME_SQL}, {DIFF_SQL}
+{_kde_sql('same', 'same_v')} UNION ALL {_kde_sql('diff', 'diff_v')}""")
+def m10_kde_curves(spark, sf):
+    """Gaussian densities of the same- and different-author similarities."""
+    cs = _cs(spark, sf)
+    def fmt(v, kind):
+        return kde_grid(v, "similarity").select(F.lit(kind).alias("kind"), "point", F.round("x", 9).alias("x"),
+                                                F.round("pdf", 6).alias("pdf"))
+    return fmt(V.same_author_similarities(cs), "same").unionByName(fmt(V.fold_slice_similarities(cs, K), "diff"))
+
+
 # ------------------------------------------------------------------ vectors / losses
 
 
@@ -259,7 +279,7 @@ def x16_l2_normalize(spark, sf):
                     F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
 
 
-PAIRS_SQL = f"""{closed_set_sql(K, SEED)},
+PAIRS_SQL = f"""{closed_set_sql(K, SEED, MAX_AUTHORS)},
 na AS (SELECT count(DISTINCT label) AS a FROM cs),
 pk AS (SELECT a.file_id AS file_1, b.file_id AS file_2, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS label,
               a.embedding AS va, b.embedding AS vb

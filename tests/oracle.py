@@ -43,7 +43,7 @@ def rows_of(pdf):
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "float": "FLOAT", "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]",
-                 "array<bigint>": "BIGINT[]", "array<double>": "DOUBLE[]"}
+                 "array<bigint>": "BIGINT[]", "array<array<int>>": "INTEGER[][]", "array<double>": "DOUBLE[]"}
 
 
 def type_mismatches(sdf, rel) -> list:
