@@ -46,12 +46,12 @@ def saved(df: DataFrame) -> DataFrame:
     """Checkpointed to the shared folder: cuts lineage.  Nothing refers to the
     finished step afterwards, so its shuffle files go as soon as the driver
     collects its garbage; that is asked for here, because a driver with a quiet
-    heap may not do so before the job ends.  The second collection finds what
-    the cleanup after the first one let go."""
+    heap may not do so before the job ends.  Later collections find what the
+    cleanup after an earlier one let go."""
     spark, out = df.sparkSession, cut_lineage(df)
     del df
     gc.collect()
-    for _ in range(2):
+    for _ in range(4):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
     return out
