@@ -6,7 +6,7 @@ from penprint.plans.registry import load_all
 from tests.conftest import SF001
 
 REG = load_all()
-SLOW = {"x7_learn_merges", "x8_subword_encode", "m2_random_forest_cv", "m4_mlp_holdout",
+SLOW = {"m2_random_forest_cv", "m4_mlp_holdout",
         "x22_grid_results", "a21_best_per_k", "m13_leaderboard"}
 
 

@@ -46,3 +46,31 @@ def test_file_ordinals_split_path_equals_plain_rank(spark, monkeypatch):
     a = got.select("author", "file_id", "ordinal")
     b = want.select("author", "file_id", F.col("ordinal").cast("bigint"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_random_pairs_with_nearly_all_files_of_one_author(spark):
+    """One author owns 99.9% of the files: every sample comes back, in one plan."""
+    files = spark.createDataFrame([(0, i) for i in range(3996)] + [(a, 10000 + a) for a in (1, 2, 3, 4)],
+                                  "author int, file_id int")
+    got = S.random_pair_epoch(spark, files, 600, 0.5)
+    owner = files.select("file_id", "author")
+    pairs = (got.join(owner.toDF("file_1", "a1"), "file_1").join(owner.toDF("file_2", "a2"), "file_2")).collect()
+    assert len(pairs) == 600 and len({p.sample_id for p in pairs}) == 600
+    assert all((p.a1 == p.a2) == (p.label == 1) and p.file_1 != p.file_2 for p in pairs)
+    assert any(p.label == 0 for p in pairs)
+
+
+def test_random_pairs_need_two_authors(spark):
+    import pytest
+    one = spark.createDataFrame([(0, i) for i in range(5)], "author int, file_id int")
+    with pytest.raises(ValueError):
+        S.random_pair_epoch(spark, one, 10, 0.5)
+    with pytest.raises(ValueError):
+        S.simclr_batches(spark, one, 4, 8)
+
+
+def test_quota_of_the_whole_space(spark):
+    groups = spark.createDataFrame([(1, 300, 300), (2, 10 ** 9, 50), (3, 1, 1), (4, 5, 0)], "k int, sp long, q long")
+    got = S.sample_distinct(groups, "k", "sp", "q").collect()
+    by = {k: [r.value for r in got if r.k == k] for k in (1, 2, 3, 4)}
+    assert sorted(by[1]) == list(range(300)) and len(set(by[2])) == 50 and by[3] == [0] and by[4] == []
