@@ -112,7 +112,8 @@ def auto_bin_count(n: int, mn: float, mx: float, q1: float, q3: float) -> tuple[
 def histogram_auto(values: DataFrame, col: str) -> Histogram:
     """Fit a histogram density to ``values[col]``."""
     spark: SparkSession = values.sparkSession
-    v = values.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # one column of numbers, read by four passes: kept until the bins are counted
+    v = values.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()).persist()
     r = v.agg(F.count("_v").alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).first()
     n, mn, mx = int(r["n"]), float(r["mn"]), float(r["mx"])
     q1, q3 = exact_quantiles(v, "_v", [0.25, 0.75], n, mn, mx)
@@ -124,6 +125,8 @@ def histogram_auto(values: DataFrame, col: str) -> Histogram:
     bins = (edges.join(counts, "bin", "left").fillna(0, ["count"])
             .withColumn("pdf", F.col("count") / (F.lit(float(n)) * (F.col("hi") - F.col("lo")))))
     hist.bins = bins.select("bin", "lo", "hi", "count", "pdf").persist()  # nb rows, reused by every lookup
+    hist.bins.count()
+    v.unpersist()
     return hist
 
 

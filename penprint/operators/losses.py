@@ -1,23 +1,36 @@
-"""Contrastive batch losses (A16, A17) as joins inside a batch.
+"""Contrastive batch losses (A16, A17), one grouped call for each batch.
 
 Input: one row per (batch, slot) with two views ``v1``, ``v2`` (arrays).  A
-batch has ``b`` rows (a parameter), so the within-batch join emits b^2 rows
-per batch — bounded by the batch size, never by the data.
+batch has ``b`` rows (a parameter), so a call holds b^2 similarities — bounded
+by the batch size, never by the data.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.functions.vectors import dot, l2_normalize
 
+def _unit(column) -> np.ndarray:
+    x = np.array(column.to_pylist(), np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-def _logsumexp(df: DataFrame, keys, x: str) -> DataFrame:
-    m = df.groupBy(*keys).agg(F.max(x).alias("_m"))
-    return (df.join(m, keys).groupBy(*keys).agg(
-        F.first("_m").alias("_m"), F.sum(F.exp(F.col(x) - F.col("_m"))).alias("_s"))
-        .select(*keys, (F.col("_m") + F.log("_s")).alias("lse")))
+
+def _cross_entropy(logits: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """-log softmax of each row at its positive column; -inf entries are masked."""
+    top = logits.max(axis=1, keepdims=True)
+    lse = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
+    return lse - logits[np.arange(len(logits)), positive]
+
+
+def _per_batch(views: DataFrame, loss, batch: str, v1: str, v2: str) -> DataFrame:
+    def run(table):
+        return pa.table({batch: table.column("b").slice(0, 1),
+                         "loss": pa.array([float(loss(_unit(table.column("x")), _unit(table.column("y"))))])})
+    rows = views.select(F.col(batch).alias("b"), F.col(v1).alias("x"), F.col(v2).alias("y"))
+    return rows.groupBy("b").applyInArrow(run, f"{batch} {views.schema[batch].dataType.simpleString()}, loss double")
 
 
 def simclr_loss(views: DataFrame, temperature: float = 1.0, batch: str = "batch", slot: str = "slot",
@@ -25,19 +38,16 @@ def simclr_loss(views: DataFrame, temperature: float = 1.0, batch: str = "batch"
     """A16 (method 2): per batch, mean over both views of the softmax
     cross-entropy of each row against all rows of the other view (positive =
     same slot) and the other rows of its own view.  Output (batch, loss)."""
-    z = views.select(batch, slot, l2_normalize(v1).alias("a"), l2_normalize(v2).alias("b"))
-    rows = (z.select(batch, slot, F.lit(0).alias("view"), F.col("a").alias("z"), F.col("b").alias("other"))
-            .unionByName(z.select(batch, slot, F.lit(1).alias("view"), F.col("b").alias("z"), F.col("a").alias("other"))))
-    left = rows.select(batch, F.col(slot).alias("i"), "view", F.col("z").alias("zi"))
-    right = rows.select(batch, F.col(slot).alias("j"), F.col("view").alias("view_j"), F.col("z").alias("zj"))
-    pairs = left.join(right, batch).where(~((F.col("view") == F.col("view_j")) & (F.col("i") == F.col("j"))))
-    pairs = pairs.withColumn("logit", dot("zi", "zj") / F.lit(temperature))
-    keys = [batch, "i", "view"]
-    lse = _logsumexp(pairs, keys, "logit")
-    pos = pairs.where((F.col("view") != F.col("view_j")) & (F.col("i") == F.col("j"))).select(
-        *keys, F.col("logit").alias("pos"))
-    per_row = lse.join(pos, keys).withColumn("ce", F.col("lse") - F.col("pos"))
-    return per_row.groupBy(batch).agg(F.avg("ce").alias("loss"))
+    def loss(a, b):
+        n = len(a)
+        own = np.arange(n)
+        total = 0.0
+        for x, y in ((a, b), (b, a)):
+            near = x @ x.T / temperature
+            near[own, own] = -np.inf
+            total += _cross_entropy(np.concatenate([x @ y.T / temperature, near], axis=1), own).sum()
+        return total / (2 * n)
+    return _per_batch(views, loss, batch, v1, v2)
 
 
 def simclr_loss_matrix(views: DataFrame, temperature: float = 1.0, batch: str = "batch", slot: str = "slot",
@@ -45,14 +55,10 @@ def simclr_loss_matrix(views: DataFrame, temperature: float = 1.0, batch: str =
     """A17 (method 1): the same objective from the stacked 2b x 2b similarity:
     row r = (view, slot); positive = the other view of the same slot; the
     mask removes only r itself.  Equal to A16 by construction of the logit set."""
-    z = views.select(batch, slot, l2_normalize(v1).alias("a"), l2_normalize(v2).alias("b"))
-    stacked = (z.select(batch, slot, F.lit(0).alias("view"), F.col("a").alias("z"))
-               .unionByName(z.select(batch, slot, F.lit(1).alias("view"), F.col("b").alias("z"))))
-    l = stacked.select(batch, F.col(slot).alias("i"), F.col("view").alias("vi"), F.col("z").alias("zi"))
-    r = stacked.select(batch, F.col(slot).alias("j"), F.col("view").alias("vj"), F.col("z").alias("zj"))
-    sim = l.join(r, batch).withColumn("logit", dot("zi", "zj") / F.lit(temperature))
-    sim = sim.where(~((F.col("i") == F.col("j")) & (F.col("vi") == F.col("vj"))))
-    keys = [batch, "i", "vi"]
-    lse = _logsumexp(sim, keys, "logit")
-    pos = sim.where((F.col("i") == F.col("j")) & (F.col("vi") != F.col("vj"))).select(*keys, F.col("logit").alias("pos"))
-    return lse.join(pos, keys).groupBy(batch).agg(F.avg(F.col("lse") - F.col("pos")).alias("loss"))
+    def loss(a, b):
+        z = np.concatenate([a, b])
+        own = np.arange(len(z))
+        sim = z @ z.T / temperature
+        sim[own, own] = -np.inf
+        return _cross_entropy(sim, (own + len(a)) % len(z)).mean()
+    return _per_batch(views, loss, batch, v1, v2)

@@ -231,8 +231,12 @@ def unrank_pair(r: Column) -> tuple[Column, Column]:
     return i, j
 
 
-def _draw_budget(q: Column, level: int) -> Column:
-    return ((F.lit(2) * q + F.lit(32)) * F.lit(2 ** level)).cast("bigint")
+def _draw_budget(q: Column, space: Column, level: int) -> Column:
+    """Draws that most likely hold q distinct values: their expected number
+    space * ln(space / (space - q)) with room, twice as many at each level."""
+    c, k = space.cast("double"), q.cast("double")
+    likely = c * F.log((c + 0.5) / (c - k + 0.5)) * 1.3 + F.least(c, k * k / c) * 5 + 32
+    return (F.ceil(likely) * F.lit(2 ** level)).cast("bigint")
 
 
 def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p", tag: str = "comb",
@@ -241,8 +245,8 @@ def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p
     replacement, never enumerating a large space.
 
     The first q *distinct* values of the draw sequence ``h(seed, tag, key, t)
-    mod space``, t = 0, 1, ...  Draws are made in a budget of 2q+32; a key whose
-    budget yields fewer than q distinct values (a quota near the whole space
+    mod space``, t = 0, 1, ...  Draws are made in a budget of the likely
+    number (``_draw_budget``); a key whose budget yields fewer than q distinct values (a quota near the whole space
     needs about space * ln(space) draws) is redone with a doubled budget — the
     answer does not depend on the budget.  Draw generation is chunked so a hot
     key's draws spread over many tasks; the per-key rank by draw order uses the
@@ -254,7 +258,7 @@ def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p
     results, todo = [], base
     chunk = 4096
     for level in range(max_levels):
-        t = todo.withColumn("_T", _draw_budget(F.col("_q"), level))
+        t = todo.withColumn("_T", _draw_budget(F.col("_q"), F.col("_C"), level))
         t = t.withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                       F.floor((F.col("_T") - 1) / chunk).cast("bigint"))))
         t = fan_out_ready(t)

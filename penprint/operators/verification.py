@@ -6,12 +6,16 @@ ordinal), ``fold`` and ``row_index = fold * A + label``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions.vectors import cosine_similarity
 from penprint.operators.histogram import Histogram, histogram_auto
 
+TILE = 256
+
 
 def stable_sigmoid(x: Column) -> Column:
     """1/(1+e^-x) without overflow (the reference's e^x/(1+e^x) gives NaN for large x)."""
@@ -33,13 +37,35 @@ def fold_slice_similarities(cs: DataFrame, k: int, vec: str = "embedding",
     """Rows i, i+k, i+2k, ... of the fold-major order form slice i; lower
     triangle of each slice.  Same-author pairs (possible when gcd(k, A) > 1) are
     removed unless ``include_same_author`` (the reference's raw form)."""
-    s = cs.withColumn("slice", F.pmod(F.col("row_index"), F.lit(k)))
-    a = s.select("slice", F.col("row_index").alias("ra"), F.col("label").alias("la"), F.col(vec).alias("va"))
-    b = s.select("slice", F.col("row_index").alias("rb"), F.col("label").alias("lb"), F.col(vec).alias("vb"))
-    p = a.join(b, "slice").where(F.col("ra") > F.col("rb"))
-    if not include_same_author:
-        p = p.where(F.col("la") != F.col("lb"))
-    return p.select("slice", "ra", "rb", cosine_similarity("va", "vb").alias("similarity"))
+    s = cs.select(F.pmod(F.col("row_index"), F.lit(k)).cast("int").alias("slice"), "row_index", "label",
+                  F.col(vec).alias("v"))
+    # tiles of about TILE rows; a row meets every tile of its slice, so a slice of A
+    # rows is (A / TILE)^2 / 2 tasks' work and no pair leaves the task that makes it
+    n_tiles = max(1, -(-(cs.count() // k) // TILE))
+    s = (s.withColumn("_t", F.pmod(F.floor(F.col("row_index") / k), F.lit(n_tiles)).cast("int"))
+         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
+         .withColumn("_a", F.least("_t", "_o")).withColumn("_b", F.greatest("_t", "_o")))
+
+    def pairs(table):
+        key = np.array(table.column("row_index").to_pylist())
+        order = np.argsort(key)
+        key, label = key[order], np.array(table.column("label").to_pylist())[order]
+        tile = np.array(table.column("_t").to_pylist())[order]
+        x = np.array(table.column("v").to_pylist(), np.float64)[order]
+        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        sim = x @ x.T
+        later, earlier = np.nonzero(np.tri(len(key), k=-1, dtype=bool))
+        keep = np.ones(len(later), bool)
+        if table.column("_a")[0].as_py() != table.column("_b")[0].as_py():
+            keep &= tile[later] != tile[earlier]
+        if not include_same_author:
+            keep &= label[later] != label[earlier]
+        later, earlier = later[keep], earlier[keep]
+        return pa.table({"slice": pa.array(np.full(len(later), table.column("slice")[0].as_py()), pa.int32()),
+                         "ra": pa.array(key[later], pa.int64()), "rb": pa.array(key[earlier], pa.int64()),
+                         "similarity": pa.array(sim[later, earlier])})
+
+    return s.groupBy("slice", "_a", "_b").applyInArrow(pairs, "slice int, ra long, rb long, similarity double")
 
 
 def similarity_kinds(cs: DataFrame, k: int, vec: str = "embedding") -> DataFrame:

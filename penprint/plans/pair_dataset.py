@@ -15,10 +15,11 @@ def build_contrastive_combinations(files: DataFrame, m: int = 200, val_test: flo
     """Author-disjoint three-way split (W2), quota ``min(m, C(min(m,n),2))``
     per author (A5), then that many distinct same-author pairs (W7).
     Output (split, author, file_1, file_2)."""
-    splits = S.author_split_three_way(files, val_test, seed, author)
-    fs = S.split_membership(files, splits, author)
+    splits = S.author_split_three_way(files, val_test, seed, author).persist()  # used three times
+    fs = S.split_membership(files, splits, author).persist()
     quotas = S.max_matches_per_author(S.author_file_counts(fs, author), m).join(splits, author)
-    pairs = S.sample_k_combinations(fs, quotas, seed, "comb", author, file_id)
+    ords = S.file_ordinals(fs, seed, author, file_id, with_counts=False).persist()  # for both files of a pair
+    pairs = S.sample_k_combinations(fs, quotas, seed, "comb", author, file_id, ordinals=ords)
     return pairs.join(splits, author).select("split", author, "file_1", "file_2")
 
 
