@@ -41,8 +41,10 @@ def main() -> None:
                       extra={"spark.driver.memory": "16g"})
     reg = load_all()
     names = [n for n in (only or HEADLINE) if n in reg]
-    # warm-up: JVM, Python workers, Arrow
+    # warm-up: JVM, then Python workers with numpy and Arrow
     reg["w5_closed_set_folds"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(64).repartition(int(cpus)).mapInPandas(lambda it: it, "id long").write.format("noop").mode(
+        "overwrite").save()
     times = {}
     for name in names:
         fn = reg[name][0]

@@ -1,7 +1,8 @@
 """Vector expressions on ``array<float|double>`` columns.
 
-All sums run in double precision through ``aggregate`` so they stay inside
-whole-stage codegen; there is no Python on this path.
+All sums run in double precision through ``aggregate`` in the JVM (interpreted
+inside the stage, as higher-order functions are); there is no Python on this
+path.
 """
 
 from __future__ import annotations
