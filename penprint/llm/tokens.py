@@ -17,7 +17,7 @@ import numpy as np
 
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _OTHER = tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
-_MOST = 800_000
+_MOST = 500_000
 
 
 def _plain(text: str) -> bool:
