@@ -250,20 +250,26 @@ def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p
     needs about space * ln(space) draws) is redone with a doubled budget — the
     answer does not depend on the budget.  Draw generation is chunked so a hot
     key's draws spread over many tasks; the per-key rank by draw order uses the
-    bucketed ordinal.
+    bucketed ordinal.  A quota of the whole space is every value, so nothing has
+    to be drawn for it (``draw_t`` is the value then).
 
     Output (key, value, draw_t).
     """
     base = groups.select(key, F.col(space).alias("_C"), F.col(quota).alias("_q")).where(F.col("_q") > 0)
-    results, todo = [], base
     chunk = 4096
+
+    def spans(df, size):
+        """Rows numbered 0 .. size - 1 of each key, made chunk by chunk."""
+        df = df.withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                       F.floor((size - 1) / chunk).cast("bigint"))))
+        return fan_out_ready(df).withColumn("draw_t", F.explode(F.sequence(
+            F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, size) - 1)))
+
+    whole = spans(base.where((F.col("_q") >= F.col("_C")) & (F.col("_C") > 0)), F.col("_C"))
+    results, todo = [whole.select(key, F.col("draw_t").alias("value"), "draw_t")], base.where(F.col("_q") < F.col("_C"))
     for level in range(max_levels):
         t = todo.withColumn("_T", _draw_budget(F.col("_q"), F.col("_C"), level))
-        t = t.withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                      F.floor((F.col("_T") - 1) / chunk).cast("bigint"))))
-        t = fan_out_ready(t)
-        t = t.withColumn("draw_t", F.explode(F.sequence(
-            F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, F.col("_T")) - 1)))
+        t = spans(t, F.col("_T"))
         t = t.withColumn("value", F.pmod(h(seed, tag, key, "draw_t"), F.col("_C")))
         firsts = t.groupBy(key, "_q", "_T", "value").agg(F.min("draw_t").alias("draw_t"))
         firsts = firsts.withColumn("_b", F.floor(F.col("draw_t") * 1024 / F.col("_T")).cast("bigint"))
