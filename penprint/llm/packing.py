@@ -173,7 +173,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n += 1
                 yield emit(rows)
         yield emit(packer.finish())
-        encode.rest()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .mapInArrow(run, OUT))

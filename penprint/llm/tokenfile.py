@@ -95,7 +95,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     size += len(x)
         if ids:
             yield flush()
-        encode.rest()
 
     dealt.mapInArrow(run, ROW).write.parquet(path)
 

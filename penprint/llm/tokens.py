@@ -17,7 +17,7 @@ import numpy as np
 
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _OTHER = tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
-_MOST = 400_000  # words in each of the two generations that a worker keeps
+_MOST = 800_000
 
 
 def _plain(text: str) -> bool:
@@ -37,17 +37,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         feed = self.whole("\n")
         self.line_feed, self.feed_bytes = int(feed[0]), feed.tobytes()
-        # "w": ids of " w"; "\nw": ids of a line feed and w.  Words met again move to the young generation.
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # "w": ids of " w"; "\nw": ids of a line feed and w
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def rest(self) -> None:
-        """Between tasks a worker keeps the young generation only."""
-        self.old = {}
-
     def _learn(self, words: list[str]) -> None:
         """Many words in one text: line feeds are tokens of their own and part them."""
         if not words:
@@ -65,14 +59,11 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if not t or not _plain(t) else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.known) > _MOST:
-            self.old, self.known = self.known, {}
+            self.known.clear()
         fresh: set[str] = set()
         for words in split:
             if words is not None:
                 fresh.update(words)
-        fresh = fresh.difference(self.known)
-        for w in fresh & self.old.keys():
-            self.known[w] = self.old[w]
         self._learn(list(fresh.difference(self.known)))
         out = []
         for text, words in zip(texts, split):
