@@ -133,19 +133,3 @@ _CASE[65:91] += 32
 
 def ascii_lower(buf: np.ndarray) -> np.ndarray:
     return _CASE[buf]
-
-
-def column(table, name: str) -> np.ndarray:
-    """A column without nulls as a numpy array."""
-    x = table.column(name)
-    if isinstance(x, pa.ChunkedArray):
-        x = x.combine_chunks()
-    return x.to_numpy(zero_copy_only=False)
-
-
-def pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
-
-
-def unpack(blobs, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype) for b in blobs]

@@ -26,8 +26,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from penprint.llm.arrays import utf8
-
 BINS = 1 << 13
 TRAIN_ROWS = 4000
 AMBIGUITY = 0.02

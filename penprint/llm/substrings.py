@@ -20,8 +20,6 @@ of ids: a window is never removed because of a row with the same id.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
