@@ -35,9 +35,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest
-    id, once if its row is repeated."""
+    id, once if its row is repeated.  Linked are sets of five-word shingles with
+    a similarity of 0.8 or more; op6's query has a contract of its own."""
     rows = docs.withColumn("__id", _known())
-    links = jaccard.link_documents(rows.select("__id", "text"), "__id")
+    links = jaccard.link_documents(rows.select("__id", "text"), "__id", size=5, num=80, den=100)
     kept = (links.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id"))
             .agg(F.count("*").alias("__rows")))
     own = rows.join(kept, "__id")

@@ -62,6 +62,17 @@ def test_stages_on_hostile_rows(make, hostile, spark, extra):
     assert out.select("doc_id").distinct().count() == len(ids)
 
 
+def test_near_copies_go_by_five_words(make, spark, hostile):
+    """Two words in 100 changed: 0.81 of the five-word shingles, 0.88 of the three-word ones."""
+    base = [f"w{i}" for i in range(100)]
+    changed = [f"e{i}" if i in (30, 60) else w for i, w in enumerate(base)]
+    far = [f"e{i}" if i in (20, 50, 80) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(far)), *hostile[16:36]]
+    out = corpus_pipeline.drop_near_duplicates(spark, make(rows), SF001)
+    assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in linked(rows, 80, 100, 5)})
+    assert {1, 3} <= {r.doc_id for r in out.collect()} and 2 not in {r.doc_id for r in out.collect()}
+
+
 def test_empty_table(make, spark):
     docs = make([])
     for _, stage in corpus_pipeline.STAGES:
