@@ -2,17 +2,23 @@
 
 Template texts of licences are indexed by their telling words: word -> (template,
 position).  The document frequency of these words is counted over all documents.
-In a document the ``RARE`` words with the highest IDF open candidates: every
-occurrence of an indexed word votes for (template, place of the template's start
-in the document), postings meet where their relative positions agree, and a
-placement counts if a rare word is among them, all mandatory key words stand at
-their places, and at least ``COVERAGE`` of the telling words do.
+The key word with the highest IDF of each template opens candidates: a document
+without any of them holds no template.  In the others every occurrence of an
+indexed word votes for (template, place of the template's start in the document),
+postings meet where their relative positions agree, and a placement counts if all
+mandatory key words stand at their places and at least ``COVERAGE`` of the
+telling words do.
+
+``OP1_SQL`` is older: it also asks that one of the ``RARE`` rarest indexed words of
+the whole document stands in the placement, and so leaves out placements in texts
+with several licences.
 
 Base phrases are places where the phrase's words stand consecutively.
 
 Edge cases: a null text is empty (no words, no labels, null places, score 0);
 repeated rows are scanned one by one; words of the index that no document has
-get the highest IDF; ties of IDF go by the word.
+get the highest IDF; ties of IDF go by the word.  The choice of the opening words
+changes the work, not the result.
 """
 
 from __future__ import annotations
@@ -72,6 +78,12 @@ def postings() -> list[tuple]:
     return out
 
 
+def opening_words(df: dict) -> list[str]:
+    """The rarest key word of each template: every placement has it."""
+    return sorted({min((df.get(w, 0), w) for w, t, _, key in postings() if key and t == one)[1]
+                   for one in range(len(TEMPLATES))})
+
+
 def _values(spark, rows, names: str) -> DataFrame:
     def lit(x):
         return f"'{x}'" if isinstance(x, str) else str(x).lower()
@@ -128,21 +140,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # document frequency of each indexed word (as many rows as the index has words)
     df = {r[0]: r[1] for r in occ.select(F.explode(F.array_distinct("hits.word")).alias("word"))
           .groupBy("word").count().collect()}
-    rank = [w for _, w in sorted((df.get(w, 0), w) for w in {p[0] for p in postings()})]
-    ranks = F.broadcast(_values(spark, [(w, i) for i, w in enumerate(rank)], "word, rarity"))
-
-    hits = (occ.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h"))
-            .select("row", "h.at", "h.word").join(ranks, "word"))
-    # the rarity of a document's RARE-th rarest indexed word
-    top = hits.groupBy("row").agg(F.collect_set("rarity").alias("all")).select(
-        "row", F.array_max(F.slice(F.array_sort("all"), 1, RARE)).alias("limit"))
+    opening = opening_words(df)
+
+    hits = (occ.where(F.exists("hits", lambda h: h["word"].isin(opening))).select("row", F.explode("hits").alias("h"))
+            .select("row", "h.at", "h.word"))
     placed = (hits.join(index, "word")
               .groupBy("row", "template", (F.col("at") - F.col("pos")).alias("start"))
-              .agg(F.count("*").alias("n"), F.sum(F.col("key").cast("int")).alias("keys"),
-                   F.min("rarity").alias("rarest"))
+              .agg(F.count("*").alias("n"), F.sum(F.col("key").cast("int")).alias("keys"))
               .join(about, "template")
               .where((F.col("keys") == F.col("n_key")) & (F.col("n") >= COVERAGE * F.col("n_telling"))))
-    found = (placed.join(top, "row").where("rarest <= limit").groupBy("row")
+    found = (placed.groupBy("row")
              .agg(F.collect_set("label").alias("found"), F.count("*").alias("n_places"),
                   F.max(F.col("n") / F.col("n_telling")).alias("score")))
 

@@ -57,6 +57,26 @@ def test_template_labels(make):
     assert got[18].labels == "mit" and got[15].n_places == 3000
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+LINES = {
+    "mit": "Released under the MIT license.", "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "gpl-3.0": "Licensed under the GNU General Public License version 3.",
+}
+
+
+def test_bsd_line_hides_no_other_licence(make):
+    alone = dict(enumerate(LINES.values()))
+    rows = [*alone.items(), (10, BSD), *((20 + i, BSD + " " + t) for i, t in alone.items()),
+            (30, " ".join([BSD, *LINES.values()])), (31, " ".join(["x y"] + [*LINES.values(), BSD] * 2))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(make(rows)).collect()}
+    for i, label in enumerate(LINES):
+        assert {label, "bsd"} <= set(got[20 + i].labels.split(",")), label
+        assert got[20 + i].n_places == got[10].n_places + got[i].n_places and got[20 + i].score == 1
+    assert set(got[30].labels.split(",")) == {"bsd", "gpl", *LINES} == set(got[31].labels.split(","))
+    assert got[30].n_places == got[10].n_places + sum(got[i].n_places for i in alone)
+    assert got[31].n_places == 2 * got[30].n_places
+
+
 def test_empty_table(make):
     assert licenses.scan_licenses(make([])).count() == 0
 
