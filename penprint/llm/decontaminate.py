@@ -6,7 +6,8 @@ template tokens of every document is hash-joined with the windows of the
 benchmark items.  A document and item that share enough windows are compared
 slot by slot: the values that stand in the item's slots must map one to one to
 those in the document's (all equal: the passage itself; else a re-parameterised
-question).
+question).  Every place of the document that holds enough windows alone is
+compared, and the longest consistent one is reported.
 
 Tokens are runs of letters, numbers, and percent or currency signs.  A name is a
 capitalised word inside a sentence; the first word of a sentence is an ordinary
@@ -69,6 +70,12 @@ def window_hashes(tokens: Column) -> Column:
     return F.transform(F.array(F.transform(tokens, lambda x: x["t"])), hashes)[0]
 
 
+def _enough(n: Column | str) -> Column:
+    """Whether so many of an item's ``total`` windows count as the item."""
+    n = F.col(n) if isinstance(n, str) else n
+    return (n >= F.least(F.lit(MIN_WINDOWS), F.col("total"))) & (n >= COVERAGE * F.col("total"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, n_changed, consistency,
@@ -85,15 +92,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     windows = own.select("doc_id", "doc_hash", F.posexplode(window_hashes(template(F.col("text")))).alias("pos", "h"))
     side = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
     met = (windows.join(side, "h").select("doc_id", "doc_hash", "item_id", "total", "pos", "ipos").distinct())
-    # matched places by item; the longest diagonal tells where the passage stands
+    # matched places by item; a diagonal is one place where the passage may stand
     lines = (met.groupBy("doc_id", "doc_hash", "item_id", "total", (F.col("pos") - F.col("ipos")).alias("shift"))
              .agg(F.collect_set("ipos").alias("at")))
     pairs = saved(lines.groupBy("doc_id", "doc_hash", "item_id", "total")
                   .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("every"),
-                       F.max_by(F.struct("shift", "at"), F.struct(F.size("at"), -F.col("shift"))).alias("best"))
+                       F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), (-F.col("shift")).alias("back"),
+                                                            "at")), asc=False).alias("lines"))
                   .select("*", F.size("every").alias("n_windows"))
-                  .where((F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("total")))
-                         & (F.col("n_windows") >= COVERAGE * F.col("total"))))
+                  .where(_enough("n_windows"))
+                  # the longest (first of equals), and all others that are long enough alone
+                  .withColumn("lines", F.filter("lines", lambda x, i: (i == 0) | _enough(x["n"]))))
 
     # slots of the matched places: only documents with a match are read again
     wanted = pairs.select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h")).distinct()
@@ -102,19 +111,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
              .select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), template(F.col("text")).alias("doc")))
     both = (pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")))
             .join(bench.select(F.col("item_id").alias("_i"), "item"), F.col("item_id").eqNullSafe(F.col("_i"))))
-    inside = F.array_distinct(F.flatten(F.transform("best.at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    slots = F.filter(F.transform(inside, lambda p: F.struct(
-        F.concat(F.col("item")[p]["t"], F.col("item")[p]["v"]).alias("a"),
-        F.concat(F.col("doc")[p + F.col("best.shift")]["t"], F.col("doc")[p + F.col("best.shift")]["v"]).alias("b"),
-        F.col("item")[p]["v"].alias("v"))), lambda s: s["v"] != "")
-    # a pair of values agrees with all others if each of them has no second partner
-    alone = lambda s: F.size(F.filter("slots", lambda x: (x["a"] == s["a"]) | (x["b"] == s["b"]))) == 1
-    return (both.withColumn("slots", F.array_distinct(slots))
-            .withColumn("n_slots", F.size("slots"))
-            .withColumn("n_changed", F.size(F.filter("slots", lambda s: s["a"] != s["b"])))
-            .withColumn("consistency", F.when(F.col("n_slots") == 0, F.lit(1.0)).otherwise(
-                F.size(F.filter("slots", alone)) / F.col("n_slots")))
-            .where(F.col("consistency") >= CONSISTENCY)
+
+    def slots(line: Column) -> Column:
+        inside = F.array_distinct(F.flatten(F.transform(line["at"], lambda p: F.sequence(p, p + (WINDOW - 1)))))
+        here = lambda p: F.col("doc")[p - line["back"]]
+        return F.array_distinct(F.filter(F.transform(inside, lambda p: F.struct(
+            F.concat(F.col("item")[p]["t"], F.col("item")[p]["v"]).alias("a"),
+            F.concat(here(p)["t"], here(p)["v"]).alias("b"),
+            F.col("item")[p]["v"].alias("v"))), lambda x: x["v"] != ""))
+
+    def judged(all_slots: Column) -> Column:
+        # a pair of values agrees with all others if each of them has no second partner
+        alone = lambda s: F.size(F.filter(all_slots, lambda x: (x["a"] == s["a"]) | (x["b"] == s["b"]))) == 1
+        n = F.size(all_slots)
+        return F.struct(n.alias("n_slots"), F.size(F.filter(all_slots, lambda s: s["a"] != s["b"])).alias("n_changed"),
+                        F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.filter(all_slots, alone)) / n).alias("consistency"))
+
+    # the longest consistent place is reported
+    return (both.withColumn("slots", F.transform("lines", slots))
+            .withColumn("best", F.try_element_at(F.filter(F.transform("slots", judged),
+                                                          lambda x: x["consistency"] >= CONSISTENCY), F.lit(1)))
+            .where(F.col("best").isNotNull())
+            .select("*", "best.n_slots", "best.n_changed", "best.consistency")
             .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"),
                     (F.col("n_windows") / F.col("total")).alias("coverage"),
                     F.col("n_slots").cast("long").alias("n_slots"), F.col("n_changed").cast("long").alias("n_changed"),

@@ -43,6 +43,20 @@ def test_inconsistent_slots_are_no_leak(make, items):
     assert got == {}
 
 
+def test_consistent_place_after_inconsistent_ones(make, items):
+    bad = ITEM[1]
+    for name in ("Ann", "Bob", "Cid"):
+        bad = bad.replace("Tom", name, 1)
+    bad = bad.replace("5", "7").replace("3", "7")
+    other = ITEM[1].replace("Tom", "Alice").replace("5", "812").replace("3", "7")
+    part = ITEM[1][:-30]
+    rows = [(1, bad + " " + ITEM[1]), (2, bad + " " + bad + " " + other), (3, bad + " " + bad),
+            (4, bad + " Then came. " + part)]
+    got, _ = flagged(make, items, rows)
+    assert set(got) == {(1, 1), (2, 1), (4, 1)}
+    assert got[1, 1].kind == got[4, 1].kind == "same" and got[2, 1].kind == "reparameterised"
+
+
 def test_number_lists_and_short_items_match_nothing(make, items):
     got, _ = flagged(make, items, [(1, "9 8 7 6 5 4 3 2 1 10 11 12 13 14 15 16 17"), (2, "too short")])
     assert got == {}
