@@ -14,8 +14,13 @@ capitalised word inside a sentence; the first word of a sentence is an ordinary
 word.  Windows with fewer than ``TELLING`` ordinary words (lists of numbers or
 names) are not indexed.
 
-Edge cases: a null text has no tokens; a text or item with fewer tokens than a
-window matches nothing; null ids are kept and match each other; rows equal in
+An item shorter than a window is one window of its own length.  The first word of
+an item is a name in a document where no sentence ends before it (after a colon
+or a heading); the item's first window is indexed in that form too, and counts if
+the name is the item's word.
+
+Edge cases: a null text has no tokens; an item of fewer than ``SHORTEST`` tokens
+matches nothing; null ids are kept and match each other; rows equal in
 id and text give one row for each item; an item or document repeated under
 several ids is reported under each; empty tables give no rows.
 """
@@ -30,6 +35,7 @@ WINDOW = 8
 TELLING = 4
 COVERAGE = 0.3
 MIN_WINDOWS = 3
+SHORTEST = 3
 CONSISTENCY = 0.7
 #: Largest table of item windows that is sent to every executor.
 BROADCAST_WINDOWS = 500_000
@@ -61,15 +67,26 @@ def template(text: Column) -> Column:
     return F.transform(F.array(words), tokens)[0]  # the words are bound once
 
 
-def window_hashes(tokens: Column) -> Column:
-    """Hash of every window of template tokens, by its place."""
+def window_hashes(tokens: Column, width: int | Column = WINDOW) -> Column:
+    """Hash of every window of ``width`` template tokens, by its place."""
     def hashes(ts: Column) -> Column:
-        return F.when(F.size(ts) >= WINDOW, F.transform(
-            F.sequence(F.lit(1), F.size(ts) - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice(ts, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+        return F.when(F.size(ts) >= width, F.transform(
+            F.sequence(F.lit(1), F.size(ts) - (width - 1)),
+            lambda i: F.xxhash64(F.slice(ts, i, width)))).otherwise(F.array().cast("array<long>"))
     return F.transform(F.array(F.transform(tokens, lambda x: x["t"])), hashes)[0]
 
 
+def _item_windows() -> Column:
+    """array<struct<ipos, h>> of the columns ``item`` and ``width``: every window
+    of the item, and the first one as it is where the item's first word is a name."""
+    item, width = F.col("item"), F.col("width")
+    named = F.concat(F.array(F.struct(F.lit(NAME).alias("t"), item[0]["t"].alias("v"))), F.slice(item, 2, width - 1))
+    at = lambda hs: F.transform(hs, lambda h, i: F.struct(i.alias("ipos"), h.alias("h")))
+    first = F.when((item[0]["v"] == "") & (F.length(item[0]["t"]) > 1), at(window_hashes(named, width)))
+    own = at(window_hashes(item, width))
+    return F.when(F.size(item) >= SHORTEST, F.concat(own, F.coalesce(first, F.slice(own, 1, 0))))
+
+
 def _enough(n: Column | str) -> Column:
     """Whether so many of an item's ``total`` windows count as the item."""
     n = F.col(n) if isinstance(n, str) else n
@@ -81,28 +98,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """(doc_id, item_id, n_windows, coverage, n_slots, n_changed, consistency,
     kind, doc_hash) for each document and item it contains."""
     bench = saved(items.select(F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("item"))
-                  .withColumn("windows", window_hashes(F.col("item"))))
-    index = (bench.select("item_id", F.size("windows").alias("total"), F.posexplode("windows").alias("ipos", "h"),
-                          "item")
-             .where(F.size(F.filter(F.slice("item", F.col("ipos") + 1, WINDOW), lambda x: x["v"] == "")) >= TELLING)
-             .select("item_id", "total", "ipos", "h"))
+                  .withColumn("width", F.least(F.lit(WINDOW), F.size("item"))))
+    index = (bench.select("item_id", "width", (F.size("item") - F.col("width") + 1).alias("total"), "item",
+                          F.inline(_item_windows()))
+             .where(F.size(F.filter(F.slice("item", F.col("ipos") + 1, F.col("width")), lambda x: x["v"] == ""))
+                    >= F.least(F.lit(TELLING), F.col("width")))
+             .select("item_id", "width", "total", "ipos", "h"))
     index = saved(index)
+    n_index, widths = index.agg(F.count("*"), F.collect_set("width")).first()  # at most WINDOW widths
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("doc_hash"), F.col(text_col).alias("text"))
-    windows = own.select("doc_id", "doc_hash", F.posexplode(window_hashes(template(F.col("text")))).alias("pos", "h"))
-    side = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
+    by_width = F.transform(F.array(template(F.col("text"))),
+                           lambda ts: F.array(*[window_hashes(ts, w) for w in sorted({WINDOW, *widths})]))[0]
+    windows = (own.select("doc_id", "doc_hash", F.explode(by_width).alias("hashes"))
+               .select("doc_id", "doc_hash", F.posexplode("hashes").alias("pos", "h")))
+    side = F.broadcast(index) if n_index <= BROADCAST_WINDOWS else index
     met = (windows.join(side, "h").select("doc_id", "doc_hash", "item_id", "total", "pos", "ipos").distinct())
     # matched places by item; a diagonal is one place where the passage may stand
     lines = (met.groupBy("doc_id", "doc_hash", "item_id", "total", (F.col("pos") - F.col("ipos")).alias("shift"))
              .agg(F.collect_set("ipos").alias("at")))
     pairs = saved(lines.groupBy("doc_id", "doc_hash", "item_id", "total")
                   .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("every"),
-                       F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), (-F.col("shift")).alias("back"),
-                                                            "at")), asc=False).alias("lines"))
-                  .select("*", F.size("every").alias("n_windows"))
-                  .where(_enough("n_windows"))
-                  # the longest (first of equals), and all others that are long enough alone
-                  .withColumn("lines", F.filter("lines", lambda x, i: (i == 0) | _enough(x["n"]))))
+                       F.collect_list(F.struct((-F.col("shift")).alias("back"), "at")).alias("lines"))
+                  .where(_enough(F.size("every"))).drop("every"))
 
     # slots of the matched places: only documents with a match are read again
     wanted = pairs.select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h")).distinct()
@@ -110,10 +128,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
              .dropDuplicates(["doc_id", "doc_hash"])
              .select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), template(F.col("text")).alias("doc")))
     both = (pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")))
-            .join(bench.select(F.col("item_id").alias("_i"), "item"), F.col("item_id").eqNullSafe(F.col("_i"))))
+            .join(bench.select(F.col("item_id").alias("_i"), "item", "width"), F.col("item_id").eqNullSafe(F.col("_i"))))
+
+    def first_word(line: Column) -> Column:
+        # an item's first word that is a name in the document must be the same word
+        there, word = F.col("doc")[-line["back"]], F.col("item")[0]
+        other = (word["v"] == "") & (there["t"] == NAME) & (there["v"] != word["t"])
+        at = F.filter(line["at"], lambda p: (p > 0) | ~other)
+        return F.struct(F.size(at).alias("n"), line["back"].alias("back"), at.alias("at"))
+
+    # the longest (first of equals), and all others that are long enough alone
+    both = (both.withColumn("lines", F.sort_array(F.transform("lines", first_word), asc=False))
+            .withColumn("n_windows", F.size(F.array_distinct(F.flatten("lines.at"))))
+            .where((F.col("n_windows") > 0) & _enough("n_windows"))
+            .withColumn("lines", F.filter("lines", lambda x, i: (i == 0) | ((x["n"] > 0) & _enough(x["n"])))))
 
     def slots(line: Column) -> Column:
-        inside = F.array_distinct(F.flatten(F.transform(line["at"], lambda p: F.sequence(p, p + (WINDOW - 1)))))
+        inside = F.array_distinct(F.flatten(F.transform(line["at"], lambda p: F.sequence(p, p + F.col("width") - 1))))
         here = lambda p: F.col("doc")[p - line["back"]]
         return F.array_distinct(F.filter(F.transform(inside, lambda p: F.struct(
             F.concat(F.col("item")[p]["t"], F.col("item")[p]["v"]).alias("a"),

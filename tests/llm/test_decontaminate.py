@@ -57,6 +57,22 @@ def test_consistent_place_after_inconsistent_ones(make, items):
     assert got[1, 1].kind == got[4, 1].kind == "same" and got[2, 1].kind == "reparameterised"
 
 
+SHORT = {
+    5: "Which animal lays large eggs?", 6: "What is the capital of France?",
+    8: "Which planet is closest to our own sun?", 10: "How many legs does a grown spider have in total?",
+}
+
+
+def test_short_items_after_a_colon_or_heading(make, spark):
+    bench = spark.createDataFrame([*SHORT.items()], "item_id long, text string")
+    lead = ["", "Question: ", "Some heading\n", 'They asked "', "It ends. "]
+    rows = [(100 * k + i, f"{x}{t} Yes.") for k, x in enumerate(lead) for i, t in SHORT.items()]
+    rows += [(900, "Question: Berlin planet is closest to our own sun"), (901, "Peter animal lays large eggs"),
+             (902, "Question: What animal lays large stones?")]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.find_leaks(make(rows), bench).collect()}
+    assert got == {(100 * k + i, i): "same" for k in range(len(lead)) for i in SHORT}
+
+
 def test_number_lists_and_short_items_match_nothing(make, items):
     got, _ = flagged(make, items, [(1, "9 8 7 6 5 4 3 2 1 10 11 12 13 14 15 16 17"), (2, "too short")])
     assert got == {}
