@@ -12,7 +12,8 @@ compared, and the longest consistent one is reported.
 Tokens are runs of letters, numbers, and percent or currency signs.  A name is a
 capitalised word inside a sentence; the first word of a sentence is an ordinary
 word.  Windows with fewer than ``TELLING`` ordinary words (lists of numbers or
-names) are not indexed.
+names) are compared by their values instead of placeholders: such a list matches
+its own copy only.
 
 An item shorter than a window is one window of its own length.  The first word of
 an item is a name in a document where no sentence ends before it (after a colon
@@ -67,13 +68,24 @@ def template(text: Column) -> Column:
     return F.transform(F.array(words), tokens)[0]  # the words are bound once
 
 
-def window_hashes(tokens: Column, width: int | Column = WINDOW) -> Column:
-    """Hash of every window of ``width`` template tokens, by its place."""
-    def hashes(ts: Column) -> Column:
-        return F.when(F.size(ts) >= width, F.transform(
-            F.sequence(F.lit(1), F.size(ts) - (width - 1)),
-            lambda i: F.xxhash64(F.slice(ts, i, width)))).otherwise(F.array().cast("array<long>"))
-    return F.transform(F.array(F.transform(tokens, lambda x: x["t"])), hashes)[0]
+def window_hashes(tokens: Column, width: int | Column = WINDOW, values: bool = True) -> Column:
+    """Hash of every window of ``width`` template tokens, by its place; with
+    ``values``, windows with few ordinary words are hashed with their values."""
+    def hashes(b: Column) -> Column:
+        ts, vs = b["t"], b["v"]
+
+        def one(i: Column) -> Column:
+            plain = F.xxhash64(F.slice(ts, i, width))
+            if not values:
+                return plain
+            slots = F.size(F.array_remove(F.slice(vs, i, width), ""))
+            return F.when(F.lit(width) - slots >= TELLING, plain).otherwise(
+                F.xxhash64(F.slice(ts, i, width), F.slice(vs, i, width)))
+        return F.when(F.size(ts) >= width, F.transform(F.sequence(F.lit(1), F.size(ts) - (width - 1)), one)).otherwise(
+            F.array().cast("array<long>"))
+    # bound once each: the tokens, then their two columns
+    split = lambda x: F.transform(F.array(F.struct(x["t"].alias("t"), x["v"].alias("v"))), hashes)[0]
+    return F.transform(F.array(tokens), split)[0]
 
 
 def _item_windows() -> Column:
@@ -101,15 +113,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                   .withColumn("width", F.least(F.lit(WINDOW), F.size("item"))))
     index = (bench.select("item_id", "width", (F.size("item") - F.col("width") + 1).alias("total"), "item",
                           F.inline(_item_windows()))
-             .where(F.size(F.filter(F.slice("item", F.col("ipos") + 1, F.col("width")), lambda x: x["v"] == ""))
-                    >= F.least(F.lit(TELLING), F.col("width")))
-             .select("item_id", "width", "total", "ipos", "h"))
+             .withColumn("plain", F.size(F.filter(F.slice("item", F.col("ipos") + 1, F.col("width")),
+                                                  lambda x: x["v"] == "")))
+             .select("item_id", "width", "total", "ipos", "h",
+                     # an item's first word may be a name
+                     (F.col("plain") - (F.col("ipos") == 0).cast("int") < TELLING).alias("dense")))
     index = saved(index)
-    n_index, widths = index.agg(F.count("*"), F.collect_set("width")).first()  # at most WINDOW widths
+    # at most WINDOW widths; without dense windows no values are hashed
+    n_index, widths, dense = index.agg(F.count("*"), F.collect_set("width"), F.max("dense")).first()
+    index = index.drop("dense")
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("doc_hash"), F.col(text_col).alias("text"))
     by_width = F.transform(F.array(template(F.col("text"))),
-                           lambda ts: F.array(*[window_hashes(ts, w) for w in sorted({WINDOW, *widths})]))[0]
+                           lambda ts: F.array(*[window_hashes(ts, w, bool(dense)) for w in sorted({WINDOW, *widths})]))[0]
     windows = (own.select("doc_id", "doc_hash", F.explode(by_width).alias("hashes"))
                .select("doc_id", "doc_hash", F.posexplode("hashes").alias("pos", "h")))
     side = F.broadcast(index) if n_index <= BROADCAST_WINDOWS else index

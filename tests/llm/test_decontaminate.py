@@ -78,6 +78,22 @@ def test_number_lists_and_short_items_match_nothing(make, items):
     assert got == {}
 
 
+def test_copies_of_dense_items(make, spark):
+    table = "Rome 12 km, Oslo 7 km, Bern 15 km, Lima 22 km, Cairo 31 km, Paris 9 km."
+    sums = "What is 3 + 4?"
+    title = "Anna Karl Berta Dora Emil Franz Gustav Heinrich Ida Julia"
+    bench = {3: ITEM[3], 10: table, 11: sums, 12: title}
+    frame = spark.createDataFrame([*bench.items()], "item_id long, text string")
+    rows = [(100 + i, x + t + " And more.") for i, x in ((0, ""), (1, "Question: ")) for t in bench.values()]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    changed = [table.replace("12", "13").replace("7", "8").replace("15", "16").replace("22", "23").replace("31", "32"),
+               "What is 5 + 6?", "Rudolf Siegfried Theodor Ulrich Viktor Wilhelm Xaver Zeppelin Otto Paula",
+               "9 8 7 6 5 4 3 2 1 10 11 12 13 14 15 16 17"]
+    got = decontaminate.find_leaks(make(rows + [(50 + k, t) for k, t in enumerate(changed)]), frame).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, i) for k, i in enumerate([*bench, *bench])}
+    assert {(r.kind, r.consistency) for r in got} == {("same", 1.0)} and all(r.coverage > 0.5 for r in got)
+
+
 def test_repeated_rows_null_ids_and_long_texts(make, items):
     rows = [(1, ITEM[2]), (1, ITEM[2]), (None, ITEM[2]), (2, "word salad " * 20000 + ITEM[2]), (3, ITEM[2] + " " + ITEM[1])]
     got, all_rows = flagged(make, items, rows)
