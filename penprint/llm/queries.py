@@ -3,6 +3,7 @@ express the whole result."""
 
 from __future__ import annotations
 
+from penprint.llm.bytebpe import op11_byte_bpe
 from penprint.llm.decontaminate import op5_decontaminate
 from penprint.llm.fingerprints import op9_fingerprints
 from penprint.llm.jaccard import op6_jaccard_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_files": op10_token_files,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
