@@ -11,6 +11,7 @@ from penprint.llm.katz import op7_language_model
 from penprint.llm.language import op4_language_id
 from penprint.llm.licenses import OP1_SQL, op1_license_scan
 from penprint.llm.packing import op8_packing
+from penprint.llm.prefixes import OP12_SQL, op12_prefix_trie
 from penprint.llm.repair import OP13_SQL, op13_conversation_repair
 from penprint.llm.substrings import OP3_SQL, op3_substring_dedup
 from penprint.llm.suffixes import op2_suffix_dedup
@@ -28,11 +29,13 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_token_files": op10_token_files,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
