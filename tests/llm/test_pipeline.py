@@ -20,7 +20,7 @@ def test_run_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     bench = [r.text for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
-    kept = {i for i, _, c in linked(rows, 90, 100) if i == c}
+    kept = {i for i, _, c in linked(rows, 80, 100, 5) if i == c}
     rows = [(i, t) for i, t in rows if i in kept]
     spans = suffixes.brute_force(dict(rows))
     out = []
