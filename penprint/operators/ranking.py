@@ -5,8 +5,8 @@ task.  When one author holds a third of all rows that task is the job.  The
 helpers below split every group into ordered buckets:
 
 1. count rows per (group, bucket) — partial aggregation, tiny shuffle;
-2. running sum over buckets inside each group (a bounded number of buckets per
-   group) gives each bucket its offset;
+2. running sum over buckets inside each group, in levels of 1024 buckets, gives
+   each bucket its offset;
 3. ``row_number`` only inside (group, bucket) — a hot group is spread over many
    tasks.
 
@@ -22,8 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions.rng import HASH_BITS
+from penprint.operators.scan import range_offsets, running_start
 
 DEFAULT_BUCKET_BITS = 10
+ROWS_PER_BUCKET = 1 << 16
+
+
+def bits_for(rows: int) -> int:
+    """Hash bits that cut so many rows into buckets of about ``ROWS_PER_BUCKET``."""
+    return min(HASH_BITS, max(0, -(-rows // ROWS_PER_BUCKET) - 1).bit_length())
 
 
 def bucketed_ordinal(df: DataFrame, group_cols: Sequence[str], bucket_cols: Sequence[str],
@@ -44,18 +51,23 @@ def bucketed_ordinal(df: DataFrame, group_cols: Sequence[str], bucket_cols: Sequ
 
 
 def hash_ordinal(df: DataFrame, group_cols: Sequence[str], hash_col: str,
-                 tie_cols: Sequence[str], out: str = "ordinal",
-                 bucket_bits: int = DEFAULT_BUCKET_BITS,
-                 prefix_cols: Sequence[str] = ()) -> DataFrame:
-    """0-based rank inside ``group_cols`` ordered by (prefix_cols, hash_col, tie_cols).
-
-    ``hash_col`` holds uniform values in [0, 2^52) (see ``rng.h``); its top
-    ``bucket_bits`` bits are the bucket.
+                 tie_cols: Sequence[str], out: str = "ordinal", rows: int | None = None,
+                 bucket_bits: int = DEFAULT_BUCKET_BITS) -> DataFrame:
+    """0-based rank inside ``group_cols`` ordered by (hash_col, tie_cols).
+
+    ``hash_col`` holds uniform values in [0, 2^52) (see ``rng.h``); its top bits
+    are the bucket, as many as ``rows`` (all rows of the table) ask for, or
+    ``bucket_bits`` where the count is not given.  No task ranks more than a
+    bucket or sums more than 1024 of them.
     """
-    staged = df.withColumn("_ho_b", F.shiftright(F.col(hash_col), HASH_BITS - bucket_bits))
-    res = bucketed_ordinal(staged, group_cols, list(prefix_cols) + ["_ho_b"],
-                           [F.col(hash_col)] + [F.col(c) for c in tie_cols], out)
-    return res.drop("_ho_b")
+    bits = bucket_bits if rows is None else bits_for(rows)
+    keys = [*group_cols, "_ho_b"]
+    staged = df.withColumn("_ho_b", F.shiftright(F.col(hash_col), HASH_BITS - bits))
+    counts = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ho_n"))
+    starts = range_offsets(counts, group_cols, "_ho_b", ["_ho_n"], 1 << bits)
+    w = Window.partitionBy(*keys).orderBy(F.col(hash_col), *(F.col(c) for c in tie_cols))
+    return (staged.join(starts, keys).withColumn(out, F.col("_ho_n") + F.row_number().over(w) - 1)
+            .drop("_ho_b", "_ho_n"))
 
 
 def first_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
@@ -71,16 +83,8 @@ def first_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k
     return res if out else res.drop(rn)
 
 
-def sorted_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx",
-                 partitions: int | None = None) -> DataFrame:
-    """Dense 0-based index of rows in ``order_cols`` order, computed distributed
-    and JVM-side: a range repartition makes the partition number a coarse,
-    monotone sort key, so the bucketed ordinal (per-partition counts, running
-    offsets, ``row_number`` inside a partition) gives the global rank without a
-    single-partition window.  Meant for key tables such as the distinct authors.
-    """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_si_p", F.spark_partition_id()).persist())  # pin the partition numbers
-    res = bucketed_ordinal(ranged, [], ["_si_p"], [F.col(c) for c in order_cols], out=out)
-    return res.drop("_si_p")
+def sorted_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx") -> DataFrame:
+    """Dense 0-based index of rows in ``order_cols`` order: a distributed running
+    count over ranges of the order (``scan.py``)."""
+    one = df.withColumn("_si_1", F.lit(1).cast("bigint"))
+    return running_start(one, [F.col(c).asc() for c in order_cols], "_si_1", out).drop("_si_1")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions.rng import HASH_BITS, draw, h, u01
 from penprint.operators.ranking import bucketed_ordinal, first_k, hash_ordinal
+from penprint.operators.scan import running_start
 from penprint.tables import fan_out_ready
 
 # ---------------------------------------------------------------- aggregates
@@ -41,26 +42,32 @@ SPLIT_AUTHOR_FILES = 1 << 16  # authors above this many files are ranked in hash
 
 
 def file_ordinals(files: DataFrame, seed="p", author: str = "author", file_id: str = "file_id",
-                  with_counts: bool = True, bucket_bits: int = 10) -> DataFrame:
+                  with_counts: bool = True, tag: str = "ord") -> DataFrame:
     """A2/A3 at scale: one row per (author, ordinal, file_id).
 
-    The ordinal is the rank of ``h(seed,'ord',file_id)`` (tie: file id) inside
+    The ordinal is the rank of ``h(seed, tag, file_id)`` (tie: file id) inside
     the author, so it is a uniformly random bijection files -> [0, n).  Rows
     instead of an array: an author's file list is never collected into one row.
-    Authors with more than ``SPLIT_AUTHOR_FILES`` files are split into 2^bits
-    hash buckets (bucketed ordinal); smaller authors form one bucket, so the
+    An author's files are cut into hash buckets of at most about
+    ``SPLIT_AUTHOR_FILES``; smaller authors form one bucket, so the
     bucket-offset table has about one row per author, not one per file.
     """
     counts = author_file_counts(files, author)
-    staged = files.join(counts, author).withColumn("_h", h(seed, "ord", file_id))
-    staged = staged.withColumn("_b", F.when(F.col("n_files") > SPLIT_AUTHOR_FILES,
-                                            F.shiftright(F.col("_h"), HASH_BITS - bucket_bits))
-                               .otherwise(F.lit(0).cast("bigint")))
+    staged = files.join(counts, author).withColumn("_h", h(seed, tag, file_id))
+    bits = F.ceil(F.log2(F.greatest(F.col("n_files") / SPLIT_AUTHOR_FILES, F.lit(1.0))))
+    staged = staged.withColumn("_bits", bits.cast("int")).withColumn(
+        "_b", F.expr(f"shiftright(_h, {HASH_BITS} - _bits)"))
     out = bucketed_ordinal(staged, [author], ["_b"], [F.col("_h"), F.col(file_id)], out="ordinal")
-    out = out.drop("_h", "_b")
+    out = out.drop("_h", "_b", "_bits")
     return out if with_counts else out.drop("n_files")
 
 
+def author_starts(counts: DataFrame, author: str = "author", out: str = "_start") -> DataFrame:
+    """(author, n_files, start): the place of each author's first file where all
+    files lie contiguously by author, in author order."""
+    return running_start(counts.select(author, "n_files"), [F.col(author).asc()], "n_files", out)
+
+
 def min_files_per_author(files: DataFrame, k: int, author: str = "author") -> DataFrame:
     """keep authors with at least k files (aggregate + left-semi join;
     AQE broadcasts the author list when small and splits a skewed author)."""
@@ -162,7 +169,7 @@ def author_split(files: DataFrame, val: float = 0.1, test: float = 0.1, seed="p"
     authors = files.select(author).distinct().withColumn("_h", h(seed, "split", author))
     a = authors.count()
     nv, nt = _split_sizes(a, [val, test])
-    r = hash_ordinal(authors, [], "_h", [author], out="_r")
+    r = hash_ordinal(authors, [], "_h", [author], out="_r", rows=a)
     split = (F.when(F.col("_r") < nv, "val").when(F.col("_r") < nv + nt, "test").otherwise("train"))
     return r.select(author, split.alias("split"))
 
@@ -173,7 +180,7 @@ def author_split_three_way(files: DataFrame, val_test: float = 0.1, seed="p",
     authors = files.select(author).distinct().withColumn("_h", h(seed, "split", author))
     a = authors.count()
     ntr, nvt = _split_sizes(a, [1 - 2 * val_test, val_test])
-    r = hash_ordinal(authors, [], "_h", [author], out="_r")
+    r = hash_ordinal(authors, [], "_h", [author], out="_r", rows=a)
     split = (F.when(F.col("_r") < ntr, "train").when(F.col("_r") < ntr + nvt, "val")
              .when(F.col("_r") < ntr + 2 * nvt, "test"))
     return r.select(author, split.alias("split")).where(F.col("split").isNotNull())
@@ -189,7 +196,8 @@ def sample_split_legacy(pairs: DataFrame, n_train: int, n_val: int, id_col: str
     """Split *pairs* (not author-disjoint) after a hash shuffle.  Default test
     = the n_val pairs after val; ``overlapping_test`` reproduces the reference
     slice [train : train + 2*val] that contains all of val."""
-    r = hash_ordinal(pairs.withColumn("_h", h(seed, "pair", id_col)), [], "_h", [id_col], out="_r")
+    r = hash_ordinal(pairs.withColumn("_h", h(seed, "pair", id_col)), [], "_h", [id_col], out="_r",
+                     rows=pairs.count())
     tr, va = n_train, n_val
     if overlapping_test:
         out = r.where(F.col("_r") < tr + 2 * va).withColumn(
@@ -210,7 +218,7 @@ def shuffle_and_batch(df: DataFrame, size: int, id_col: str, epoch: int = 0, see
     nb = max(1, math.ceil(n / size))
     q, r = divmod(n, nb)
     ranked = hash_ordinal(df.withColumn("_h", h(seed, f"batch{epoch}", id_col)), [], "_h", [id_col],
-                          out="_o")
+                          out="_o", rows=n)
     big = r * (q + 1)
     batch = F.when(F.col("_o") < big, F.floor(F.col("_o") / (q + 1))).otherwise(
         F.lit(r) + F.floor((F.col("_o") - big) / F.lit(max(q, 1))))
@@ -307,17 +315,19 @@ def diff_author_sample(emb: DataFrame, m: int = 50, max_authors: int | None = 15
     ``m`` embeddings of *other* authors drawn without replacement, each paired
     with all of the author's own embeddings.
 
-    Rows are laid out contiguously by author in a global index; an author's m
-    draws come from [0, N - n_a) and skip its own block, so no candidate set is
-    enumerated.  Output (author, own_id, other_id, similarity)."""
+    Rows are laid out contiguously by author in a global index (``author_starts``
+    plus the file's ordinal); an author's m draws come from [0, N - n_a) and skip
+    its own block, so no candidate set is enumerated.  Output (author, own_id, other_id, similarity)."""
     from penprint.functions.vectors import cosine_similarity
     from penprint.plans.closed_set import limit_authors
     counts = author_file_counts(emb, author).where(F.col("n_files") >= 2)
     keep = limit_authors(counts.select(author), max_authors, author)
-    e = emb.join(keep, author, "left_semi").withColumn("_g", h(seed, "w10g", file_id))
-    gi = hash_ordinal(e, [], "_g", [file_id], out="gidx", prefix_cols=[author]).drop("_g").persist()
-    n_all = gi.count()
-    blocks = gi.groupBy(author).agg(F.min("gidx").alias("start"), F.count(F.lit(1)).alias("n_files"))
+    e = emb.join(keep, author, "left_semi")
+    blocks = author_starts(counts.join(keep, author, "left_semi"), author, "start").persist()
+    n_all = int(blocks.agg(F.sum("n_files")).first()[0] or 0)
+    gi = (file_ordinals(e, seed, author, file_id, with_counts=False, tag="w10g")
+          .join(blocks.select(author, "start"), author)
+          .withColumn("gidx", F.col("start") + F.col("ordinal")).drop("start", "ordinal"))
     groups = blocks.withColumn("_space", F.lit(n_all) - F.col("n_files")).withColumn(
         "_q", F.least(F.lit(m), F.col("_space")))
     draws = sample_distinct(groups, author, "_space", "_q", seed, "w10")
@@ -416,30 +426,68 @@ def label_and_union(matched: DataFrame, unmatched: DataFrame, seed="p") -> DataF
 # ---------------------------------------------------------------- batches
 
 
+def _distinct_authors(batches: DataFrame, index: DataFrame, n_files: int, size: int, seed, author: str,
+                      budget: int) -> DataFrame:
+    """(batch, author, slot) of the first ``size`` distinct authors among the
+    owners of ``budget`` drawn file positions of each batch; a batch that holds
+    fewer comes back with what it has."""
+    t = fan_out_ready(batches).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))))
+    t = t.withColumn("midx", draw(seed, "esp", n_files, "batch", "_t")).join(index, "midx")
+    first = t.groupBy("batch", author).agg(F.min("_t").alias("_t"))
+    return first_k(first, ["batch"], [F.col("_t")], size, out="slot").drop("_t")
+
+
+def weighted_author_batches(spark, index: DataFrame, n_files: int, n_batches: int, size: int, seed="p",
+                            author: str = "author", max_levels: int = 40) -> DataFrame:
+    """(batch, author, slot): for each batch ``size`` distinct authors, drawn one
+    after the other with probability proportional to their files, without
+    replacement.
+
+    Drawing file positions t = 0, 1, ... uniformly and passing over owners already
+    drawn has exactly that law, so a batch costs a few times ``size`` rows however
+    many authors there are.  A batch whose draws own too few authors (a hot author
+    takes most of them) is drawn again with four times as many; the answer does
+    not depend on the budget.  ``index``: (midx, author), the owner of each
+    position below ``n_files``.
+    """
+    todo = spark.range(n_batches).select(F.col("id").cast("int").alias("batch"))
+    results, budget = [], 2 * size + 32
+    for _ in range(max_levels):
+        got = _distinct_authors(todo, index, n_files, size, seed, author, budget).persist()
+        full = got.where(F.col("slot") == size).select("batch")
+        results.append(got.join(full, "batch", "left_semi"))
+        short = todo.join(full, "batch", "left_anti")
+        if short.limit(1).count() == 0:
+            break
+        todo, budget = short, 4 * budget
+    else:
+        raise RuntimeError("weighted author draws did not converge")
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, seed="p",
                    author: str = "author", file_id: str = "file_id") -> DataFrame:
     """Contrastive batches.  Only authors with > 1 file.  Batch b draws
     ``batch_size`` distinct authors with probability proportional to their file
-    count, without replacement (Efraimidis–Spirakis key -ln(u)/w, smallest
-    first), then two distinct files of each author.  ``ceil(n/batch)`` batches;
-    the last one is cut so exactly ``n_samples`` rows are produced.
-
-    The keys are evaluated for every (batch, author); the per-batch top-b is a
-    ``row_number() <= b`` with a partial group limit, so at most b rows per
-    batch and map task are shuffled.
+    count, without replacement (``weighted_author_batches``), then two distinct
+    files of each author.  ``ceil(n/batch)`` batches; the last one is cut so
+    exactly ``n_samples`` rows are produced.
     """
     multi = min_files_per_author(files, 2, author)
-    ords = file_ordinals(multi, seed, author, file_id).persist()  # used three times below
-    counts = ords.select(author, "n_files").distinct()
-    if n_samples > 0 and counts.limit(batch_size).count() < batch_size:
+    ords = file_ordinals(multi, seed, author, file_id).persist()  # used four times below
+    counts = ords.where("ordinal = 0").select(author, "n_files")
+    n_authors, n_files = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_files"), F.lit(0))).first()
+    if n_samples > 0 and n_authors < batch_size:
         raise ValueError(f"a batch of {batch_size} needs as many authors with two files")
+    index = hash_ordinal(ords.select(author, file_id).withColumn("_g", h(seed, "esg", file_id)), [], "_g", [file_id],
+                         out="midx", rows=int(n_files)).select("midx", author)
     nb = math.ceil(n_samples / batch_size)
-    keys = fan_out_ready(counts).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    keys = keys.withColumn("_u", (h(seed, "esu", "batch", author) + F.lit(0.5)) / F.lit(2.0 ** 52))
-    keys = keys.withColumn("es_key", -F.log(F.col("_u")) / F.col("n_files"))
-    picked = first_k(keys, ["batch"], [F.col("es_key"), F.col(author)], batch_size, out="_slot")
-    picked = picked.withColumn("sample_id", (F.col("batch").cast("bigint") * batch_size + F.col("_slot") - 1))
-    picked = picked.where(F.col("sample_id") < n_samples)
+    picked = weighted_author_batches(spark, index, max(int(n_files), 1), nb, batch_size, seed, author)
+    picked = picked.withColumn("sample_id", F.col("batch").cast("bigint") * batch_size + F.col("slot") - 1)
+    picked = picked.where(F.col("sample_id") < n_samples).join(counts, author)
     picked = picked.withColumn("_o1", F.pmod(h(seed, "es1", "batch", author), F.col("n_files")))
     picked = picked.withColumn("_o2", F.pmod(h(seed, "es2", "batch", author), F.col("n_files") - 1))
     picked = picked.withColumn("_o2", F.when(F.col("_o2") >= F.col("_o1"), F.col("_o2") + 1)
@@ -447,7 +495,7 @@ def simclr_batches(spark, files: DataFrame, batch_size: int, n_samples: int, see
     f1 = ords.select(author, F.col("ordinal").alias("_o1"), F.col(file_id).alias("file_1"))
     f2 = ords.select(author, F.col("ordinal").alias("_o2"), F.col(file_id).alias("file_2"))
     return (picked.join(f1, [author, "_o1"]).join(f2, [author, "_o2"])
-            .select("sample_id", "batch", (F.col("_slot") - 1).alias("slot"), author, "file_1", "file_2"))
+            .select("sample_id", "batch", (F.col("slot") - 1).alias("slot"), author, "file_1", "file_2"))
 
 
 def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5, seed="p",
@@ -479,7 +527,8 @@ def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5,
     if match_rate > 0 and not n_multi:
         raise ValueError("pairs of one author need an author with two files")
     multi = ords.where(F.col("n_files") > 1)
-    gmul = hash_ordinal(multi.withColumn("_g", h(seed, "gmul", file_id)), [], "_g", [file_id], out="midx").drop("_g")
+    gmul = hash_ordinal(multi.withColumn("_g", h(seed, "gmul", file_id)), [], "_g", [file_id], out="midx",
+                        rows=int(n_multi)).drop("_g")
 
     s = spark.range(n).withColumnRenamed("id", "sample_id")
     s = s.withColumn("label", (u01(seed, f"{tag}m", "sample_id") < match_rate).cast("int"))
@@ -500,7 +549,8 @@ def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5,
     per = w.groupBy("_b").agg(big(F.sum("_w")).alias("_sum"))
     per = per.withColumn("_off", big(F.sum("_sum").over(Window.orderBy("_b")) - F.col("_sum"))).select("_b", "_off")
     inside = Window.partitionBy("_b").orderBy("_h", author).rowsBetween(Window.unboundedPreceding, 0)
-    w = (w.join(per, "_b").withColumn("_to", big(F.col("_off") + F.sum("_w").over(inside)))
+    starts = author_starts(counts, author).select(author, "_start")
+    w = (w.join(starts, author).join(per, "_b").withColumn("_to", big(F.col("_off") + F.sum("_w").over(inside)))
          .withColumn("_from", big(F.col("_to") - F.col("_w"))).where(F.col("_w") > 0))
     width = max(1, -(-weight // max(1, min(int(n_authors), 1 << 20))))
     slot = lambda c: F.floor(c / F.lit(width).cast("decimal(38,0)")).cast("bigint")
@@ -509,13 +559,11 @@ def random_pair_epoch(spark, files: DataFrame, n: int, match_rate: float = 0.5,
         (big(h(seed, f"{tag}n1", "sample_id")) * F.lit(1 << HASH_BITS).cast("decimal(17,0)")
          + h(seed, f"{tag}n2", "sample_id")) % F.lit(max(weight, 1)).cast("decimal(38,0)")).alias("_u"))
     first = (draws.withColumn("_slot", slot(F.col("_u"))).join(w, "_slot")
-             .where((F.col("_from") <= F.col("_u")) & (F.col("_u") < F.col("_to"))).select("sample_id", author, "n_files"))
+             .where((F.col("_from") <= F.col("_u")) & (F.col("_u") < F.col("_to"))).select("sample_id", author, "n_files", "_start"))
     # all files contiguous by author: the second draw skips the first author's block
-    gall = hash_ordinal(ords.withColumn("_g", h(seed, "gall", file_id)), [], "_g", [file_id], out="gidx",
-                        prefix_cols=[author]).drop("_g").persist()
-    start = gall.groupBy(author).agg(F.min("gidx").alias("_start"))
-    c = first.join(start, author)
-    c = c.withColumn("_o1", F.pmod(h(seed, f"{tag}n3", "sample_id"), F.col("n_files")))
+    gall = (file_ordinals(files.select(author, file_id), seed, author, file_id, with_counts=False, tag="gall")
+            .join(starts, author).withColumn("gidx", F.col("_start") + F.col("ordinal")))
+    c = first.withColumn("_o1", F.pmod(h(seed, f"{tag}n3", "sample_id"), F.col("n_files")))
     c = c.withColumn("_r", F.pmod(h(seed, f"{tag}n4", "sample_id"), F.lit(n_all) - F.col("n_files")))
     c = c.withColumn("gidx", F.when(F.col("_r") < F.col("_start"), F.col("_r")).otherwise(F.col("_r") + F.col("n_files")))
     g2 = gall.select("gidx", F.col(file_id).alias("file_2"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions.lexer import ALPHABET, CPP_KEYWORDS, identifier_tokens, identifiers, lex, token_class
-from penprint.operators.ranking import bucketed_ordinal, first_k
+from penprint.operators.ranking import first_k
+from penprint.operators.scan import running_start
+from penprint.session import cut_lineage
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keywords=CPP_KEYWORDS) -> DataFrame:
@@ -17,6 +19,23 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keyw
     return t.select(id_col, "pos", token_class(F.col("token"), keywords).alias("class"), "token")
 
 
+def _first_rows(rows: DataFrame, id_col: str, fraction: float) -> DataFrame:
+    """The first ``fraction`` of the rows in (document, position) order.  A
+    distributed running sum of the documents' row counts tells which documents
+    are in whole; only the one at the cut is ordered."""
+    per = cut_lineage(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")))
+    n_docs, total = per.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    limit = int(total * fraction)
+    starts = cut_lineage(running_start(per, [F.col(id_col).asc_nulls_first()], "_n", "_start", rows=n_docs))
+    whole = starts.where(F.col("_start") + F.col("_n") <= limit).select(F.col(id_col).alias("_id"))
+    out = rows.join(whole, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    cut = starts.where((F.col("_start") < limit) & (F.col("_start") + F.col("_n") > limit)).first()
+    if cut is None:
+        return out
+    part = rows.where(F.col(id_col).eqNullSafe(F.lit(cut[id_col]))).orderBy("pos", "token")
+    return out.unionByName(part.limit(limit - cut["_start"]))
+
+
 def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_col: str = "doc_id",
                     text: str = "text", keywords=CPP_KEYWORDS, max_len: int = 20,
                     tokens_col: str | None = None) -> DataFrame:
@@ -33,10 +52,8 @@ def top_identifiers(docs: DataFrame, n: int, fraction: float | None = None, id_c
     elif fraction is None:
         rows = docs.select(F.explode(identifiers(text, keywords)).alias("token"))
     else:
-        rows = token_rows(docs, id_col, text, keywords).where(F.col("class") == "identifier")
-        total = rows.count()
-        rows = bucketed_ordinal(rows, [], [id_col], [F.col("pos")], out="_o").where(
-            F.col("_o") < int(total * fraction))
+        rows = _first_rows(token_rows(docs, id_col, text, keywords).where(F.col("class") == "identifier"),
+                           id_col, fraction)
     counts = rows.groupBy(F.left(F.col("token"), F.lit(max_len)).alias("token")).agg(
         F.count(F.lit(1)).alias("count"))
     top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(n + 100)

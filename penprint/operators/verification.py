@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions.vectors import cosine_similarity
 from penprint.operators.histogram import Histogram, histogram_auto
+from penprint.operators.scan import scan
+from penprint.session import cut_lineage
 
 TILE = 256
 
@@ -144,28 +146,29 @@ def threshold_accuracy(scores: DataFrame, by=("set_size",)) -> DataFrame:
         F.count(F.lit(1)).alias("trials"))
 
 
-def _cumulative(scores: DataFrame, by) -> DataFrame:
-    """tps/fps at every distinct threshold, descending (sklearn's _binary_clf_curve)."""
-    g = scores.groupBy(*by, F.col("score").alias("threshold")).agg(
-        F.sum("truth").alias("_tp"), F.sum(F.lit(1) - F.col("truth")).alias("_fp"))
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("tps", F.sum("_tp").over(w)).withColumn("fps", F.sum("_fp").over(w))
-    wt = Window.partitionBy(*by)
-    return (g.withColumn("P", F.max("tps").over(wt)).withColumn("N", F.max("fps").over(wt))
-            .drop("_tp", "_fp"))
+def _cumulative(scores: DataFrame, by, neighbours: bool = False) -> DataFrame:
+    """tps/fps at every distinct threshold, descending (sklearn's
+    _binary_clf_curve), by a running sum over ranges of the thresholds; with
+    ``neighbours`` also the next threshold's own counts."""
+    g = cut_lineage(scores.groupBy(*by, F.col("score").alias("threshold")).agg(
+        F.sum("truth").cast("bigint").alias("_tp"), F.sum(F.lit(1) - F.col("truth")).cast("bigint").alias("_fp")))
+    ends = g.groupBy(*by).agg(F.sum("_tp").alias("P"), F.sum("_fp").alias("N"))
+    behind = {"_next_tp": "_tp", "_next_fp": "_fp"} if neighbours else {}
+    c = scan(g, by, [F.col("threshold").desc()], sums={"tps": F.col("_tp"), "fps": F.col("_fp")}, lead=behind)
+    return c.join(ends, list(by))
 
 
 def roc_curve(scores: DataFrame, by=("set_size",), drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr) per group, with sklearn's start point
-    (threshold = +inf, 0, 0) and optional removal of collinear points.  The
-    window is per group (a set size / experiment), whose size is the number of
-    distinct scores of that group."""
-    c = _cumulative(scores, list(by))
-    o = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
+    (threshold = +inf, 0, 0) and optional removal of collinear points: those
+    whose own counts equal the next threshold's.  Curves of any length are cut
+    into ranges of thresholds (``scan.py``)."""
+    by = list(by)
+    c = _cumulative(scores, by, neighbours=drop_intermediate)
     if drop_intermediate:
-        d2f = F.lag("fps").over(o) - 2 * F.col("fps") + F.lead("fps").over(o)
-        d2t = F.lag("tps").over(o) - 2 * F.col("tps") + F.lead("tps").over(o)
-        c = c.withColumn("_keep", F.coalesce((d2f != 0) | (d2t != 0), F.lit(True))).where("_keep").drop("_keep")
+        first = (F.col("tps") == F.col("_tp")) & (F.col("fps") == F.col("_fp"))
+        same = (F.col("_next_tp") == F.col("_tp")) & (F.col("_next_fp") == F.col("_fp"))
+        c = c.where(first | ~F.coalesce(same, F.lit(False)))
     pts = c.select(*by, "threshold", (F.col("fps") / F.col("N")).alias("fpr"),
                    (F.col("tps") / F.col("P")).alias("tpr"))
     start = c.select(*by).distinct().select(*by, F.lit(float("inf")).alias("threshold"),
@@ -175,9 +178,10 @@ def roc_curve(scores: DataFrame, by=("set_size",), drop_intermediate: bool = Tru
 
 def auc(roc: DataFrame, by=("set_size",)) -> DataFrame:
     """Trapezoid rule over the ROC points in curve order."""
-    o = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    seg = (F.col("fpr") - F.lag("fpr").over(o)) * (F.col("tpr") + F.lag("tpr").over(o)) / 2
-    return roc.withColumn("_seg", seg).groupBy(*by).agg(F.sum("_seg").alias("auc"))
+    by = list(by)
+    p = scan(cut_lineage(roc), by, [F.col("threshold").desc()], lag={"_fpr": "fpr", "_tpr": "tpr"})
+    seg = (F.col("fpr") - F.col("_fpr")) * (F.col("tpr") + F.col("_tpr")) / 2
+    return p.withColumn("_seg", seg).groupBy(*by).agg(F.sum("_seg").alias("auc"))
 
 
 def precision_recall_curve(scores: DataFrame, by=("set_size",)) -> DataFrame:

@@ -312,7 +312,9 @@ def m15_pair_dataset_summary(spark, sf):
 # ------------------------------------------------------------------ W9 / W18 / W8
 
 
-def simclr_sql(batch: int = 64, files: str = FILES, share: int = 4) -> str:
+def simclr_sql(batch: int = 64, files: str = FILES, share: int = 4, draws: int = 4096) -> str:
+    """W9 by definition: the owners of ``draws`` drawn positions of each batch, the
+    first ``batch`` distinct ones."""
     return f"""WITH {files}, {CNT},
 m AS (SELECT author, n_files FROM cnt WHERE n_files >= 2),
 mf AS (SELECT f.* FROM f JOIN m USING (author)),
@@ -320,10 +322,12 @@ ords AS (SELECT author, file_id, row_number() OVER (PARTITION BY author
          ORDER BY {H('ord', 'file_id')}, file_id) - 1 AS ordinal FROM mf),
 ns AS (SELECT count(*) // {share} AS n FROM f),
 nb AS (SELECT CAST(ceil(n / {batch}.0) AS BIGINT) AS nb, n FROM ns),
-k AS (SELECT m.author, m.n_files, b.batch, -ln(({H('esu', 'b.batch', 'm.author')} + 0.5) / {2.0 ** 52!r}) / m.n_files AS es_key
-      FROM m, nb, LATERAL (SELECT unnest(generate_series(0, nb.nb - 1)) AS batch) b),
-p AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY batch ORDER BY es_key, author) AS slot FROM k)
-      WHERE slot <= {batch}),
+gx AS (SELECT author, file_id, row_number() OVER (ORDER BY {H('esg', 'file_id')}, file_id) - 1 AS midx FROM mf),
+dt AS (SELECT batch, t, {H('esp', 'batch', 't')} % (SELECT count(*) FROM mf) AS midx FROM
+       (SELECT unnest(generate_series(0, nb - 1)) AS batch FROM nb), (SELECT generate_series AS t FROM generate_series(0, {draws - 1}))),
+k AS (SELECT batch, author, min(t) AS t FROM dt JOIN gx USING (midx) GROUP BY batch, author),
+p AS (SELECT * FROM (SELECT k.batch, k.author, m.n_files, row_number() OVER (PARTITION BY batch ORDER BY t) AS slot
+                     FROM k JOIN m USING (author)) WHERE slot <= {batch}),
 p2 AS (SELECT p.*, batch * {batch} + slot - 1 AS sample_id,
               {H('es1', 'batch', 'author')} % n_files AS o1, {H('es2', 'batch', 'author')} % (n_files - 1) AS o2r
        FROM p),
