@@ -22,6 +22,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 ROWS_ONLY = {
+    # three quarters of the lists hold nine tenths of the true neighbours at least
+    "j7_inverted_lists_recall": lambda rows: sum(r.found for r in rows) >= 0.9 * len(rows),
     # accuracy per fold: every closed-set row is judged once, and better than by chance
     "m2_random_forest_cv": lambda rows: all(0 <= r.accuracy <= 1 for r in rows) and len({r.fold for r in rows}) == len(rows),
     "m4_mlp_holdout": lambda rows: all(0 <= r.accuracy <= 1 for r in rows),
