@@ -10,7 +10,7 @@ distributed ``pyspark.ml`` job.
 from __future__ import annotations
 
 from pyspark.ml.classification import (
-    LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -26,11 +26,6 @@ def _estimator(name: str, n_labels: int, dim: int, params: dict):
     if name == "random_forest":
         return RandomForestClassifier(numTrees=params.get("n_estimators", 100), seed=params.get("seed", 1),
                                       maxDepth=params.get("max_depth", 10))
-    if name == "svm":
-        c = params.get("C", 100.0)
-        # soft-margin C maps to the regularisation strength 1/C (linear kernel)
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / c, maxIter=params.get("max_iter", 100)),
-                         parallelism=params.get("parallelism", 4))
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[dim, 512, 512, n_labels], seed=params.get("seed", 1),
                                               maxIter=params.get("max_iter", 100))
@@ -52,6 +47,9 @@ def cross_validate(cs: DataFrame, model: str, params: dict | None = None, vec: s
         nb = nb.join(rows.select(F.col("file_id").alias("query_id")), "query_id", "left_semi") if folds is not None else nb
         vote = distance_weighted_vote if params.get("vote") == "distance" else mode_vote
         return fold_accuracy(vote(nb, metric="cosine") if vote is distance_weighted_vote else vote(nb))
+    if model == "svm":  # all classes and folds in one job a step
+        from penprint.plans.svm import svm_cross_validate
+        return svm_cross_validate(cs, params, vec, folds)
     feats = features(cs, vec).persist()
     n_labels = int(feats.agg(F.max("label")).first()[0]) + 1
     dim = len(feats.select("features").first()[0])

@@ -65,6 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession, required: bool = True) -> str | N
     return path
 
 
+def one_blas_thread(spark: SparkSession) -> None:
+    """Python workers started from now on run numpy's products in one thread:
+    Spark has a task for each core, and threads of all tasks would crowd them."""
+    for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
