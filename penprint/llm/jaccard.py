@@ -273,21 +273,57 @@ def candidate_sets(rows: DataFrame, reps: DataFrame, bands: Bands, size: int) ->
             .select("_key", "_text", "cls").mapInArrow(run, schema).dropDuplicates(["cls"]))
 
 
-def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, stars: bool) -> DataFrame:
+def star_pairs(met: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): each class with the smallest one that shares an entry with it,
+    where the sketches do not rule out a link.  A pair that shares many entries
+    is one row before any sketch is fetched."""
+    least = met.groupBy("entry").agg(F.min("cls").alias("a"), F.max("cls").alias("_hi")).where("a <> _hi")
+    pairs = (met.join(least.select("entry", "a"), "entry").where("cls <> a")
+             .select("a", F.col("cls").alias("b")).distinct())
+    marks = ("n", "own", "lower")
+    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in marks))
+
+    def run(batches):
+        for b in batches:
+            keep = _near_pairs([b.column(i) for i in range(2, 8)], bands)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
+
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select("a", "b", *(f"{c}_{m}" for c in "ab" for m in marks)).mapInArrow(run, "a long, b long"))
+
+
+def _near_pairs(columns, bands: Bands) -> pa.Array:
+    """Places of the pairs that sizes and the sketches of a common band leave open."""
+    n = [columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3)]
+    blobs = [[columns[i].to_pylist(), columns[i + 1].to_pylist()] for i in (1, 4)]
+    near = np.minimum(*n) * bands.den >= np.maximum(*n) * bands.num
+    by_band: dict[int, list] = {}
+    for i in np.flatnonzero(near).tolist():
+        mine, theirs = list(bands.of(int(n[0][i]))), list(bands.of(int(n[1][i])))
+        band = next((x for x in mine if x in theirs), None)  # they share an entry of one
+        if band is None:
+            continue  # hashes of entries of different bands met
+        by_band.setdefault(band, []).append((i, blobs[0][mine.index(band)][i], blobs[1][theirs.index(band)][i]))
+    keep = []
+    for found in by_band.values():
+        at = np.array([i for i, _, _ in found])
+        x, y = (np.frombuffer(b"".join(f[k] for f in found), U).reshape(len(found), -1) for k in (1, 2))
+        apart = np.bitwise_count(x ^ y).sum(axis=1)
+        keep.append(at[apart <= bands.apart(n[0][at], n[1][at])])
+    return pa.array(np.sort(np.concatenate(keep)) if keep else np.empty(0, np.int64))
+
+
+def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(a, b): classes that share an entry, have different labels and whose
-    sketches do not rule out a link.  ``groups``: (entry, cls, label).  With
-    ``stars``, only pairs with the smallest class of a block.  A group is cut
-    into chunks of about 1,024 classes, and each pair of chunks is a block."""
+    sketches do not rule out a link.  ``groups``: (entry, cls, label).  A group is
+    cut into chunks of about 1,024 classes, and each pair of chunks is a block."""
     sizes = groups.groupBy("entry").agg(F.count("*").alias("_n"), F.min("label").alias("_lo"),
                                         F.max("label").alias("_hi"))
     dealt = (groups.join(sizes.where("_n > 1 AND _lo <> _hi"), "entry")
              .withColumn("_k", F.ceil(F.col("_n") / _CHUNK).cast("int"))
-             .withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int")))
-    if stars:
-        dealt = dealt.withColumn("_i", F.col("_c")).withColumn("_j", F.col("_c"))
-    else:
-        dealt = (dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-                 .withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")))
+             .withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int"))
+             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+             .withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")))
     # many blocks share a task: a call for each of them would cost more than its work
     n_parts = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = (dealt.withColumn("_part", F.pmod(F.xxhash64("entry", "_i", "_j"), F.lit(n_parts)))
@@ -296,17 +332,16 @@ def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands, stars: bool) -
                     "_c", "cls", "label", "n", "own", "lower"))
 
     def run(table):
-        out = list(_near_in_blocks(table, bands, stars))
-        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]) if out else [], pa.int64())
-                         for i, c in enumerate(("a", "b"))})
+        out = [np.stack(o, axis=1) for o in _near_in_blocks(table, bands)]
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return full.groupBy("_part").applyInArrow(run, "a long, b long").distinct()
 
 
-def _near_in_blocks(table, bands: Bands, stars: bool):
+def _near_in_blocks(table, bands: Bands):
     """(classes, classes) of near pairs inside the blocks of a table.  Pairs are
-    compared for all blocks at once: with the first class of their block
-    (stars), or those that stand k rows apart, for k = 1, 2, ..."""
+    compared for all blocks at once: those that stand k rows apart, for k = 1, 2, ..."""
     block, cls, label = (table.column(c).to_numpy() for c in ("block", "cls", "label"))
     n, chunk = table.column("n").to_numpy().astype(np.int64), table.column("_c").to_numpy()
     cross = table.column("cross").to_numpy(zero_copy_only=False)
@@ -337,15 +372,10 @@ def _near_in_blocks(table, bands: Bands, stars: bool):
         marks = np.frombuffer(b"".join(blobs[i] for i in order.tolist()), U).reshape(len(at), -1)
         new = np.concatenate([[True], block[at][1:] != block[at][:-1]])
         first = np.flatnonzero(new)
-        head = first[np.cumsum(new) - 1]
         after = np.append(first, len(at))[np.cumsum(new)] - np.arange(len(at))  # rows of the block from here on
-        if stars:
-            rest = np.flatnonzero(~new)
-            yield from near(head[rest], rest, marks)
-        else:
-            for k in range(1, int(after.max())):
-                x = np.flatnonzero(after > k)
-                yield from near(x, x + k, marks)
+        for k in range(1, int(after.max())):
+            x = np.flatnonzero(after > k)
+            yield from near(x, x + k, marks)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -386,12 +416,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .groupBy("cls").agg(F.min("_key").alias("_key")))
     sets = saved(candidate_sets(rows, reps, bands, size))
     few = parts_for(50 * sets.count())
-    first = saved(verified(close_pairs(met.withColumn("label", F.col("cls")), sets, bands, True), sets, bands)
+    first = saved(verified(star_pairs(met, sets, bands), sets, bands)
                   .coalesce(few))
     roots = components(first)
     labelled = (met.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                 .select("entry", "cls", F.coalesce("root", "cls").alias("label")))
-    rest = saved(verified(close_pairs(labelled, sets, bands, False), sets, bands).coalesce(few))
+    rest = saved(verified(close_pairs(labelled, sets, bands), sets, bands).coalesce(few))
     links = first.unionByName(rest)
     roots = components(links)
     own = F.when(F.col("_key") != F.lit(-(1 << 63)), F.col("_key"))
