@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.operators.ranking import bucketed_ordinal
 
 PDF_FLOOR = 1e-11
 BROADCAST_MAX_BINS = 1_000_000
@@ -34,8 +33,53 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
+#: Values of one bracket that may be sorted and collected.
+KEEP = 10_000
+#: Half the width of a bracket, in shares of all rows; the sketch's error is a third.
+BRACKET, ACCURACY = 3e-4, 10_000
+
+
+def order_statistics(values: DataFrame, ranks, n: int) -> dict[int, float]:
+    """{rank: value} of the 0-based ``ranks`` of the one column ``_v``, without
+    nulls, of ``n`` rows.
+
+    Approximate quantiles are the splitters of a bracket around each rank; one pass
+    counts what lies below and at each splitter.  A rank on a splitter is found (so
+    repeated values cost nothing, however often they occur); another lies strictly
+    between two of them, where it is looked for again.  Nothing depends on how the
+    values are spread, and no task sorts more than ``KEEP`` of them."""
+    ranks = sorted(set(ranks))
+    if not ranks:
+        return {}
+    if n <= KEEP:
+        got = [r[0] for r in values.orderBy("_v").collect()]
+        return {r: got[r] for r in ranks}
+    shares = sorted({min(1.0, max(0.0, r / n + d)) for r in ranks for d in (-BRACKET, BRACKET)})
+    split = sorted(set(values.agg(F.percentile_approx("_v", shares, ACCURACY)).first()[0]))
+    v = F.col("_v")
+    counts = values.agg(*(F.count_if(v < F.lit(s)) for s in split), *(F.count_if(v <= F.lit(s)) for s in split)).first()
+    below, upto = counts[:len(split)], counts[len(split):]
+    found, inside = {}, {}
+    for r in ranks:
+        i = sum(u <= r for u in upto)  # splitters wholly before the rank
+        if i < len(split) and below[i] <= r:
+            found[r] = split[i]
+        else:
+            inside.setdefault(i, []).append(r)
+    for i, own in inside.items():
+        first, last = (upto[i - 1] if i else 0), (below[i] if i < len(split) else n)
+        part = values
+        if i:
+            part = part.where(v > F.lit(split[i - 1]))
+        if i < len(split):
+            part = part.where(v < F.lit(split[i]))
+        got = order_statistics(part, [r - first for r in own], last - first)
+        found |= {r + first: x for r, x in got.items()}
+    return found
+
+
 def exact_quantiles(df: DataFrame, col: str, probs, n: int | None = None,
-                    mn: float | None = None, mx: float | None = None, buckets: int = 4096) -> list[float]:
+                    mn: float | None = None, mx: float | None = None) -> list[float]:
     """Linear-interpolated quantiles (numpy default / SQL percentile_cont)."""
     if n is None or mn is None or mx is None:
         r = df.agg(F.count(col).alias("n"), F.min(col).alias("mn"), F.max(col).alias("mx")).first()
@@ -48,11 +92,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, n: int | None = None,
     for p in probs:
         pos = p * (n - 1)
         want[p] = (math.floor(pos), min(math.floor(pos) + 1, n - 1), pos - math.floor(pos))
-    ranks = sorted({r for lo, hi, _ in want.values() for r in (lo, hi)})
-    b = F.least(F.floor((F.col(col) - F.lit(mn)) / F.lit(mx - mn) * buckets), F.lit(buckets - 1)).cast("int")
-    staged = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_b", b)
-    ranked = bucketed_ordinal(staged, [], ["_b"], [F.col("_v")], out="_r")
-    got = {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(ranks)).select("_r", "_v").collect()}
+    values = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    got = order_statistics(values, [r for lo, hi, _ in want.values() for r in (lo, hi)], n)
     return [_lerp(got[lo], got[hi], t) for lo, hi, t in (want[p] for p in probs)]
 
 
