@@ -139,6 +139,27 @@ def score_averaged(trials: DataFrame, same: Histogram, diff: Histogram, prior: f
     return per.groupBy("set_size", "trial", "truth").agg(F.avg("_p").alias("score"))
 
 
+#: D3: scorers by name; any (trials, same, diff) -> (set_size, trial, truth, score) will do.
+SCORERS = {"independent": score_independent, "averaged": score_averaged}
+
+
+def score_trials(cs: DataFrame, same: Histogram, diff: Histogram, set_sizes, scorer=score_independent,
+                 n_authors: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """M8 + D3: the trials of all set sizes, scored by ``scorer``."""
+    rows = cs.count() if n_rows is None else n_rows
+    a = n_authors or cs.select("label").distinct().count()
+    trials = [verification_trials(cs, s, a, n_rows=rows) for s in set_sizes]
+    every = trials[0]
+    for t in trials[1:]:
+        every = every.unionByName(t)
+    return scorer(every, same, diff)
+
+
+def verification_report(scores: DataFrame, by=("set_size",)) -> DataFrame:
+    """M9: accuracy at .5 (A14), number of trials and ROC AUC (W14 + A24) per group."""
+    return threshold_accuracy(scores, by).join(auc(roc_curve(scores, by), by), list(by))
+
+
 def threshold_accuracy(scores: DataFrame, by=("set_size",)) -> DataFrame:
     """Predict 1 when score > .5."""
     return scores.groupBy(*by).agg(

@@ -111,21 +111,13 @@ ind AS (SELECT set_size, trial, truth, sum(llr) AS s FROM llr GROUP BY set_size,
 scores AS (SELECT set_size, trial, truth, round({SIGMOID.format(x='s')}, 10) AS score FROM ind)"""
 
 
-def _scores(spark, sf, averaged=False):
+def _scores(spark, sf, scorer="independent"):
     cs, same, diff = _fit(spark, sf)
-    n_rows = cs.count()
-    a = n_rows // K  # every author has exactly K rows
-    out = None
-    for s in SET_SIZES:
-        t = V.verification_trials(cs, s, a, n_rows=n_rows)
-        out = t if out is None else out.unionByName(t)
-    sc = V.score_averaged(out, same, diff) if averaged else V.score_independent(out, same, diff)
+    n_rows = cs.count()  # every author has exactly K rows
+    sc = V.score_trials(cs, same, diff, SET_SIZES, V.SCORERS[scorer], n_rows // K, n_rows)
     return sc.withColumn("score", F.round("score", 10))
 
 
-# ------------------------------------------------------------------ queries
-
-
 @register("m5_fit_verifier", f"""WITH {fit_sql()}
 SELECT 'same' AS kind, bin, round(lo, 9) AS lo, round(hi, 9) AS hi, count, round(pdf, 6) AS pdf FROM hs
 UNION ALL
@@ -163,18 +155,21 @@ def m6_scores_independent(spark, sf):
     return _scores(spark, sf).select(F.col("set_size").cast("int").alias("set_size"), "trial", "truth", "score")
 
 
-@register("m7_scores_averaged", f"""WITH {trials_sql()},
+AVG_SQL = f"""{trials_sql()},
 dg AS (SELECT set_size, trial, truth, (((pos_b - pos_a) % set_size) + set_size) % set_size AS diag, sum(llr) AS s
        FROM llr GROUP BY set_size, trial, truth, diag),
-pr AS (SELECT set_size, trial, truth, {SIGMOID.format(x='s')} AS p FROM dg)
-SELECT set_size, trial, truth, round(avg(p), 10) AS score FROM pr GROUP BY set_size, trial, truth""")
+pr AS (SELECT set_size, trial, truth, {SIGMOID.format(x='s')} AS p FROM dg),
+scores AS (SELECT set_size, trial, truth, round(avg(p), 10) AS score FROM pr GROUP BY set_size, trial, truth)"""
+
+
+@register("m7_scores_averaged", f"WITH {AVG_SQL} SELECT set_size, trial, truth, score FROM scores")
 def m7_scores_averaged(spark, sf):
     """Per-diagonal log-odds -> probability -> mean."""
-    return _scores(spark, sf, True).select(F.col("set_size").cast("int").alias("set_size"), "trial", "truth",
+    return _scores(spark, sf, "averaged").select(F.col("set_size").cast("int").alias("set_size"), "trial", "truth",
                                            "score")
 
 
-ROC_SQL = f"""{IND_SQL},
+CURVE_SQL = """,
 g AS (SELECT set_size, score AS threshold, sum(truth) AS tp, sum(1 - truth) AS fp FROM scores GROUP BY set_size, score),
 c AS (SELECT set_size, threshold,
              sum(tp) OVER (PARTITION BY set_size ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tps,
@@ -185,6 +180,7 @@ c2 AS (SELECT *, max(tps) OVER (PARTITION BY set_size) AS P, max(fps) OVER (PART
 roc AS (SELECT set_size, threshold, fps / N AS fpr, tps / P AS tpr FROM c2
         WHERE coalesce(d2f <> 0 OR d2t <> 0, true)
         UNION ALL SELECT DISTINCT set_size, 'infinity'::DOUBLE, 0.0, 0.0 FROM c2)"""
+ROC_SQL = IND_SQL + CURVE_SQL
 
 
 @register("w14_roc_curve", f"""WITH {ROC_SQL}
@@ -195,21 +191,31 @@ def w14_roc_curve(spark, sf):
                       F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
-@register("m9_verification_report", f"""WITH {ROC_SQL},
+REPORT_SQL = """,
 au AS (SELECT set_size, sum(seg) AS auc FROM (SELECT set_size,
         (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS seg FROM roc
         WINDOW w AS (PARTITION BY set_size ORDER BY threshold DESC)) GROUP BY set_size),
 ac AS (SELECT set_size, avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = truth THEN 1.0 ELSE 0.0 END) AS accuracy,
         count(*) AS trials FROM scores GROUP BY set_size)
-SELECT set_size, round(accuracy, 9) AS accuracy, trials, round(auc, 9) AS auc FROM ac JOIN au USING (set_size)""")
+SELECT set_size, round(accuracy, 9) AS accuracy, trials, round(auc, 9) AS auc FROM ac JOIN au USING (set_size)"""
+
+
+def _report(spark, sf, scorer):
+    r = V.verification_report(_scores(spark, sf, scorer).persist())
+    return r.select(F.col("set_size").cast("int").alias("set_size"), F.round("accuracy", 9).alias("accuracy"), "trials",
+                    F.round("auc", 9).alias("auc"))
+
+
+@register("m9_verification_report", f"WITH {ROC_SQL}{REPORT_SQL}")
 def m9_verification_report(spark, sf):
     """M9: per set size (1-4) accuracy at .5 (A14) and ROC AUC (W14 + A24)."""
-    sc = _scores(spark, sf).persist()
-    acc = V.threshold_accuracy(sc)
-    a = V.auc(V.roc_curve(sc))
-    return acc.join(a, "set_size").select(F.col("set_size").cast("int").alias("set_size"),
-                                          F.round("accuracy", 9).alias("accuracy"), "trials",
-                                          F.round("auc", 9).alias("auc"))
+    return _report(spark, sf, "independent")
+
+
+@register("m9_report_averaged", f"WITH {AVG_SQL}{CURVE_SQL}{REPORT_SQL}")
+def m9_report_averaged(spark, sf):
+    """M9 + D3: the same report with the averaged scorer (M7)."""
+    return _report(spark, sf, "averaged")
 
 
 @register("w15_pr_curve", f"""WITH {IND_SQL},

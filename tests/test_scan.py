@@ -113,3 +113,16 @@ def test_weighted_batches_follow_their_law(spark):
     everyone = S.simclr_batches(spark, files, 11, 110).collect()
     assert all(len({x.author for x in everyone if x.batch == b}) == 11 for b in range(10))
     assert S.simclr_batches(spark, files, 4, 0).count() == 0
+
+
+def test_any_callable_scores_trials(spark):
+    """D3: a scorer is a function of the trials and the two densities."""
+    rows = [(a * 5 + f, a, f, f * 4 + a, [float(a == i) + 0.01 * f for i in range(4)]) for a in range(4) for f in range(5)]
+    cs = spark.createDataFrame(rows, "file_id long, label int, fold int, row_index long, embedding array<double>")
+
+    def largest(trials, same, diff):
+        assert same is None and diff is None
+        return trials.groupBy("set_size", "trial", "truth").agg(F.max("similarity").alias("score"))
+
+    got = V.verification_report(V.score_trials(cs, None, None, [1, 2], largest)).orderBy("set_size").collect()
+    assert [(r.set_size, r.trials, r.accuracy, r.auc) for r in got] == [(1, 8, 1.0, 1.0), (2, 8, 1.0, 1.0)]
