@@ -9,10 +9,6 @@ postings meet where their relative positions agree, and a placement counts if al
 mandatory key words stand at their places and at least ``COVERAGE`` of the
 telling words do.
 
-``OP1_SQL`` is older: it also asks that one of the ``RARE`` rarest indexed words of
-the whole document stands in the placement, and so leaves out placements in texts
-with several licences.
-
 Base phrases are places where the phrase's words stand consecutively.
 
 Edge cases: a null text is empty (no words, no labels, null places, score 0);
@@ -28,7 +24,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from penprint.llm.frames import saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 6
 COVERAGE = 0.5
 
 # Base phrases and their labels.
@@ -189,21 +184,13 @@ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}',
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM d),
 base AS ({phrases}),
 bagg AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM base GROUP BY 1),
-freq AS (SELECT p.word, coalesce(n, 0) AS n FROM (SELECT DISTINCT word FROM post) p LEFT JOIN
-        (SELECT word, count(DISTINCT doc_id) AS n FROM w WHERE word IN (SELECT word FROM post) GROUP BY 1) f
-        ON p.word = f.word),
-ranks AS (SELECT word, row_number() OVER (ORDER BY n, word) AS rarity FROM freq),
-hits AS (SELECT w.doc_id, w.place, w.word, rarity FROM w JOIN ranks ON w.word = ranks.word),
-top AS (SELECT doc_id, max(rarity) AS lim FROM (SELECT doc_id, rarity,
-        row_number() OVER (PARTITION BY doc_id ORDER BY rarity) AS k
-        FROM (SELECT DISTINCT doc_id, rarity FROM hits)) WHERE k <= {RARE} GROUP BY 1),
+hits AS (SELECT doc_id, place, word FROM w WHERE word IN (SELECT word FROM post)),
 about AS (SELECT template, count(*) AS n_telling, count(*) FILTER (key) AS n_key FROM post GROUP BY 1),
-placed AS (SELECT h.doc_id, p.template, h.place - p.pos AS start, count(*) AS n, count(*) FILTER (p.key) AS keys,
-        min(rarity) AS rarest FROM hits h JOIN post p ON h.word = p.word GROUP BY 1, 2, 3),
+placed AS (SELECT h.doc_id, p.template, h.place - p.pos AS start, count(*) AS n, count(*) FILTER (p.key) AS keys
+        FROM hits h JOIN post p ON h.word = p.word GROUP BY 1, 2, 3),
 good AS (SELECT placed.doc_id, names.label, n / n_telling AS score FROM placed
         JOIN about ON placed.template = about.template JOIN names ON placed.template = names.template
-        JOIN top ON placed.doc_id = top.doc_id
-        WHERE keys = n_key AND n >= {COVERAGE} * n_telling AND rarest <= lim),
+        WHERE keys = n_key AND n >= {COVERAGE} * n_telling),
 gagg AS (SELECT doc_id, count(*) AS n, max(score) AS score FROM good GROUP BY 1),
 lab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM
         (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM good) GROUP BY 1),

@@ -77,6 +77,22 @@ def test_bsd_line_hides_no_other_licence(make):
     assert got[31].n_places == 2 * got[30].n_places
 
 
+def test_sql_follows_the_query_on_several_licences(make, spark, tmp_path):
+    """The given tables hold one licence a text; here they stand together."""
+    import duckdb
+
+    from tests.oracle import compare
+    alone = dict(enumerate(LINES.values()))
+    rows = [*alone.items(), (10, BSD), *((20 + i, BSD + " " + t) for i, t in alone.items()),
+            *((40 + i, t + " x " + BSD) for i, t in alone.items()),
+            (30, " ".join([BSD, *LINES.values()])), (31, " ".join(["x y"] + [*LINES.values(), BSD] * 2)), (50, None), (51, "")]
+    make(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ok, said = compare(spark, str(tmp_path), "op1", licenses.op1_license_scan, licenses.OP1_SQL, con)
+    assert ok, said
+
+
 def test_empty_table(make):
     assert licenses.scan_licenses(make([])).count() == 0
 
