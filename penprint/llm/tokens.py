@@ -1,16 +1,20 @@
-"""Token ids of a public tokenizer file, encoded word by word.
+"""Token ids of a public tokenizer file, encoded piece by piece.
 
 A byte-level BPE splits a text into pieces first and never merges across them.
 Where single blanks and line feeds stand between ink, a piece starts at every
 blank, and a line feed is a piece of its own; so such a text is cut there, and
-each distinct word is encoded once per worker and looked up afterwards.  Texts
-with other white space are encoded whole.  The ids equal those of
+each distinct word is encoded once per worker and looked up afterwards.  A new
+word of well-known letters, ASCII digits and common marks is cut into its pieces
+here (words share pieces: most differ in a mark or a capital only), and only
+pieces not met before go through the library's merges.  Other words, and texts
+with other white space, are encoded whole.  The ids equal those of
 ``Tokenizer.encode`` (tested).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 import numpy as np
@@ -19,6 +23,23 @@ _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _OTHER = tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
 _MOST = 800_000
 
+# Letters and marks that every version of Unicode classes alike
+# (Latin, Greek, Cyrillic, Arabic, kana, Han and Hangul), and the pattern by which
+# the byte-level tokenizer parts a text, on those characters only.
+_LETTER = ("A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff"
+           "\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3")
+_MARK = "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u3001\u3002\u300c\u300d\uff01\uff0c\uff1a\uff1b\uff1f"
+_SIMPLE = re.compile(rf"[\x21-\x7e{_LETTER}{_MARK}]+").fullmatch
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+").findall
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    itself where it is printable Latin-1, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + i) for i, b in enumerate(hidden)}}
+
 
 def _plain(text: str) -> bool:
     """Only single blanks and line feeds, between ink."""
@@ -26,6 +47,42 @@ def _plain(text: str) -> bool:
                 or any(c in text for c in _OTHER))
 
 
+def _raw(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class _Pieces(dict):
+    """Piece (with its leading blank) -> its ids."""
+
+    def __init__(self, tokenizer):
+        self.model, self.names = tokenizer.model, _byte_names()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.names)
+        got = self[piece] = _raw([t.id for t in self.model.tokenize(spelled)])
+        return got
+
+
+class _Words(dict):
+    """"w": ids of " w"; "\\nw": ids of a line feed and w."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer)
+        self.feed = _raw(tokenizer.encode("\n", add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes:
+        first = word[0] == "\n"
+        text = word[1:] if first else " " + word
+        if _SIMPLE(text, 0 if first else 1):
+            got = b"".join(map(self.pieces.__getitem__, _PIECES(text)))
+        else:
+            got = _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if first:
+            got = self.feed + got
+        self[word] = got
+        return got
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit arrays.  The strings of
     special tokens inside a text are ordinary text."""
@@ -35,42 +92,28 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        feed = self.whole("\n")
-        self.line_feed, self.feed_bytes = int(feed[0]), feed.tobytes()
-        self.known: dict[str, bytes] = {}  # "w": ids of " w"; "\nw": ids of a line feed and w
+        self.known = _Words(self.tokenizer)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Many words in one text: line feeds are tokens of their own and part them."""
-        if not words:
-            return
-        plain = [" " + w if w[0] != "\n" else w[1:] for w in words]
-        got = self.tokenizer.encode_batch_fast(
-            ["\n".join(plain[i:i + 500]) + "\n" for i in range(0, len(plain), 500)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, "<u4") for x in got])
-        ends = (4 * np.flatnonzero(ids == self.line_feed)).tolist()
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(words, ends):
-            self.known[w] = raw[at:end] if w[0] != "\n" else self.feed_bytes + raw[at:end]
-            at = end + 4
+    def _one(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, "<u4")
+        if not _plain(text):
+            return self.whole(text)
+        words = ("\n" + text.replace("\n", " \n")).split(" ")
+        # without the line feed put before the first word
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4", offset=4)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if not t or not _plain(t) else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        if len(self.known) > _MOST:
-            self.known.clear()
-        fresh: set[str] = set()
-        for words in split:
-            if words is not None:
-                fresh.update(words)
-        self._learn(list(fresh.difference(self.known)))
         out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(self.whole(text) if text else np.empty(0, "<u4"))
-            else:  # without the line feed put before the first word
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4", offset=4))
+        for text in texts:
+            if len(self.known) > _MOST:
+                self.known.clear()
+            if len(self.known.pieces) > _MOST:
+                self.known.pieces.clear()
+            out.append(self._one(text))
         return out
 
 
