@@ -1,18 +1,22 @@
 """Subword vocabulary learning and encoding (X7, X8) — byte-pair merges.
 
-The corpus is scanned once into a word-frequency table (partial aggregation);
-every merge round then works on the distinct words only: adjacent symbol
-pairs are counted with a weighted group-by, the best pair (count desc, then
-pair text asc) is taken, and the merge is applied to every word with one
-JVM-side regex replace.  Lineage is cut into the shared checkpoint folder
-after every round.
+The corpus is scanned once into a word-frequency table (partial aggregation).
+The distinct words are then held as blocks of symbol ids (numpy arrays), and a
+round is one Spark job: every task brings its blocks up to date, counts their
+adjacent pairs, and Spark sums the pairs and takes the best ones.  A round takes
+as many merges as provably come next whatever the others do to the counts
+(``next_merges``), so the merges equal those of one at a time.  The blocks are
+written to the shared checkpoint folder every ``_KEEP`` rounds; between that, a
+task replays the merges since, so a lost executor costs a replay only.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,61 +46,187 @@ def pair_counts(wc: DataFrame) -> DataFrame:
         F.sum("freq").alias("count"))
 
 
-def _merge(symbols: Column, left: str, right: str) -> Column:
-    """Merge non-overlapping occurrences of (left, right), left to right."""
-    esc = lambda s: "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in s)
-    pat = f"(?<=^|{SEP}){esc(left)}{SEP}{esc(right)}(?={SEP}|$)"
-    return F.regexp_replace(symbols, pat, (left + right).replace("\\", "\\\\").replace("$", "\\$"))
+_KEEP = 16       # rounds between two written states
+_CANDIDATES = 1024  # best pairs the driver sees in a round
 
 
-def learn_merges(docs: DataFrame, n_merges: int, text: str = "text"):
-    """The first ``n_merges`` byte-pair merges, as a list of (left, right, count).
-    The word table is checkpointed after every merge, so a round applies one
-    merge and its plan does not grow."""
+def symbol_ids(wc: DataFrame) -> dict[str, int]:
+    """Ids of the single symbols of the corpus, in code point order (bounded by
+    the alphabet)."""
+    seen = wc.select(F.explode(F.regexp_extract_all("word", F.lit(SYMBOL), F.lit(0))).alias("s")).distinct().collect()
+    return {c: i for i, c in enumerate(sorted(r[0] for r in seen))}
+
+
+def word_blocks(wc: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """(symbols, freq): blocks of words as 32-bit symbol ids, each word closed by
+    -1, and the words' frequencies."""
+    symbol = re.compile(SYMBOL)
+
+    def pack(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat: list[int] = []
+            for w in b.column("word").to_pylist():
+                flat += [ids[c] for c in symbol.findall(w)]
+                flat.append(-1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([np.array(flat, "<i4").tobytes()], pa.binary()),
+                 pa.array([b.column("freq").to_numpy().astype("<i8").tobytes()], pa.binary())], ["symbols", "freq"])
+    return wc.select("word", "freq").mapInArrow(pack, "symbols binary, freq binary")
+
+
+def merge_symbols(flat: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
+    """Merges non-overlapping occurrences of (left, right), left to right."""
+    hit = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
+    if left == right and len(hit):  # a run of the symbol: every second place
+        first = np.concatenate([[True], np.diff(hit) > 1])
+        hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+    if not len(hit):
+        return flat
+    flat = flat.copy()
+    flat[hit] = new
+    return np.delete(flat, hit + 1)
+
+
+def _replayed(blocks: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    if not merges:
+        return blocks
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column("symbols").to_pylist():
+                flat = np.frombuffer(raw, "<i4")
+                for left, right, new in merges:
+                    flat = merge_symbols(flat, left, right, new)
+                out.append(flat.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column("freq")], ["symbols", "freq"])
+    return blocks.mapInArrow(run, "symbols binary, freq binary")
+
+
+def _best_pairs(blocks: DataFrame, names: list[str], most: int) -> list:
+    """The ``most`` best pairs (left, right, count): count descending, then text."""
+    def count(batches):
+        for b in batches:
+            for raw, freq in zip(b.column("symbols").to_pylist(), b.column("freq").to_pylist()):
+                flat, weight = np.frombuffer(raw, "<i4").astype(np.int64), np.frombuffer(freq, "<i8")
+                word = np.cumsum(flat < 0) - (flat < 0)
+                inner = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+                pair, at = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
+                total = np.zeros(len(pair), np.int64)
+                np.add.at(total, at, weight[word[inner]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in (pair >> 32).tolist()], pa.string()),
+                     pa.array([names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.string()),
+                     pa.array(total, pa.int64())], ["left", "right", "n"])
+    pairs = blocks.mapInArrow(count, "left string, right string, n long")
+    return (pairs.groupBy("left", "right").agg(F.sum("n").alias("count"))
+            .orderBy(F.col("count").desc(), "left", "right").limit(most).collect())
+
+
+def next_merges(best: list, symbols, most: int, whole: bool = True) -> list[tuple[str, str, int]]:
+    """The merges that come next, one after the other, as far as the counts of
+    ``best`` (ordered pairs; ``whole`` when there are no others) settle them.
+
+    Merging (a, b) lowers the pairs that end in a or start with b, and makes pairs
+    (x, ab) and (ab, y), which stand at most as often as (x, a) and (b, y) did.
+    So the next pair of the list is the next merge unless it is such a lowered
+    pair itself, or a pair that starts with b stands exactly as often (then (ab, y)
+    could tie with it and come first by its text).  A merge of a symbol with
+    itself, or one that spells a symbol that exists, may raise counts: it is the
+    last of its round."""
+    out: list[tuple[str, str, int]] = []
+    ends, starts, made = set(), set(), set()
+    for i, (left, right, count) in enumerate(best):
+        if len(out) == most:
+            break
+        if out:
+            if right in ends or left in starts:
+                break
+            j = i + 1
+            while j < len(best) and best[j][2] == count and best[j][0] not in starts:
+                j += 1
+            if (j < len(best) and best[j][2] == count) or (j == len(best) and not whole):
+                break
+        out.append((left, right, int(count)))
+        ends.add(left), starts.add(right)
+        if left == right or left + right in symbols or left + right in made:
+            break
+        made.add(left + right)
+    return out
+
+
+def learn_merges(docs: DataFrame, n_merges: int, text: str = "text") -> list[tuple[str, str, int]]:
+    """The first ``n_merges`` byte-pair merges, as a list of (left, right, count)."""
     wc = cut_lineage(word_counts(docs, text))
-    merges = []
-    for r in range(n_merges):
-        best = pair_counts(wc).orderBy(F.col("count").desc(), "left", "right").limit(1).collect()
-        if not best:
+    ids = symbol_ids(wc)
+    blocks = cut_lineage(word_blocks(wc, ids))
+    merges: list[tuple[str, str, int]] = []
+    since: list[tuple[int, int, int]] = []  # merges that the written blocks lack, as ids
+    rounds = 0
+    while len(merges) < n_merges:
+        best = _best_pairs(_replayed(blocks, since), sorted(ids, key=ids.__getitem__), _CANDIDATES)
+        new = next_merges([tuple(r) for r in best], ids, n_merges - len(merges), len(best) < _CANDIDATES)
+        if not new:
             break
-        left, right, cnt = best[0]["left"], best[0]["right"], best[0]["count"]
-        merges.append((left, right, int(cnt)))
-        if r + 1 < n_merges:
-            wc = cut_lineage(wc.withColumn("symbols", _merge(F.col("symbols"), left, right)))
+        for left, right, _ in new:
+            made = ids.setdefault(left + right, len(ids))
+            since.append((ids[left], ids[right], made))
+        merges += new
+        rounds += 1
+        if rounds % _KEEP == 0:
+            blocks, since = cut_lineage(_replayed(blocks, since)), []
     return merges
 
 
+class WordEncoder:
+    """Pieces of words by the merges' ranks (lowest first, standard byte-pair
+    encoding).  Every worker remembers the words it met; a full table starts anew."""
+
+    most = 500_000
+
+    def __init__(self, merges: list[tuple[str, str, int]]):
+        self.ranks = {(l_, r_): i for i, (l_, r_, _) in enumerate(merges)}
+        self.symbol, self.known = re.compile(SYMBOL), {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
+
+    def __call__(self, word: str) -> list[str]:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            got = self.known[word] = self._encode(word)
+        return got
+
+    def _encode(self, word: str) -> list[str]:
+        s = self.symbol.findall(word)
+        while len(s) > 1:
+            rank, pair = min(((self.ranks.get(p, len(self.ranks)), p) for p in zip(s, s[1:])))
+            if rank == len(self.ranks):
+                break
+            out, i = [], 0
+            while i < len(s):
+                if (s[i], *s[i + 1:i + 2]) == pair:
+                    out.append(s[i] + s[i + 1])
+                    i += 2
+                else:
+                    out.append(s[i])
+                    i += 1
+            s = out
+        return s
+
+
 def encode_words(words: DataFrame, merges: list[tuple[str, str, int]], word_col: str = "word") -> DataFrame:
-    """X8 on the distinct words: apply the merges by rank (lowest rank first,
-    standard byte-pair encoding) in a pandas UDF; the merge list is bounded by
-    the vocabulary size and shipped with the function."""
-    ranks = {(l_, r_): i for i, (l_, r_, _) in enumerate(merges)}
-    symbol = re.compile(SYMBOL)
+    """X8 on words: adds ``pieces``.  The merge list is bounded by the vocabulary
+    size and shipped with the function."""
+    encoder = WordEncoder(merges)
 
     @F.pandas_udf("array<string>")
     def enc(ws: pd.Series) -> pd.Series:
-        def one(w):
-            s = symbol.findall(w)
-            while len(s) > 1:
-                best, at = None, -1
-                for i in range(len(s) - 1):
-                    rk = ranks.get((s[i], s[i + 1]))
-                    if rk is not None and (best is None or rk < best):
-                        best, at = rk, i
-                if best is None:
-                    break
-                l_, r_ = s[at], s[at + 1]
-                out, i = [], 0
-                while i < len(s):
-                    if i < len(s) - 1 and s[i] == l_ and s[i + 1] == r_:
-                        out.append(l_ + r_)
-                        i += 2
-                    else:
-                        out.append(s[i])
-                        i += 1
-                s = out
-            return s
-        return ws.map(one)
+        return ws.map(encoder)
 
     return words.withColumn("pieces", enc(F.col(word_col)))
 
@@ -109,8 +239,7 @@ def vocabulary(wc: DataFrame, merges) -> dict[str, int]:
     """Piece -> id: the four special symbols, the single symbols of the corpus in
     code point order, then the merged pieces by rank (bounded by the alphabet and
     the number of merges)."""
-    single = sorted(r[0] for r in wc.select(F.explode(F.regexp_extract_all("word", F.lit(SYMBOL), F.lit(0))).alias("s"))
-                    .distinct().collect())
+    single = sorted(symbol_ids(wc))
     out = {}
     for piece in [*single, *(l_ + r_ for l_, r_, _ in merges)]:
         out.setdefault(piece, len(out) + 4)
@@ -123,20 +252,18 @@ def subword_encode(docs: DataFrame, merges, id_col: str = "doc_id", text: str =
     their ids between BOS and EOS (white space and symbols outside it: UNK).
 
     Separators are pieces of their own, so the pieces joined give the cleaned
-    text; a blank document keeps its row.  Distinct words are encoded once and
-    joined back by word; the pieces are reassembled in word order per document."""
-    parts = F.regexp_extract_all(trainer_text(F.col(text)), F.lit(r"[ \t\n\r\f\x0b]|[^ \t\n\r\f\x0b]+"), F.lit(0))
-    occ = docs.select(id_col, F.posexplode(parts).alias("pos", "word"))
-    joined = occ.join(encode_words(occ.select("word").distinct(), merges), "word")
-    per_doc = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "pieces"))).alias("_w"))
-    out = (docs.select(id_col).join(per_doc, id_col, "left")
-           .select(id_col, F.coalesce(F.flatten(F.transform("_w", lambda x: x["pieces"])),
-                                      F.array().cast("array<string>")).alias("pieces")))
-    if vocab is None:
-        return out
-
-    @F.pandas_udf("array<int>")
-    def number(pieces: pd.Series) -> pd.Series:
-        return pieces.map(lambda ps: [BOS, *(vocab.get(x, UNK) for x in ps), EOS])
-
-    return out.withColumn("ids", number("pieces"))
+    text; a blank or null document keeps its row.  Documents are encoded where
+    they are, with a table of words for each worker: nothing is shuffled."""
+    encoder = WordEncoder(merges)
+    part = re.compile(r"[ \t\n\r\f\x0b]|[^ \t\n\r\f\x0b]+")
+    kind = "pieces array<string>" + ("" if vocab is None else ", ids array<int>")
+
+    @F.pandas_udf(f"struct<{kind.replace('pieces ', 'pieces:').replace('ids ', 'ids:')}>")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        pieces = [[p for w in part.findall(t or "") for p in encoder(w)] for t in texts]
+        out = {"pieces": pieces}
+        if vocab is not None:
+            out["ids"] = [[BOS, *(vocab.get(p, UNK) for p in ps), EOS] for ps in pieces]
+        return pd.DataFrame(out)
+
+    return docs.select(id_col, encode(trainer_text(F.col(text))).alias("_e")).select(id_col, "_e.*")
