@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions.rng import sql_h
 from penprint.operators import sampling as S
+from penprint.operators.lookup import pair_lookup, write_file_index
 from penprint.plans.closed_set import limit_authors
 from penprint.plans.pair_dataset import build_contrastive_combinations, build_pair_dataset
 from penprint.plans.registry import register
@@ -220,6 +221,19 @@ def w7_sample_k_combinations(spark, sf):
     return S.sample_k_combinations(files, quotas, SEED).select("author", "file_1", "file_2")
 
 
+@register("j9_pair_lookup", W7_SQL.replace(
+    "SELECT ij.author, o1.file_id AS file_1", "SELECT ij.author, o1.n_files, o1.file_id AS file_1").replace(
+    "JOIN ords o1", "JOIN (SELECT ords.*, count(*) OVER (PARTITION BY author) AS n_files FROM ords) o1"))
+def j9_pair_lookup(spark, sf):
+    """The pairs drawn for W7's quotas, their files looked up in a bucketed index."""
+    files = files_from_orders(spark, sf)
+    index = write_file_index(S.file_ordinals(files, SEED).select("author", "ordinal", "n_files", "file_id"))
+    quotas = S.match_quota_round_robin(S.author_file_counts(files), fraction=0.5, seed=SEED)
+    ranks = S.sample_pair_ranks(quotas, SEED, "comb").select("author", "i", "j")
+    got = pair_lookup(ranks, index, columns={"file_id": ("file_1", "file_2"), "n_files": ("n_files", "_n2")})
+    return got.select("author", "n_files", "file_1", "file_2")
+
+
 def diff_pairs_sql(files_cte_name: str = "f", n_expr: str = "(SELECT count(*) FROM f)", tag: str = "diff",
                    pre: str = "") -> str:
     fc = files_cte_name
