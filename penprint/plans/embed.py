@@ -60,6 +60,50 @@ def embed_with_model(df: DataFrame, load_model: Callable[[], Callable[[pd.DataFr
     return df.mapInPandas(run, schema)
 
 
+_MODELS: dict[str, Callable] = {}
+
+
+def embed_sequences(df: DataFrame, load_model: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+                    model_key: str, id_col: str = "file_id", ids_col: str = "ids", pad_id: int = 0,
+                    cells: int = 1 << 20, normalize: bool = True, double: bool = False) -> DataFrame:
+    """M12(a)/D2 on id sequences: (id, embedding) by a model of one's own.
+
+    ``load_model()`` gives ``predict(ids, lengths)``, rows of ids padded with
+    ``pad_id`` and their lengths; it is called once a worker and ``model_key``.
+    Rows that arrive together are sorted by length and cut into batches of at most
+    ``cells`` padded cells (a longer row goes alone), so little is padded and a
+    batch has bounded memory.  A null sequence is an empty one; a zero vector
+    stays zero.  A prediction must not depend on a row's companions."""
+    kind = np.float64 if double else np.float32
+
+    def run(batches):
+        if model_key not in _MODELS:
+            _MODELS[model_key] = load_model()
+        predict = _MODELS[model_key]
+        for pdf in batches:
+            rows = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf[ids_col]]
+            size = np.array([len(x) for x in rows], np.int64)
+            order = np.argsort(size, kind="stable")
+            keys, at = pdf[id_col].to_numpy(), 0
+            while at < len(order):
+                end = at + 1  # the last row of a batch is its longest
+                while end < len(order) and (end + 1 - at) * max(1, size[order[end]]) <= cells:
+                    end += 1
+                part = order[at:end]
+                ids = np.full((len(part), int(size[part[-1]])), pad_id, np.int64)
+                for r, k in enumerate(part):
+                    ids[r, :size[k]] = rows[k]
+                emb = np.asarray(predict(ids, size[part]), kind)
+                if normalize:
+                    norm = np.sqrt((emb * emb).sum(axis=1, keepdims=True))
+                    emb = emb / np.where(norm == 0, 1, norm)
+                yield pd.DataFrame({id_col: keys[part], "embedding": list(emb)})
+                at = end
+
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<{'double' if double else 'float'}>"
+    return df.select(id_col, ids_col).mapInPandas(run, schema)
+
+
 def project_pca(cs: DataFrame, k: int = 2, vec: str = "embedding", n_files: int | None = None) -> tuple[DataFrame, list]:
     """Centre (``StandardScaler(withMean=True, withStd=False)`` — Spark's
     PCA does not centre) and project on the first k principal components.

@@ -4,8 +4,10 @@ A17, X7, X8, M2, M3, M11, M12, M14, M17)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from penprint.functions import text as T
 from penprint.functions.rng import sql_h
 from penprint.operators import bpe
 from penprint.operators import sampling as S
@@ -13,7 +15,7 @@ from penprint.operators.losses import simclr_loss, simclr_loss_matrix
 from penprint.plans.classifiers import cross_validate, first_fold_holdout, stratified_split
 from penprint.plans.closed_set import closed_set, closed_set_neighbours, fold_accuracy
 from penprint.plans.corpus import materialise_simclr_samples, prepare_corpus
-from penprint.plans.embed import char_ngram_embeddings, char_ngrams, project_pca
+from penprint.plans.embed import char_ngram_embeddings, char_ngrams, embed_sequences, project_pca
 from penprint.operators.votes import mode_vote
 from penprint.plans.registry import register
 from penprint.plans.sqlparts import cosine_sql, distinct_sql
@@ -208,6 +210,37 @@ def m12_text_closed_set_knn(spark, sf):
     return fold_accuracy(mode_vote(closed_set_neighbours(cs, 1)))
 
 
+def _linear_model():
+    """A fixed model without training: character c adds weight ((c + 1)(k + 3)) mod 11 - 5
+    to dimension k."""
+    weights = (np.arange(1, 100)[:, None] * (np.arange(4) + 3)) % 11 - 5.0
+
+    def predict(ids, lengths):
+        inside = np.arange(ids.shape[1]) < lengths[:, None]
+        return np.stack([(w[ids] * inside).sum(axis=1) for w in weights.T], axis=1)
+    return predict
+
+
+def _m12_model_sql() -> str:
+    from penprint.plans.q_text import CHAR_IDS_SQL
+    dims = ", ".join(f"CAST(list_sum(list_transform(ids, lambda c: ((c + 1) * {k + 3}) % 11 - 5)) AS DOUBLE) AS x{k}"
+                     for k in range(4))
+    norm = "sqrt(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3)"
+    out = ", ".join(f"round(CASE WHEN {norm} = 0 THEN 0 ELSE x{k} / {norm} END, 6) AS e{k}" for k in range(4))
+    return f"""WITH e AS (SELECT doc_id, {CHAR_IDS_SQL} AS ids FROM documents),
+v AS (SELECT doc_id, {dims} FROM e)
+SELECT doc_id, {out} FROM v"""
+
+
+@register("m12_model_embeddings", _m12_model_sql())
+def m12_model_embeddings(spark, sf):
+    """M12(a) + D2: character ids of whole documents through a fixed linear model,
+    in length-sorted padded batches; unit vectors."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", T.char_encode("text").alias("ids"))
+    emb = embed_sequences(docs, _linear_model, "fixed linear, 4 dimensions", "doc_id", double=True)
+    return emb.select("doc_id", *[F.round(F.col("embedding")[k], 6).alias(f"e{k}") for k in range(4)])
+
+
 # ------------------------------------------------------------------ M14 / M17
 
 
