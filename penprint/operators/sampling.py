@@ -48,18 +48,29 @@ def file_ordinals(files: DataFrame, seed="p", author: str = "author", file_id: s
     The ordinal is the rank of ``h(seed, tag, file_id)`` (tie: file id) inside
     the author, so it is a uniformly random bijection files -> [0, n).  Rows
     instead of an array: an author's file list is never collected into one row.
-    An author's files are cut into hash buckets of at most about
-    ``SPLIT_AUTHOR_FILES``; smaller authors form one bucket, so the
-    bucket-offset table has about one row per author, not one per file.
+    The files of an author with more than ``SPLIT_AUTHOR_FILES`` are cut into
+    hash buckets of about so many; all others are ranked in one window.  Files
+    without an author are left out.
     """
     counts = author_file_counts(files, author)
-    staged = files.join(counts, author).withColumn("_h", h(seed, tag, file_id))
-    bits = F.ceil(F.log2(F.greatest(F.col("n_files") / SPLIT_AUTHOR_FILES, F.lit(1.0))))
-    staged = staged.withColumn("_bits", bits.cast("int")).withColumn(
-        "_b", F.expr(f"shiftright(_h, {HASH_BITS} - _bits)"))
-    out = bucketed_ordinal(staged, [author], ["_b"], [F.col("_h"), F.col(file_id)], out="ordinal")
-    out = out.drop("_h", "_b", "_bits")
-    return out if with_counts else out.drop("n_files")
+    hot = counts.where(F.col("n_files") > SPLIT_AUTHOR_FILES)
+    known = files.where(F.col(author).isNotNull()).withColumn("_h", h(seed, tag, file_id))
+    rest, parts = known, []
+    if not hot.isEmpty():
+        rest = known.join(hot.select(author), author, "left_anti")
+        bits = F.ceil(F.log2(F.col("n_files") / SPLIT_AUTHOR_FILES))
+        staged = known.join(hot, author).withColumn("_bits", bits.cast("int")).withColumn(
+            "_b", F.expr(f"shiftright(_h, {HASH_BITS} - _bits)"))
+        parts = [bucketed_ordinal(staged, [author], ["_b"], [F.col("_h"), F.col(file_id)], out="ordinal")
+                 .drop("_b", "_bits")]
+    # whole authors: one shuffle and one sort give both the count and the ordinal
+    w = Window.partitionBy(author).orderBy("_h", file_id)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rest.withColumn("n_files", F.count(F.lit(1)).over(every)) if with_counts else rest
+    out = out.withColumn("ordinal", (F.row_number().over(w) - 1).cast("bigint"))
+    for p in parts:
+        out = out.unionByName(p if with_counts else p.drop("n_files"))
+    return out.drop("_h")
 
 
 def author_starts(counts: DataFrame, author: str = "author", out: str = "_start") -> DataFrame:
@@ -196,8 +207,8 @@ def sample_split_legacy(pairs: DataFrame, n_train: int, n_val: int, id_col: str
     """Split *pairs* (not author-disjoint) after a hash shuffle.  Default test
     = the n_val pairs after val; ``overlapping_test`` reproduces the reference
     slice [train : train + 2*val] that contains all of val."""
-    r = hash_ordinal(pairs.withColumn("_h", h(seed, "pair", id_col)), [], "_h", [id_col], out="_r",
-                     rows=pairs.count())
+    pairs = pairs.withColumn("_h", h(seed, "pair", id_col)).persist()  # counted, cut and ranked: made once
+    r = hash_ordinal(pairs, [], "_h", [id_col], out="_r", rows=pairs.count())
     tr, va = n_train, n_val
     if overlapping_test:
         out = r.where(F.col("_r") < tr + 2 * va).withColumn(
@@ -239,11 +250,15 @@ def unrank_pair(r: Column) -> tuple[Column, Column]:
     return i, j
 
 
+ROW_DRAWS = 512  # draw budgets up to this are drawn as one array
+
+
 def _draw_budget(q: Column, space: Column, level: int) -> Column:
     """Draws that most likely hold q distinct values: their expected number
-    space * ln(space / (space - q)) with room, twice as many at each level."""
+    space * ln(space / (space - q)) with room, twice as many at each level.  A
+    short key costs another level, so small keys get little more than they need."""
     c, k = space.cast("double"), q.cast("double")
-    likely = c * F.log((c + 0.5) / (c - k + 0.5)) * 1.3 + F.least(c, k * k / c) * 5 + 32
+    likely = c * F.log((c + 0.5) / (c - k + 0.5)) * 1.3 + F.least(c, k * k / c) * 5 + 4
     return (F.ceil(likely) * F.lit(2 ** level)).cast("bigint")
 
 
@@ -258,12 +273,14 @@ def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p
     needs about space * ln(space) draws) is redone with a doubled budget — the
     answer does not depend on the budget.  Draw generation is chunked so a hot
     key's draws spread over many tasks; the per-key rank by draw order uses the
-    bucketed ordinal.  A quota of the whole space is every value, so nothing has
+    bucketed ordinal.  Keys of at most ``ROW_DRAWS`` draws, which are nearly all,
+    are drawn inside their row, without a shuffle.  Keys must be unique; a null
+    key gets nothing drawn.  A quota of the whole space is every value, so nothing has
     to be drawn for it (``draw_t`` is the value then).
 
     Output (key, value, draw_t).
     """
-    base = groups.select(key, F.col(space).alias("_C"), F.col(quota).alias("_q")).where(F.col("_q") > 0)
+    base = groups.select(key, F.col(space).alias("_C"), F.col(quota).alias("_q")).where(F.col("_q") > 0).persist()
     chunk = 4096
 
     def spans(df, size):
@@ -273,23 +290,45 @@ def sample_distinct(groups: DataFrame, key: str, space: str, quota: str, seed="p
         return fan_out_ready(df).withColumn("draw_t", F.explode(F.sequence(
             F.col("_ch") * chunk, F.least(F.col("_ch") * chunk + chunk, size) - 1)))
 
+    def in_row(df):
+        """The draws of each key as an array, ``_picks`` the first q distinct ones
+        (null where the budget holds fewer): no row is made but those kept."""
+        draws = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_T") - 1),
+                            lambda t: F.pmod(h(seed, tag, key, t), F.col("_C")))
+        got = fan_out_ready(df).withColumn("_draws", draws).withColumn("_d", F.array_distinct("_draws"))
+        return got.select(key, "_C", "_q", "_draws", F.when(
+            F.size("_d") >= F.col("_q"), F.slice("_d", F.lit(1), F.col("_q").cast("int"))).alias("_picks")).persist()
+
+    def in_rows(df):
+        """The first draw of each distinct value, ranked in draw order."""
+        t = spans(df, F.col("_T")).withColumn("value", F.pmod(h(seed, tag, key, "draw_t"), F.col("_C")))
+        firsts = t.groupBy(key, "_C", "_q", "_T", "value").agg(F.min("draw_t").alias("draw_t"))
+        firsts = firsts.withColumn("_b", F.floor(F.col("draw_t") * 1024 / F.col("_T")).cast("bigint"))
+        return bucketed_ordinal(firsts, [key], ["_b"], [F.col("draw_t")], out="_o").drop("_b").persist()
+
     whole = spans(base.where((F.col("_q") >= F.col("_C")) & (F.col("_C") > 0)), F.col("_C"))
-    results, todo = [whole.select(key, F.col("draw_t").alias("value"), "draw_t")], base.where(F.col("_q") < F.col("_C"))
+    results = [whole.select(key, F.col("draw_t").alias("value"), "draw_t")]
+    todo = base.where((F.col("_q") < F.col("_C")) & F.col(key).isNotNull())
     for level in range(max_levels):
-        t = todo.withColumn("_T", _draw_budget(F.col("_q"), F.col("_C"), level))
-        t = spans(t, F.col("_T"))
-        t = t.withColumn("value", F.pmod(h(seed, tag, key, "draw_t"), F.col("_C")))
-        firsts = t.groupBy(key, "_q", "_T", "value").agg(F.min("draw_t").alias("draw_t"))
-        firsts = firsts.withColumn("_b", F.floor(F.col("draw_t") * 1024 / F.col("_T")).cast("bigint"))
-        ranked = bucketed_ordinal(firsts, [key], ["_b"], [F.col("draw_t")], out="_o").drop("_b")
-        ranked = ranked.persist()
-        short = (ranked.groupBy(key, "_q").agg(F.count(F.lit(1)).alias("_d"))
-                 .where(F.col("_d") < F.col("_q")).select(key))
-        results.append(ranked.where(F.col("_o") < F.col("_q")).join(short, key, "left_anti")
-                       .select(key, "value", "draw_t"))
-        if short.limit(1).count() == 0:
+        todo = todo.withColumn("_T", _draw_budget(F.col("_q"), F.col("_C"), level))
+        few, short = in_row(todo.where(F.col("_T") <= ROW_DRAWS)), []
+        if not few.isEmpty():
+            kept = few.where(F.col("_picks").isNotNull()).select(key, "_draws", F.explode("_picks").alias("value"))
+            results.append(kept.select(key, "value", (F.array_position("_draws", F.col("value")) - 1).alias("draw_t")))
+            short.append(few.where(F.col("_picks").isNull()).select(key, "_C", "_q"))
+        many = todo.where(F.col("_T") > ROW_DRAWS)
+        if not many.isEmpty():
+            ranked = in_rows(many)
+            lacking = (ranked.groupBy(key, "_C", "_q").agg(F.count(F.lit(1)).alias("_d"))
+                       .where(F.col("_d") < F.col("_q")).drop("_d"))
+            results.append(ranked.where(F.col("_o") < F.col("_q")).join(lacking.select(key), key, "left_anti")
+                           .select(key, "value", "draw_t"))
+            short.append(lacking)
+        if not short:
+            break
+        todo = short[0] if len(short) == 1 else short[0].unionByName(short[1])
+        if todo.isEmpty():
             break
-        todo = todo.join(short, key, "left_semi")
     else:
         raise RuntimeError("distinct sampling did not converge")
     out = results[0]
@@ -358,7 +397,7 @@ def author_index(files: DataFrame, seed="p", author: str = "author", group: str
     """Distinct authors with a hash-random dense index ``author_idx`` (0-based),
     within ``group`` when given."""
     gcols = [group] if group else []
-    a = files.select(*gcols, author).distinct().withColumn("_h", h(seed, "aidx", author))
+    a = files.select(*gcols, author).distinct().withColumn("_h", h(seed, "aidx", author)).persist()  # ranked in two passes
     return hash_ordinal(a, gcols, "_h", [author], out="author_idx").drop("_h")
 
 
@@ -373,7 +412,7 @@ def different_author_pairs(spark, files: DataFrame, n, seed="p", tag: str = "dif
     With ``group`` (e.g. split), ``n`` is a dict group -> samples and authors
     are drawn inside their group; all groups run in one plan."""
     gcols = [group] if group else []
-    aidx = authors if authors is not None else author_index(files, seed, author, group)
+    aidx = authors if authors is not None else author_index(files, seed, author, group).persist()
     ords = ordinals if ordinals is not None else file_ordinals(files, seed, author, file_id).persist()
     if group:
         sizes = {r[group]: r["a"] for r in aidx.groupBy(group).agg(F.count(F.lit(1)).alias("a")).collect()}
@@ -398,12 +437,11 @@ def different_author_pairs(spark, files: DataFrame, n, seed="p", tag: str = "dif
     s = s.withColumn("_a1", F.pmod(h(seed, f"{tag}a1", *key), a_col))
     s = s.withColumn("_a2", F.pmod(h(seed, f"{tag}a2", *key), a_col - 1))
     s = s.withColumn("_a2", F.when(F.col("_a2") >= F.col("_a1"), F.col("_a2") + 1).otherwise(F.col("_a2")))
-    a1 = aidx.select(*gcols, F.col("author_idx").alias("_a1"), F.col(author).alias("author_1"))
-    a2 = aidx.select(*gcols, F.col("author_idx").alias("_a2"), F.col(author).alias("author_2"))
+    # an author's number and file count in one table: a sample meets it once a side
+    sized = aidx.join(ords.where("ordinal = 0").select(author, "n_files"), author).persist()
+    a1, a2 = (sized.select(*gcols, F.col("author_idx").alias(f"_a{i}"), F.col(author).alias(f"author_{i}"),
+                           F.col("n_files").alias(f"_n{i}")) for i in (1, 2))
     s = s.join(a1, gcols + ["_a1"]).join(a2, gcols + ["_a2"])
-    cnt = ords.select(author, "n_files").distinct()
-    s = (s.join(cnt.select(F.col(author).alias("author_1"), F.col("n_files").alias("_n1")), "author_1")
-         .join(cnt.select(F.col(author).alias("author_2"), F.col("n_files").alias("_n2")), "author_2"))
     s = s.withColumn("_o1", F.pmod(h(seed, f"{tag}f1", *key), F.col("_n1")))
     s = s.withColumn("_o2", F.pmod(h(seed, f"{tag}f2", *key), F.col("_n2")))
     f1 = ords.select(F.col(author).alias("author_1"), F.col("ordinal").alias("_o1"),
