@@ -11,8 +11,10 @@ the list of its nearest centroid, and a query reads only some lists:
   vector (the angle between query and centroid less the list's radius bounds the
   angle to its members); the lists left over are read too, and the result equals
   that of ``knn_join``;
-* lists of any size are cut into parts of ``block_rows`` and their queries into
-  blocks of as many, so a hot list is many tasks of bounded size.
+* neighbouring lists lie together on shelves of about ``block_rows`` rows and a
+  longer list on several, the queries of a shelf in blocks of as many; a query is
+  sent once to each shelf that it probes, with the numbers of its lists.  So tasks
+  have bounded size, and a query of all lists costs a row a shelf, not one a list.
 
 Similarity is the cosine.  Null vectors are neither indexed nor searched; a zero
 vector has similarity 0 to everything.  Ids must be unique; ties go to the
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 
 from penprint.functions.rng import h
 from penprint.operators.ranking import first_k
+from penprint.operators.similarity import BLOCK_ROWS, best_columns, block_count, matrix as _matrix
 from penprint.session import cut_lineage
 
 MAX_LISTS = 16_384
 TRAIN_ROWS = 20_000
 SLACK = 1e-9  # rounding of angles
+CELLS = 1 << 22  # numbers of one matrix in a task
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -42,11 +46,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
 def spherical_kmeans(x: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """At most ``n`` unit centroids of unit rows; empty ones are dropped."""
     r = np.random.default_rng(seed)
@@ -63,7 +62,7 @@ class InvertedLists:
     """Index over (id, vector) rows; build once, search often."""
 
     def __init__(self, base: DataFrame, id_col: str = "file_id", vec_col: str = "embedding", lists: int | None = None,
-                 train_rows: int = TRAIN_ROWS, seed="p", block_rows: int = 2048):
+                 train_rows: int = TRAIN_ROWS, seed="p", block_rows: int = BLOCK_ROWS):
         self.id, self.vec, self.block_rows = id_col, vec_col, block_rows
         self.type = base.schema[id_col].dataType.simpleString()
         rows = self._rows(base, id_col, vec_col)
@@ -98,69 +97,111 @@ class InvertedLists:
         self.radius = np.zeros(len(self.centroids))
         for r in stats:
             self.radius[r["list"]] = r["r"]
+        self._shelve(n, x.shape[1] if len(x) else 0, base.sparkSession.sparkContext.defaultParallelism)
+
+    def _shelve(self, rows: int, dim: int, parallelism: int) -> None:
+        """``first[l]`` and ``parts[l]``: the shelves that hold list l."""
+        self.rows_a_shelf = max(1, -(-rows // block_count(rows, dim, parallelism, self.block_rows)))
+        self.first = np.zeros(len(self.centroids), np.int64)
+        self.parts = np.zeros(len(self.centroids), np.int64)
+        shelf, held = 0, 0
+        for x, n in sorted(self.sizes.items()):
+            if held and held + n > self.rows_a_shelf:
+                shelf, held = shelf + 1, 0
+            self.first[x], self.parts[x] = shelf, -(-n // self.rows_a_shelf)
+            held += n
+            if self.parts[x] > 1:
+                shelf, held = shelf + int(self.parts[x]), 0
+        self.shelves = shelf + bool(held)
 
     @staticmethod
     def _rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         return df.where(F.col(vec_col).isNotNull()).select(
             F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
-    def _probed(self, query: DataFrame, probes: int, beyond: bool) -> DataFrame:
-        """(id, vec, list): the ``probes`` nearest lists of each query, or, beyond
-        them, those that its ``kth`` score does not rule out."""
-        shared = query.sparkSession.sparkContext.broadcast((self.centroids, self.radius))
+    def _probed(self, query: DataFrame, probes: int, beyond: bool, count: bool = False) -> DataFrame:
+        """(id, vec, shelf, lists): the ``probes`` nearest lists of each query, or,
+        beyond them, those that its ``kth`` score does not rule out, shelf by shelf.
+        ``count``: (shelf, n) of these rows instead."""
+        shared = query.sparkSession.sparkContext.broadcast((self.centroids, self.radius, self.first, self.parts))
+        shelves = self.shelves
 
         def run(batches):
-            c, radius = shared.value
-            for b in batches:
-                if not b.num_rows or not len(c):
-                    continue
-                v = _unit(_matrix(b.column(1)))
-                near = v @ c.T
-                rank = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
-                if beyond:
-                    angle = np.maximum(np.arccos(np.clip(near, -1, 1)) - radius, 0)
-                    best = np.cos(angle)
-                    best[(v == 0).all(axis=1)] = 1
-                    kth = b.column(2).to_numpy(zero_copy_only=False)
-                    take = (rank >= probes) & (best >= kth[:, None] - SLACK)
-                else:
-                    take = rank < probes
-                q, lists = np.nonzero(take)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * v.shape[1], pa.int32()), pa.array(v[q].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), vec, pa.array(lists.astype(np.int32))],
-                                                 ["id", "vec", "list"])
-
-        return query.mapInArrow(run, f"id {query.schema['id'].dataType.simpleString()}, vec array<double>, list int")
-
-    def _scored(self, probed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-        """The best k members of each part of each probed list."""
-        spark, size = probed.sparkSession, self.block_rows
-        asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-        plan = [(x, -(-self.sizes[x] // size), -(-n // size)) for x, n in asked.items() if x in self.sizes]
-        plan = F.broadcast(spark.createDataFrame(plan, "list int, parts int, blocks int"))  # a row for each list
-        dealt = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        q = probed.join(plan, "list").select("list", dealt("id", "blocks").alias("block"), "id", "vec", every("parts").alias("part"))
-        b = self.members.join(plan, "list").select("list", dealt("id", "parts").alias("part"), "id", "vec", every("blocks").alias("block"))
-        qtype = probed.schema["id"].dataType.simpleString()
+            c, radius, first, parts = shared.value
+            step = max(1, CELLS // max(len(c), shelves * c.shape[1], 1))
+            for whole in batches:
+                for b in (whole.slice(i, step) for i in range(0, whole.num_rows if len(c) else 0, step)):
+                    v = _unit(_matrix(b.column(1)))
+                    near = v @ c.T
+                    rank = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
+                    if beyond:
+                        angle = np.maximum(np.arccos(np.clip(near, -1, 1)) - radius, 0)
+                        best = np.cos(angle)
+                        best[(v == 0).all(axis=1)] = 1
+                        kth = b.column(2).to_numpy(zero_copy_only=False)
+                        take = (rank >= probes) & (best >= kth[:, None] - SLACK)
+                    else:
+                        take = rank < probes
+                    q, lists = np.nonzero(take & (parts > 0))
+                    times = parts[lists]  # a list on several shelves is probed on each
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    q, lists = np.repeat(q, times), np.repeat(lists, times)
+                    at = first[lists] + nth
+                    order = np.lexsort((lists, at, q))
+                    q, lists, at = q[order], lists[order], at[order]
+                    new = np.flatnonzero(np.diff(q, prepend=-1) | np.diff(at, prepend=-1))
+                    if count:
+                        n = np.bincount(at[new], minlength=shelves)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shelves, dtype=np.int32)), pa.array(n)], ["shelf", "n"])
+                        continue
+                    some = pa.ListArray.from_arrays(pa.array(np.append(new, len(q)), pa.int32()), pa.array(lists, pa.int32()))
+                    q, at = q[new], at[new]
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * v.shape[1], pa.int32()), pa.array(v[q].ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), vec, pa.array(at.astype(np.int32)), some],
+                                                     ["id", "vec", "shelf", "lists"])
+
+        kind = "shelf int, n long" if count else (
+            f"id {query.schema['id'].dataType.simpleString()}, vec array<double>, shelf int, lists array<int>")
+        return query.mapInArrow(run, kind)
+
+    def _scored(self, query: DataFrame, probes: int, beyond: bool, k: int, exclude_self: bool) -> DataFrame:
+        """The best k members of each shelf that a query probes."""
+        spark, size = query.sparkSession, self.rows_a_shelf
+        asked = self._probed(query, probes, beyond, count=True).groupBy("shelf").agg(F.sum("n").alias("n")).collect()
+        plan = [(r["shelf"], -(-r["n"] // size)) for r in asked if r["n"]]  # a row for each shelf
+        blocks = F.broadcast(spark.createDataFrame(plan, "shelf int, blocks int"))
+        lists = [(x, int(self.first[x]), int(self.parts[x])) for x in self.sizes]
+        lists = F.broadcast(spark.createDataFrame(lists, "list int, first int, parts int"))  # a row for each list
+        dealt = lambda n: F.pmod(F.xxhash64(F.col("id")), F.col(n)).cast("int")
+        q = (self._probed(query, probes, beyond).join(blocks, "shelf")
+             .select("shelf", dealt("blocks").alias("block"), "id", "vec", "lists"))
+        b = (self.members.join(lists, "list").withColumn("shelf", F.col("first") + dealt("parts")).join(blocks, "shelf")
+             .select("shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vec", "list"))
+        qtype = query.schema["id"].dataType.simpleString()
 
         def best(q, b):
+            b = b.take(pa.array(np.argsort(b.column("id").to_numpy(zero_copy_only=False), kind="stable")))
             x, y = _matrix(q.column("vec")), _matrix(b.column("vec"))
-            own, other = q.column("id").combine_chunks(), b.column("id").combine_chunks()
-            if not len(x) or not len(y):
-                rows = cols = np.empty(0, np.int64)
-                s = np.empty((0, 0))
-            else:
-                s = x @ y.T
-                if exclude_self:
-                    s[np.equal.outer(own.to_numpy(zero_copy_only=False), other.to_numpy(zero_copy_only=False))] = -np.inf
-                cut = s.shape[1] - min(k, s.shape[1])
-                rows, cols = np.nonzero((s >= np.partition(s, cut, axis=1)[:, cut][:, None]) & np.isfinite(s))
-            return pa.Table.from_arrays([own.take(pa.array(rows)), other.take(pa.array(cols)), pa.array(s[rows, cols])],
-                                        ["query_id", "base_id", "score"])
-
-        keys = ["list", "part", "block"]
-        return (q.groupBy(*keys).cogroup(b.groupBy(*keys))
+            own, other = (t.column("id").to_numpy(zero_copy_only=False) for t in (q, b))
+            names, code = np.unique(b.column("list").to_numpy(zero_copy_only=False), return_inverse=True)
+            probed = np.zeros((len(x), len(names)), bool)
+            if len(x) and len(y):
+                wanted = q.column("lists").combine_chunks()
+                row = np.repeat(np.arange(len(x)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+                flat = wanted.flatten().to_numpy(zero_copy_only=False)
+                col = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+                probed[row, col] = names[col] == flat  # none of a list's members may be on this shelf
+
+            def barred(rows, cols):
+                out = ~probed[rows][:, code[cols]]
+                return out | np.equal.outer(own[rows], other[cols]).astype(bool) if exclude_self else out
+            r, c, v = best_columns(x, y, k, lambda a, d: a @ d.T, barred)
+            return pa.Table.from_arrays([q.column("id").take(pa.array(r)), b.column("id").take(pa.array(c)),
+                                         pa.array(v, pa.float64())], ["query_id", "base_id", "score"])
+
+        keys = ["shelf", "block"]
+        tasks = max(1, min(2000, sum(n for _, n in plan)))
+        return (q.repartition(tasks, *keys).groupBy(*keys).cogroup(b.repartition(tasks, *keys).groupBy(*keys))
                 .applyInArrow(lambda a, c: best(a, c), f"query_id {qtype}, base_id {self.type}, score double"))
 
     def search(self, query: DataFrame, k: int, probes: int = 8, exact: bool = False, exclude_self: bool = True,
@@ -169,11 +210,11 @@ class InvertedLists:
         the probed lists, or of all (``exact``)."""
         q = cut_lineage(self._rows(query, id_col or self.id, vec_col or self.vec))
         top = lambda df: first_k(df, ["query_id"], [F.col("score").desc(), F.col("base_id")], k, out="rank")
-        found = top(self._scored(self._probed(q, probes, False), k, exclude_self))
+        found = top(self._scored(q, probes, False, k, exclude_self))
         if not exact:
             return found
         found = cut_lineage(found.drop("rank"))
         kth = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
         rest = q.join(kth, q["id"] == kth["query_id"], "left").select("id", "vec", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-        more = self._scored(self._probed(rest, probes, True), k, exclude_self)
+        more = self._scored(cut_lineage(rest), probes, True, k, exclude_self)
         return top(found.unionByName(more))

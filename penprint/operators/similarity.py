@@ -2,14 +2,14 @@
 
 The reference computes a full ``cdist``/``cosine_similarity`` matrix in memory.
 Here the work is tiled: both sides are hashed into blocks, every (query block,
-base block) pair becomes one co-group, and each co-group runs a dense GEMM in
-numpy and emits only its local top-k per query row (ties at the cut are all
-kept).  A final ``row_number() <= k`` per query (partial WindowGroupLimit, so
+base block) pair becomes one co-group, and each co-group runs dense GEMMs in
+numpy over tiles and emits only its local top-k per query row (ties: smaller id).  A final ``row_number() <= k`` per query (partial WindowGroupLimit, so
 at most blocks*k candidates per query ever cross the network) picks the global
 top-k with a deterministic tie-break on the base id.
 
 No cross join is planned and no pair row is materialised: a co-group holds at
-most ``block_rows`` rows per side, whatever the skew of labels or folds.
+most ``block_rows`` rows per side (and ``BLOCK_BYTES`` of vectors), whatever the
+skew of labels or folds.
 Each row is replicated once per block of the other side, so this exact tier is
 meant for closed sets (authors x k files, 10^4–10^6 rows); beyond that use
 ``approx_knn_join`` (random-projection LSH buckets).
@@ -21,15 +21,66 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.operators.ranking import first_k
 
 
-def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+BLOCK_ROWS = 1 << 15     # rows of one side of a co-group: every row is sent once a block of the other side
+BLOCK_BYTES = 1 << 26    # and its vectors as doubles
+TILE = 2048              # rows and columns of one product
+
+
+def block_count(rows: int, dim: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks of a side: as few as memory allows, but enough pairs for all cores."""
+    most = max(1, min(block_rows, BLOCK_BYTES // (8 * max(dim, 1))))
+    return max(1, -(-rows // most), min(-(-rows // TILE), math.isqrt(2 * parallelism) + 1))
+
+
+def _blocks(df: DataFrame, vec_col: str, block_rows: int) -> int:
+    rows, dim = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vec_col)), F.lit(0))).first()
+    return block_count(rows, dim, df.sparkSession.sparkContext.defaultParallelism, block_rows)
+
+
+def matrix(column) -> np.ndarray:
+    """A list column as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.empty((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def best_columns(x: np.ndarray, y: np.ndarray, k: int, score, barred=None):
+    """(rows, columns, scores) of the k best columns of each row, tile by tile;
+    of equal ones the smaller column.  ``score(a, b)`` gives a tile's scores,
+    ``barred(rows, columns)`` (slices) the cells that are no candidates."""
+    found = []
+    for at in range(0, len(x), TILE):
+        rows = slice(at, min(at + TILE, len(x)))
+        n = rows.stop - at
+        kth = np.full(n, -np.inf)
+        r, c, v = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for b in range(0, len(y), TILE):
+            cols = slice(b, min(b + TILE, len(y)))
+            s = score(x[rows], y[cols])
+            if barred is not None:
+                s[barred(rows, cols)] = -np.inf
+            take = s > kth[:, None]  # an equal one in a later column loses
+            if np.count_nonzero(take) > 8 * k * n and s.shape[1] > k:
+                take &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+            i, j = np.nonzero(take)
+            if not len(i):
+                continue
+            r, c, v = np.concatenate([r, i]), np.concatenate([c, j + b]), np.concatenate([v, s[i, j]])
+            order = np.lexsort((c, -v, r))
+            r, c, v = r[order], c[order], v[order]
+            place = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+            kth[r[place == k - 1]] = v[place == k - 1]
+            r, c, v = r[place < k], c[place < k], v[place < k]
+        found.append((r + at, c, v))
+    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
 
 
 def _type(df: DataFrame, c: str) -> str:
@@ -40,7 +91,7 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, *, id_col: str = "file_i
              vec_col: str = "embedding", group_col: str | None = None,
              query_carry: Sequence[str] = (), base_carry: Sequence[str] = (),
              metric: str = "cosine", exclude_self: bool = True,
-             block_rows: int = 2048, query_blocks: int | None = None,
+             block_rows: int = BLOCK_ROWS, query_blocks: int | None = None,
              base_blocks: int | None = None) -> DataFrame:
     """Top-k base rows for every query row.
 
@@ -52,8 +103,9 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, *, id_col: str = "file_i
     """
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(metric)
-    qb = query_blocks or _blocks(query, block_rows)
-    bb = base_blocks or _blocks(base, block_rows)
+    query, base = (d.where(F.col(vec_col).isNotNull()) for d in (query, base))
+    qb = query_blocks or _blocks(query, vec_col, block_rows)
+    bb = base_blocks or _blocks(base, vec_col, block_rows)
     qcols = list(dict.fromkeys([id_col, vec_col] + ([group_col] if group_col else []) + list(query_carry)))
     bcols = list(dict.fromkeys([id_col, vec_col] + ([group_col] if group_col else []) + list(base_carry)))
 
@@ -71,44 +123,42 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, *, id_col: str = "file_i
     out_fields += [(f"base_{c}", _type(base, c)) for c in base_carry]
     schema = ", ".join(f"{n} {t}" for n, t in out_fields)
     names = [n for n, _ in out_fields]
-    qcarry, bcarry = list(query_carry), list(base_carry)
-
-    def block_topk(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(bpdf) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        qpdf = qpdf.rename(columns=lambda c: c[3:] if c.startswith("q__") else c)
-        bpdf = bpdf.rename(columns=lambda c: c[3:] if c.startswith("b__") else c)
-        Q = np.vstack(qpdf[vec_col].to_numpy()).astype(np.float64)
-        B = np.vstack(bpdf[vec_col].to_numpy()).astype(np.float64)
-        if metric == "cosine":
-            qn = np.linalg.norm(Q, axis=1, keepdims=True)
-            bn = np.linalg.norm(B, axis=1, keepdims=True)
-            S = (Q / np.where(qn == 0, 1, qn)) @ (B / np.where(bn == 0, 1, bn)).T
-        elif metric == "dot":
-            S = Q @ B.T
-        else:
-            d2 = (Q * Q).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (Q @ B.T)
-            S = -np.sqrt(np.maximum(d2, 0.0))
-        qid = qpdf[id_col].to_numpy()
-        bid = bpdf[id_col].to_numpy()
-        if exclude_self:
-            S[np.equal.outer(qid, bid)] = -np.inf
-        if group_col:
-            S[np.equal.outer(qpdf[group_col].to_numpy(), bpdf[group_col].to_numpy())] = -np.inf
-        nb = S.shape[1]
-        kk = min(k, nb)
-        thr = np.partition(S, nb - kk, axis=1)[:, nb - kk]
-        keep = (S >= thr[:, None]) & np.isfinite(S)
-        r, c = np.nonzero(keep)
-        res = {"query_id": qid[r], "base_id": bid[c], "score": S[r, c]}
-        for cc in qcarry:
-            res[f"query_{cc}"] = qpdf[cc].to_numpy()[r]
-        for cc in bcarry:
-            res[f"base_{cc}"] = bpdf[cc].to_numpy()[c]
-        return pd.DataFrame(res, columns=names)
-
-    cand = (q.groupBy("_qb", "_bb").cogroup(b.groupBy("_qb", "_bb"))
-            .applyInPandas(block_topk, schema))
+
+    def unit(v):
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(norm == 0, 1, norm)
+
+    def score(x, y):
+        if metric != "euclidean":
+            return x @ y.T
+        d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+        return -np.sqrt(np.maximum(d2, 0.0))
+
+    def plain(t, c):
+        return t.column(c).to_numpy(zero_copy_only=False)
+
+    def block_topk(q: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(pa.array(np.argsort(plain(b, f"b__{id_col}"), kind="stable")))  # of equal scores the smaller id
+        x, y = matrix(q.column(f"q__{vec_col}")), matrix(b.column(f"b__{vec_col}"))
+        if metric == "cosine" and len(x) and len(y):
+            x, y = unit(x), unit(y)
+        pairs = [(plain(q, f"q__{c}"), plain(b, f"b__{c}"))
+                 for c in ([id_col] if exclude_self else []) + ([group_col] if group_col else [])]
+
+        def barred(rows, cols):
+            out = np.zeros((rows.stop - rows.start, cols.stop - cols.start), bool)
+            for own, other in pairs:
+                out |= np.equal.outer(own[rows], other[cols]).astype(bool)
+            return out
+        r, c, v = best_columns(x, y, k, score, barred if pairs else None)
+        r, c = pa.array(r), pa.array(c)
+        arrays = [q.column(f"q__{id_col}").take(r), b.column(f"b__{id_col}").take(c), pa.array(v, pa.float64())]
+        arrays += [q.column(f"q__{f}").take(r) for f in query_carry] + [b.column(f"b__{f}").take(c) for f in base_carry]
+        return pa.Table.from_arrays(arrays, names=names)
+
+    spread = [min(qb * bb, 2000), "_qb", "_bb"]  # tiny blocks cost as much time as large ones: never coalesced
+    cand = (q.repartition(*spread).groupBy("_qb", "_bb").cogroup(b.repartition(*spread).groupBy("_qb", "_bb"))
+            .applyInArrow(lambda a, c: block_topk(a, c), schema))
     return first_k(cand, ["query_id"], [F.col("score").desc(), F.col("base_id")], k, out="rank")
 
 
