@@ -13,16 +13,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, NGram, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penprint.operators.bpe import slices
+
 
 def char_ngram_embeddings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 3,
-                          dim: int = 1 << 12, min_doc_freq: int = 1) -> DataFrame:
-    """M12(b): unit-length TF-IDF vectors of character n-grams (hashed)."""
+                          dim: int = 1 << 12, min_doc_freq: int = 1, wanted: DataFrame | None = None) -> DataFrame:
+    """M12(b): unit-length TF-IDF vectors of character n-grams (hashed).  All
+    ``docs`` make the document frequencies; vectors are made of those whose ids
+    are in ``wanted``, where given."""
     chars = docs.select(id_col, F.split(F.col(text), "").alias("_chars"))
     pipe = Pipeline(stages=[
         NGram(n=n, inputCol="_chars", outputCol="_grams"),
@@ -31,7 +37,7 @@ def char_ngram_embeddings(docs: DataFrame, text: str = "text", id_col: str = "do
         Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0),
     ])
     model = pipe.fit(chars)
-    out = model.transform(chars)
+    out = model.transform(chars if wanted is None else chars.join(wanted.select(id_col).distinct(), id_col, "left_semi"))
     return out.select(id_col, vector_to_array("_vec", "float32").alias("embedding"))
 
 
@@ -44,6 +50,49 @@ def char_ngrams(text, n: int = 3):
     return F.transform(F.arrays_zip(*parts), lambda z: F.concat(*[z[str(i)] for i in range(n)]))
 
 
+def char_ngram_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 3) -> DataFrame:
+    """(gram, n, docs): how often each character n-gram stands in all texts, and in
+    how many documents (distinct non-null ids).
+
+    Tasks count the grams of the texts they hold (n-grams are numbered rows of code
+    points, sorted), so what is shuffled follows the distinct grams.  Only documents
+    whose id is not unique need their (gram, id) pairs."""
+    many = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col).persist()
+    once = docs if many.isEmpty() else docs.join(many, id_col, "left_anti")
+
+    def run(batches):
+        for b in batches:
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for rows in slices(b.column(1), 1 << 20):
+                at = range(rows.start, rows.stop)
+                texts = [t or "" for t in b.column(1).slice(rows.start, len(at)).to_pylist()]
+                code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+                size = np.array([len(t) for t in texts], np.int64)
+                doc = np.repeat(np.arange(len(at)), size)
+                if len(code) < n:
+                    continue
+                inside = np.flatnonzero(doc[n - 1:] == doc[:len(doc) - n + 1])
+                names, char = np.unique(code, return_inverse=True)
+                grams = np.zeros(len(inside), np.int64)  # a number for each gram: the rank of its start, then a character
+                for i in range(n):
+                    if i:
+                        grams = np.unique(grams, return_inverse=True)[1] * len(names)
+                    grams += char[inside + i]
+                _, first, gram, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+                pair = np.unique(gram * len(at) + doc[inside])
+                has = np.bincount(pair // len(at), weights=known[at.start:at.stop][pair % len(at)], minlength=len(first))
+                spelled = code[inside[first][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([spelled[i:i + n] for i in range(0, len(spelled), n)], pa.string()), pa.array(count, pa.int64()),
+                     pa.array(has.astype(np.int64))], ["gram", "n", "docs"])
+
+    parts = once.select(id_col, text).mapInArrow(run, "gram string, n long, docs long")
+    if not many.isEmpty():
+        again = docs.join(many, id_col, "left_semi").select(id_col, F.explode(char_ngrams(text, n)).alias("gram"))
+        parts = parts.unionByName(again.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("docs")))
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def embed_with_model(df: DataFrame, load_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
                      dim: int, id_col: str = "file_id", normalize: bool = True) -> DataFrame:
     """M12(a)/D2: ``load_model()`` runs once per task and returns a batch
@@ -80,11 +129,11 @@ def embed_sequences(df: DataFrame, load_model: Callable[[], Callable[[np.ndarray
         if model_key not in _MODELS:
             _MODELS[model_key] = load_model()
         predict = _MODELS[model_key]
-        for pdf in batches:
-            rows = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf[ids_col]]
-            size = np.array([len(x) for x in rows], np.int64)
-            order = np.argsort(size, kind="stable")
-            keys, at = pdf[id_col].to_numpy(), 0
+        for b in batches:
+            rows = b.column(1)
+            flat, start = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+            size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            order, at = np.argsort(size, kind="stable"), 0
             while at < len(order):
                 end = at + 1  # the last row of a batch is its longest
                 while end < len(order) and (end + 1 - at) * max(1, size[order[end]]) <= cells:
@@ -92,16 +141,17 @@ def embed_sequences(df: DataFrame, load_model: Callable[[], Callable[[np.ndarray
                 part = order[at:end]
                 ids = np.full((len(part), int(size[part[-1]])), pad_id, np.int64)
                 for r, k in enumerate(part):
-                    ids[r, :size[k]] = rows[k]
+                    ids[r, :size[k]] = flat[start[k]:start[k] + size[k]]
                 emb = np.asarray(predict(ids, size[part]), kind)
                 if normalize:
                     norm = np.sqrt((emb * emb).sum(axis=1, keepdims=True))
                     emb = emb / np.where(norm == 0, 1, norm)
-                yield pd.DataFrame({id_col: keys[part], "embedding": list(emb)})
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(emb) + 1) * emb.shape[1], pa.int32()), pa.array(emb.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), vectors], [id_col, "embedding"])
                 at = end
 
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<{'double' if double else 'float'}>"
-    return df.select(id_col, ids_col).mapInPandas(run, schema)
+    return df.select(id_col, ids_col).mapInArrow(run, schema)
 
 
 def project_pca(cs: DataFrame, k: int = 2, vec: str = "embedding", n_files: int | None = None) -> tuple[DataFrame, list]:

@@ -60,9 +60,10 @@ def x3_decode_bytes(spark, sf):
 len(list_filter(ids, lambda i: i >= 98)) AS zero_rows FROM (SELECT doc_id, {CHAR_IDS_SQL} AS ids FROM documents)""")
 def x2_one_hot(spark, sf):
     """One-hot rows of the character ids; the unknown id gives a zero row."""
-    # the ids are bound once, so the encoder runs once for each document
+    # the ids are bound once, so the encoder runs once for each document; a row of
+    # zeros and ones adds up to the number of its cells that are not zero
     per_row = F.transform(F.array(T.char_encode("text")), lambda ids: F.transform(
-        T.one_hot(ids, 98), lambda row: F.aggregate(row, F.lit(0), lambda a, x: a + x)))[0]
+        T.one_hot(ids, 98), lambda row: F.size(F.array_remove(row, F.lit(0)))))[0]
     counts = F.transform(F.array(per_row), lambda r: F.struct(
         F.size(r).cast("long").alias("n_rows"),
         F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_ones"),

@@ -251,8 +251,9 @@ SELECT d.doc_id, coalesce(e.ids, []::INTEGER[]) AS ids FROM documents d LEFT JOI
 (SELECT doc_id, CAST(flatten(list(ids ORDER BY pos)) AS INTEGER[]) AS ids FROM te GROUP BY doc_id) e USING (doc_id)""")
 def x10_encode_tokens(spark, sf):
     """X9 + X10: lexer-token ids of every document with the K1 identifiers reserved."""
-    # lex every document once; the token arrays feed both K1 and the encoder
-    lexed = _docs(spark, sf).select("doc_id", L.lex("text").alias("toks")).persist()
+    # token arrays take many times the text, so K1 and the encoder each lex the
+    # documents where they are read; nothing is kept between them
+    lexed = _docs(spark, sf).select("doc_id", L.lex("text").alias("toks"))
     top = top_identifiers(lexed, TOP_N, tokens_col="toks")
     reserved = [r["token"] for r in top.orderBy("rank").collect()]  # bounded: TOP_N
     return lexed.select("doc_id", L.encode_token_array("toks", reserved).alias("ids"))
