@@ -370,7 +370,7 @@ def diff_author_sample(emb: DataFrame, m: int = 50, max_authors: int | None = 15
     groups = blocks.withColumn("_space", F.lit(n_all) - F.col("n_files")).withColumn(
         "_q", F.least(F.lit(m), F.col("_space")))
     draws = sample_distinct(groups, author, "_space", "_q", seed, "w10")
-    draws = draws.join(blocks, author).withColumn(
+    draws = draws.hint("merge").join(blocks, author).withColumn(
         "gidx", F.when(F.col("value") < F.col("start"), F.col("value")).otherwise(F.col("value") + F.col("n_files")))
     other = gi.select("gidx", F.col(file_id).alias("other_id"), F.col(vec).alias("_vo"))
     own = gi.select(author, F.col(file_id).alias("own_id"), F.col(vec).alias("_va"))
@@ -389,7 +389,8 @@ def sample_k_combinations(files: DataFrame, quotas: DataFrame, seed="p", tag: st
     ranks = sample_pair_ranks(quotas, seed, tag, author)
     o1 = ords.select(author, F.col("ordinal").alias("i"), F.col(file_id).alias("file_1"))
     o2 = ords.select(author, F.col("ordinal").alias("j"), F.col(file_id).alias("file_2"))
-    return (ranks.join(o1, [author, "i"]).join(o2, [author, "j"])
+    # the size of the authors' table says nothing about the pairs made of it: no broadcast
+    return (ranks.hint("merge").join(o1, [author, "i"]).join(o2, [author, "j"])
             .select(author, "file_1", "file_2", "draw_t"))
 
 

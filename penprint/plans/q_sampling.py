@@ -230,7 +230,7 @@ def j9_pair_lookup(spark, sf):
     index = write_file_index(S.file_ordinals(files, SEED).select("author", "ordinal", "n_files", "file_id"))
     quotas = S.match_quota_round_robin(S.author_file_counts(files), fraction=0.5, seed=SEED)
     ranks = S.sample_pair_ranks(quotas, SEED, "comb").select("author", "i", "j")
-    got = pair_lookup(ranks, index, columns={"file_id": ("file_1", "file_2"), "n_files": ("n_files", "_n2")})
+    got = pair_lookup(ranks.hint("merge"), index, columns={"file_id": ("file_1", "file_2"), "n_files": ("n_files", "_n2")})
     return got.select("author", "n_files", "file_1", "file_2")
 
 
