@@ -12,12 +12,16 @@ the cheapest ones take t = 1 instead (cost-based allocation).  Any allocation
 finds every link; the costs only choose among them.
 
 Copies are one class from the start.  Classes that share an index entry are
-candidates.  They are compared in blocks of bounded size by parity sketches
-(bitmaps whose Hamming distance never exceeds the size of the symmetric
-difference, so nothing linked is lost); first as stars, whose links are verified
-exactly on the whole sets and joined to components, then only pairs of different
-components are compared, so a large group of near copies never becomes all its
-pairs.
+candidates.  Parity sketches (bitmaps whose Hamming distance never exceeds the
+size of the symmetric difference, so nothing linked is lost) go first: the whole
+sets of a class are fetched only where a sketch leaves one of its pairs open.
+Every class is compared with the smallest one of each of its entries (a star),
+exactly where the sketch allows, and the links make components.  The others of
+all entries with the same smallest class and band form a group, compared in
+blocks of bounded size: first by sketch, which tells the classes that have a
+near partner of another component; then these are compared exactly, and a block
+returns only links that join two of its components.  So a large group of near
+copies never becomes all its pairs, linked or not.
 
 Edge cases: a text with fewer words than a shingle is one shingle; without
 words or null, the set is empty and linked with nothing; null ids count as no
@@ -37,6 +41,8 @@ from penprint.llm.graph import components
 
 SHINGLE = 3
 _CHUNK = 1024
+_CHUNK_BYTES = 32 << 20
+_BAND_MASK = 127  # low bits of an entry: its band
 _UNIT = 12 << 20
 _SAMPLE_SETS = 20_000
 
@@ -53,6 +59,8 @@ class Bands:
             # the next band starts so high that sets two bands apart cannot link
             edges.append(max(int(edges[-1] * ratio), edges[-1] * den // num) + 1)
         self.edges = np.array(edges)
+        if len(edges) > _BAND_MASK:
+            raise ValueError("too many size bands")
 
     def of(self, n: int) -> list[int]:
         """Bands whose index a set of n elements enters: its own and, if a set
@@ -70,8 +78,13 @@ class Bands:
         return int(self.apart(top, top * self.den // self.num))
 
     def bits(self, n: int) -> list[int]:
-        """Sketch width of each band of ``of(n)``: a power of two over 16 H."""
-        return [1 << max(6, (16 * self.most(b)).bit_length()) for b in self.of(n)]
+        """Sketch width of each band of ``of(n)``: a power of two over 4 H.  Sets
+        without common elements differ in half the bits, 2 H or more."""
+        return [1 << max(6, (4 * self.most(b)).bit_length()) for b in self.of(n)]
+
+    def chunk(self, band: int) -> int:
+        """Classes of a chunk: their sets stay within ``_CHUNK_BYTES``."""
+        return max(2, min(_CHUNK, _CHUNK_BYTES // (8 * int(self.edges[min(band + 1, len(self.edges) - 1)]))))
 
 
 def shingle_sets(buf, off, size: int):
@@ -103,7 +116,7 @@ def sketch(x: np.ndarray, bits: int) -> bytes:
 
 
 def segment_entries(x: np.ndarray, band: int, most: int, plan: dict) -> np.ndarray:
-    """Index entries of a set in one band."""
+    """Index entries of a set in one band, which their low bits name."""
     m = most + 1
     seg = ((mix(x, 23) >> U(32)) * U(m) >> U(32)).astype(np.int64)
     each = mix(x, 24)
@@ -117,7 +130,7 @@ def segment_entries(x: np.ndarray, band: int, most: int, plan: dict) -> np.ndarr
     if len(wide):
         hit = np.isin(seg, list(wide))
         out.append(mix(value[seg[hit]] - each[hit] + salt[seg[hit]], 25))
-    return np.concatenate(out)
+    return np.concatenate(out) & ~U(_BAND_MASK) | U(band)
 
 
 def allocate(cost: dict, width: dict, bands: Bands) -> dict:
@@ -138,19 +151,19 @@ def allocate(cost: dict, width: dict, bands: Bands) -> dict:
 
 
 def _scan(rows: DataFrame, fn, schema: str, size: int) -> DataFrame:
-    """mapInArrow over (key, set) of each document; fn(iterator of (key, set,
-    bytes)) yields record batches."""
+    """mapInArrow over the sets of each document; fn(iterator of ((_key, _at),
+    set, bytes)) yields record batches."""
     def run(batches):
         def each():
             for b in batches:
-                key = b.column(0).to_numpy(zero_copy_only=False)
-                buf, off = utf8(b.column(1))
+                key, at = (b.column(i).to_pylist() for i in (0, 1))
+                buf, off = utf8(b.column(2))
                 for i, j in slices(off):
                     part = off[i:j + 1] - off[i]
                     for d, x in shingle_sets(ascii_lower(buf[off[i]:off[j]]), part, size):
-                        yield int(key[i + d]), x, int(part[d + 1] - part[d])
+                        yield (key[i + d], at[i + d]), x, int(part[d + 1] - part[d])
         yield from fn(each())
-    return rows.select("_key", "_text").mapInArrow(run, schema)
+    return rows.select("_key", "_at", "_text").mapInArrow(run, schema)
 
 
 def _batch(schema: str, cols) -> pa.RecordBatch:
@@ -253,129 +266,161 @@ def members(rows: DataFrame, bands: Bands, plan: dict, n_buckets: int, size: int
             .applyInArrow(meet, "entry long, cls long"))
 
 
-def candidate_sets(rows: DataFrame, reps: DataFrame, bands: Bands, size: int) -> DataFrame:
-    """(cls, n, elements, and a sketch for each of its bands) of one document of
-    each class in ``reps`` (_key, cls)."""
-    schema = "cls long, n int, elements binary, own binary, lower binary"
+def candidate_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cls, elements) of one document of each class in ``wanted`` (_at, cls)."""
+    schema = "cls long, elements binary"
 
     def run(batches):
         def out():
             for b in batches:
-                buf, off = utf8(b.column(1))
-                want = b.column(2).to_pylist()
+                buf, off = utf8(b.column(0))
+                want = b.column(1).to_pylist()
                 for d, x in shingle_sets(ascii_lower(buf), off, size):
                     if class_of(x) == want[d]:
-                        marks = [sketch(x, k) for k in bands.bits(len(x))]
-                        yield (want[d], len(x), x.tobytes(), marks[0], marks[1] if len(marks) > 1 else None)
+                        yield want[d], x.tobytes()
         yield from _batches(out(), schema, 200)
 
-    return (rows.select("_key", "_text").join(reps.select("_key", "cls"), "_key")
-            .select("_key", "_text", "cls").mapInArrow(run, schema).dropDuplicates(["cls"]))
+    return (rows.select("_at", "_text").join(wanted.select("_at", "cls"), "_at")
+            .select("_text", "cls").mapInArrow(run, schema).dropDuplicates(["cls"]))
+
+
+def shared_stars(met: DataFrame) -> DataFrame:
+    """(a, b, band, more): each class b with the smallest one that shares an entry
+    with it, a row once for all their entries of a band.  ``more``: one of these
+    has a third class."""
+    least = met.groupBy("entry").agg(F.min("cls").alias("a"), F.count("*").alias("_n"))
+    return (met.join(least, "entry").where("cls <> a")
+            .groupBy("a", F.col("cls").alias("b"), F.col("entry").bitwiseAND(_BAND_MASK).cast("int").alias("band"))
+            .agg(F.max(F.col("_n") > 2).alias("more")))
+
+
+def _mark():
+    """The sketch of the band of the row."""
+    return F.when(F.col("band") == F.col("_own"), F.col("own")).otherwise(F.col("lower"))
 
 
-def star_pairs(met: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b): each class with the smallest one that shares an entry with it,
-    where the sketches do not rule out a link.  A pair that shares many entries
-    is one row before any sketch is fetched."""
-    least = met.groupBy("entry").agg(F.min("cls").alias("a"), F.max("cls").alias("_hi")).where("a <> _hi")
-    pairs = (met.join(least.select("entry", "a"), "entry").where("cls <> a")
-             .select("a", F.col("cls").alias("b")).distinct())
-    marks = ("n", "own", "lower")
-    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in marks))
+def star_pairs(stars: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): the pairs of ``stars`` whose sketches do not rule out a link."""
+    pairs = stars.select("a", "b", "band")
+    for c in "ab":
+        side = marks.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("band").alias("_own"), "own", "lower")
+        pairs = pairs.join(side, c).withColumn(f"{c}_mark", _mark()).drop("_own", "own", "lower")
 
     def run(batches):
         for b in batches:
-            keep = _near_pairs([b.column(i) for i in range(2, 8)], bands)
+            keep = _near_pairs([b.column(i) for i in range(2, 6)], bands)
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .select("a", "b", *(f"{c}_{m}" for c in "ab" for m in marks)).mapInArrow(run, "a long, b long"))
+    return (pairs.select("a", "b", "a_n", "a_mark", "b_n", "b_mark").mapInArrow(run, "a long, b long").distinct())
 
 
 def _near_pairs(columns, bands: Bands) -> pa.Array:
-    """Places of the pairs that sizes and the sketches of a common band leave open."""
-    n = [columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3)]
-    blobs = [[columns[i].to_pylist(), columns[i + 1].to_pylist()] for i in (1, 4)]
+    """Places of the pairs that sizes and sketches leave open."""
+    n = [columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2)]
+    blobs = [columns[i].to_pylist() for i in (1, 3)]
     near = np.minimum(*n) * bands.den >= np.maximum(*n) * bands.num
-    by_band: dict[int, list] = {}
+    by_width: dict[int, list] = {}
     for i in np.flatnonzero(near).tolist():
-        mine, theirs = list(bands.of(int(n[0][i]))), list(bands.of(int(n[1][i])))
-        band = next((x for x in mine if x in theirs), None)  # they share an entry of one
-        if band is None:
-            continue  # hashes of entries of different bands met
-        by_band.setdefault(band, []).append((i, blobs[0][mine.index(band)][i], blobs[1][theirs.index(band)][i]))
+        by_width.setdefault(len(blobs[0][i]), []).append(i)
     keep = []
-    for found in by_band.values():
-        at = np.array([i for i, _, _ in found])
-        x, y = (np.frombuffer(b"".join(f[k] for f in found), U).reshape(len(found), -1) for k in (1, 2))
+    for found in by_width.values():
+        at = np.array(found)
+        x, y = (np.frombuffer(b"".join(k[i] for i in found), U).reshape(len(found), -1) for k in blobs)
         apart = np.bitwise_count(x ^ y).sum(axis=1)
         keep.append(at[apart <= bands.apart(n[0][at], n[1][at])])
     return pa.array(np.sort(np.concatenate(keep)) if keep else np.empty(0, np.int64))
 
 
-def close_pairs(groups: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b): classes that share an entry, have different labels and whose
-    sketches do not rule out a link.  ``groups``: (entry, cls, label).  A group is
-    cut into chunks of about 1,024 classes, and each pair of chunks is a block."""
-    sizes = groups.groupBy("entry").agg(F.count("*").alias("_n"), F.min("label").alias("_lo"),
-                                        F.max("label").alias("_hi"))
-    dealt = (groups.join(sizes.where("_n > 1 AND _lo <> _hi"), "entry")
-             .withColumn("_k", F.ceil(F.col("_n") / _CHUNK).cast("int"))
-             .withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int"))
+def near_classes(groups: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """(block, cross, c, cls, label): the classes of a block that have a partner
+    with another label in it whose sketch does not rule out a link.  ``groups``:
+    (a, band, cls, label).  A group (a, band) is cut into chunks of about
+    ``_CHUNK`` classes, and each pair of chunks is a block."""
+    by = ["a", "band"]
+    sizes = groups.groupBy(*by).agg(F.count("*").alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    chunk = F.array(*[F.lit(bands.chunk(b)) for b in range(len(bands.edges))])
+    dealt = (groups.join(sizes.where("_n > 1 AND _lo <> _hi"), by)
+             .withColumn("_k", F.ceil(F.col("_n") / F.get(chunk, F.col("band"))).cast("int"))
+             .withColumn("c", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-             .withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")))
+             .withColumn("_i", F.least("c", "_o")).withColumn("_j", F.greatest("c", "_o")))
     # many blocks share a task: a call for each of them would cost more than its work
     n_parts = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = (dealt.withColumn("_part", F.pmod(F.xxhash64("entry", "_i", "_j"), F.lit(n_parts)))
-            .join(sets.select("cls", "n", "own", "lower"), "cls")
-            .select("_part", F.xxhash64("entry", "_i", "_j").alias("block"), (F.col("_i") != F.col("_j")).alias("cross"),
-                    "_c", "cls", "label", "n", "own", "lower"))
+    full = (dealt.withColumn("block", F.xxhash64("a", "band", "_i", "_j"))
+            .withColumn("_part", F.pmod(F.col("block"), F.lit(n_parts)))
+            .join(marks.select("cls", "n", F.col("band").alias("_own"), "own", "lower"), "cls")
+            .select("_part", "block", "band", (F.col("_i") != F.col("_j")).alias("cross"), "c", "cls", "label", "n",
+                    _mark().alias("mark")))
 
     def run(table):
-        out = [np.stack(o, axis=1) for o in _near_in_blocks(table, bands)]
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return full.groupBy("_part").applyInArrow(run, "a long, b long").distinct()
-
-
-def _near_in_blocks(table, bands: Bands):
-    """(classes, classes) of near pairs inside the blocks of a table.  Pairs are
-    compared for all blocks at once: those that stand k rows apart, for k = 1, 2, ..."""
-    block, cls, label = (table.column(c).to_numpy() for c in ("block", "cls", "label"))
-    n, chunk = table.column("n").to_numpy().astype(np.int64), table.column("_c").to_numpy()
-    cross = table.column("cross").to_numpy(zero_copy_only=False)
-    own, lower = table.column("own").to_pylist(), table.column("lower").to_pylist()
-    by_band: dict[int, list] = {}
-    for size in np.unique(n).tolist():
-        for b, marks in zip(bands.of(size), (own, lower)):
-            by_band.setdefault(b, []).append((np.flatnonzero(n == size), marks))
-
-    def near(x, y, marks):
-        ok = label[at[x]] != label[at[y]]
-        ok &= ~cross[at[x]] | (chunk[at[x]] != chunk[at[y]])
-        small, large = np.minimum(n[at[x]], n[at[y]]), np.maximum(n[at[x]], n[at[y]])
-        ok &= small * bands.den >= large * bands.num
-        x, y = x[ok], y[ok]
-        for i in range(0, len(x), 1 << 15):
-            u, v = x[i:i + (1 << 15)], y[i:i + (1 << 15)]
-            apart = np.bitwise_count(marks[u] ^ marks[v]).sum(axis=1)
-            close = apart <= bands.apart(n[at[u]], n[at[v]])
-            if close.any():
-                yield cls[at[u[close]]], cls[at[v[close]]]
-
-    for parts in by_band.values():
-        at = np.concatenate([x for x, _ in parts])
-        blobs = [m[i] for x, m in parts for i in x.tolist()]
-        order = np.lexsort((cls[at], block[at]))
-        at = at[order]
-        marks = np.frombuffer(b"".join(blobs[i] for i in order.tolist()), U).reshape(len(at), -1)
+        return table.select(["block", "cross", "c", "cls", "label"]).filter(pa.array(_near_in_blocks(table, bands)))
+
+    return full.groupBy("_part").applyInArrow(run, "block long, cross boolean, c int, cls long, label long")
+
+
+def _near_in_blocks(table, bands: Bands) -> np.ndarray:
+    """Which rows have a near partner in their block.  Pairs are compared for all
+    blocks of a band at once: those that stand k rows apart, for k = 1, 2, ..."""
+    block, cls, label, band = (table.column(c).to_numpy() for c in ("block", "cls", "label", "band"))
+    n, chunk = table.column("n").to_numpy().astype(np.int64), table.column("c").to_numpy()
+    cross, blobs = table.column("cross").to_numpy(zero_copy_only=False), table.column("mark").to_pylist()
+    found = np.zeros(len(block), bool)
+    for one in np.unique(band).tolist():
+        at = np.flatnonzero(band == one)
+        at = at[np.lexsort((cls[at], block[at]))]
+        marks = np.frombuffer(b"".join(blobs[i] for i in at.tolist()), U).reshape(len(at), -1)
         new = np.concatenate([[True], block[at][1:] != block[at][:-1]])
-        first = np.flatnonzero(new)
-        after = np.append(first, len(at))[np.cumsum(new)] - np.arange(len(at))  # rows of the block from here on
+        after = np.append(np.flatnonzero(new), len(at))[np.cumsum(new)] - np.arange(len(at))  # rows of the block from here on
         for k in range(1, int(after.max())):
             x = np.flatnonzero(after > k)
-            yield from near(x, x + k, marks)
+            u, v = at[x], at[x + k]
+            small, large = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
+            ok = (label[u] != label[v]) & (~cross[u] | (chunk[u] != chunk[v])) & (small * bands.den >= large * bands.num)
+            x, most = x[ok], bands.apart(n[u[ok]], n[v[ok]])
+            for i in range(0, len(x), 1 << 15):
+                p = x[i:i + (1 << 15)]
+                p = p[np.bitwise_count(marks[p] ^ marks[p + k]).sum(axis=1) <= most[i:i + (1 << 15)]]
+                found[at[p]] = found[at[p + k]] = True
+    return found
+
+
+def block_links(near: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): links between classes of a block (``near_classes``), exactly
+    verified; only those that join two labels not joined by others of the block."""
+    def run(table):
+        return pa.table(_spanning(table, bands), names=["a", "b"])
+
+    return near.join(sets, "cls").groupBy("block").applyInArrow(run, "a long, b long").distinct()
+
+
+def _spanning(table, bands: Bands) -> list[np.ndarray]:
+    table = table.sort_by("cls")
+    cls, chunk = table.column("cls").to_numpy(), table.column("c").to_numpy()
+    cross = bool(table.column("cross")[0].as_py())
+    group = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]  # labels, then what they join to
+    sets = [np.frombuffer(x, U) for x in table.column("elements").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    # rows that hold each element, so the sizes of a row's intersections are one count
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(ids, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    ends = np.cumsum(n)
+    out = [[], []]
+    for i in range(len(sets) - 1):
+        own = ids[ends[i] - n[i]:ends[i]]
+        many = first[own + 1] - first[own]
+        at = np.arange(int(many.sum())) + np.repeat(first[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        both = np.bincount(holder[at], minlength=len(sets))
+        link = (bands.den * both >= bands.num * (n[i] + n - both)) & (group != group[i])
+        link[:i] = False
+        if cross:
+            link &= chunk != chunk[i]
+        j = np.flatnonzero(link)
+        if len(j):
+            joined, one = np.unique(group[j], return_index=True)
+            out[0].append(np.full(len(one), cls[i])), out[1].append(cls[j[one]])
+            group[np.isin(group, joined)] = group[i]
+    return [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -402,26 +447,38 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null for an empty set."""
     spark = docs.sparkSession
     bands = Bands(num, den)
-    rows = keyed(docs, id_col, text_col).select("_id", "_key", "_text")
+    rows = keyed(docs, id_col, text_col).select("_key", F.xxhash64("_key", "_text").alias("_at"), "_text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(2 * parts, int(text_bytes(docs, text_col) / 24e6) + 1)
+    schema = "_key long, _at long, cls long, n int, band int, own binary, lower binary"
 
     def measure(each):
-        yield from _batches(((k, class_of(x), len(x)) for k, x, _ in each), "_key long, cls long, n int", 5000)
+        def out():
+            for at, x, _ in each:
+                marks = [sketch(x, k) for k in bands.bits(len(x))] if len(x) else []
+                yield (*at, class_of(x), len(x), bands.of(len(x))[0] if marks else None,
+                       marks[0] if marks else None, marks[1] if len(marks) > 1 else None)
+        yield from _batches(out(), schema, 500)
 
-    base = saved(_scan(rows, measure, "_key long, cls long, n int", size))
+    base = saved(_scan(rows, measure, schema, size))
     plan = plan_segments(rows, base.count(), bands, size)
     met = saved(members(rows, bands, plan, n_buckets, size))
-    reps = (base.where("n > 0").join(met.select("cls").distinct(), "cls")
-            .groupBy("cls").agg(F.min("_key").alias("_key")))
-    sets = saved(candidate_sets(rows, reps, bands, size))
-    few = parts_for(50 * sets.count())
-    first = saved(verified(star_pairs(met, sets, bands), sets, bands)
-                  .coalesce(few))
+    marks = saved(base.where("n > 0").join(met.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+                  .drop("_key"))
+    stars = saved(shared_stars(met))
+
+    def sets_of(classes):
+        return saved(candidate_sets(rows, marks.join(classes.distinct(), "cls", "left_semi"), size))
+
+    pairs = saved(star_pairs(stars, marks, bands))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    first = saved(verified(pairs, sets, bands).coalesce(parts_for(50 * pairs.count())))
     roots = components(first)
-    labelled = (met.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-                .select("entry", "cls", F.coalesce("root", "cls").alias("label")))
-    rest = saved(verified(close_pairs(labelled, sets, bands), sets, bands).coalesce(few))
+    groups = (stars.where("more").select("a", "band", F.col("b").alias("cls"))
+              .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+              .select("a", "band", "cls", F.coalesce("root", "cls").alias("label")))
+    near = saved(near_classes(groups, marks, bands))
+    rest = saved(block_links(near, sets_of(near.select("cls")), bands))
     links = first.unionByName(rest)
     roots = components(links)
     own = F.when(F.col("_key") != F.lit(-(1 << 63)), F.col("_key"))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,36 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160))
     assert graph.components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_blocks_return_a_forest_of_links():
+    """Near copies in one block: all pairs link, one row fewer than classes leaves."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 60, 400).astype(np.uint64)
+    sets = [np.unique(np.append(base, r.integers(0, 1 << 60, 4).astype(np.uint64))) for _ in range(50)]
+    sets += [np.unique(r.integers(0, 1 << 60, 300).astype(np.uint64)) for _ in range(5)]  # linked with nothing
+    table = pa.table({"block": [1] * 55, "cross": [False] * 55, "c": [0] * 55, "cls": list(range(55)),
+                      "label": [0] * 10 + list(range(10, 55)), "elements": [x.tobytes() for x in sets]})
+    a, b = jaccard._spanning(table, jaccard.Bands(90, 100))
+    assert len(a) == 40  # ten of the fifty have one label already
+    root = list(table.column("label").to_pylist())
+    for x, y in zip(a.tolist(), b.tolist()):
+        root = [root[x] if k == root[y] else k for k in root]
+    assert len(set(root[:50])) == 1 and len(set(root[50:]) | {root[0]}) == 6
+
+
+def test_sets_are_fetched_only_for_open_pairs(make, monkeypatch):
+    """Texts that share an index entry and nothing else send no sets."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 10 ** 9, 30))) for i in range(150)]
+    rows += [(1000, rows[0][1] + " one"), (1001, "a b c d e f")]
+    asked, fetch = [], jaccard.candidate_sets
+
+    def counted(docs, wanted, size):
+        asked.append(wanted.count())
+        return fetch(docs, wanted, size)
+
+    monkeypatch.setattr(jaccard, "candidate_sets", counted)
+    got = jaccard.link_documents(make(rows), num=90, den=100).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute(rows, 90, 100)
+    assert asked[0] >= 2 and sum(asked) < 20
