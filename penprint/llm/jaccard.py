@@ -11,6 +11,14 @@ segment by its content would meet in large groups, the segment is skipped and
 the cheapest ones take t = 1 instead (cost-based allocation).  Any allocation
 finds every link; the costs only choose among them.
 
+Some contents meet by chance however the thresholds are chosen: above all the
+empty one, which a fixed share of all sets has in each segment, so its entries
+grow with the corpus.  A band therefore has ``spare`` segments more than the sum
+needs, and each set leaves out its most shared entries: as many segments as it
+has beyond its own H.  Two linked sets share more entries than either leaves
+out, and both leave out by the same order (the number of classes that share an
+entry), so the least shared entry that they have in common stays in both.
+
 Copies are one class from the start.  Classes that share an index entry are
 candidates.  Parity sketches (bitmaps whose Hamming distance never exceeds the
 size of the symmetric difference, so nothing linked is lost) go first: the whole
@@ -33,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from penprint.llm.arrays import U, ascii_lower, mix, rolling, slices, utf8, word_hashes, words
 from penprint.llm.frames import keyed, parts_for, saved, text_bytes
@@ -43,6 +51,7 @@ SHINGLE = 3
 _CHUNK = 1024
 _CHUNK_BYTES = 32 << 20
 _BAND_MASK = 127  # low bits of an entry: its band
+_POPULAR = 4  # an entry that more classes share may be left out
 _UNIT = 12 << 20
 _SAMPLE_SETS = 20_000
 
@@ -77,6 +86,21 @@ class Bands:
         top = int(self.edges[band + 1]) - 1
         return int(self.apart(top, top * self.den // self.num))
 
+    def segments(self, band: int) -> int:
+        """Segments of a band: one more than H, and the spare ones.  A band whose
+        links are between equal sets has none."""
+        most = self.most(band)
+        return most + 1 + 2 + most // 16 if most else 0
+
+    def spare(self, n: int, band: int) -> int:
+        """Segments beyond those that a set of n elements needs in a band of
+        ``of(n)``: its partners there have at most ``partner`` elements."""
+        return self.segments(band) - 1 - int(self.apart(n, self._partner(n, band)))
+
+    def _partner(self, n: int, band: int) -> int:
+        most, top = n * self.den // self.num, int(self.edges[band + 1]) - 1
+        return most if n <= top else min(most, top)
+
     def bits(self, n: int) -> list[int]:
         """Sketch width of each band of ``of(n)``: a power of two over 4 H.  Sets
         without common elements differ in half the bits, 2 H or more."""
@@ -193,8 +217,8 @@ def plan_segments(rows: DataFrame, n_docs: int, bands: Bands, size: int) -> dict
                 if len(x):
                     c = class_of(x)
                     for b in bands.of(len(x)):
-                        m = bands.most(b) + 1
-                        if m > 1:
+                        m = bands.segments(b)
+                        if m:
                             seg = ((mix(x, 23) >> U(32)) * U(m) >> U(32)).astype(np.int64)
                             value = np.zeros(m, U)
                             np.add.at(value, seg, mix(x, 24))
@@ -208,7 +232,7 @@ def plan_segments(rows: DataFrame, n_docs: int, bands: Bands, size: int) -> dict
     cost, width = {}, {}
     for r in got:
         if r.b not in cost:
-            cost[r.b] = np.zeros(bands.most(r.b) + 1)
+            cost[r.b] = np.zeros(bands.segments(r.b))
             width[r.b] = int(bands.edges[r.b + 1]) / len(cost[r.b])
         cost[r.b][r.s] = r.cost
     return allocate(cost, width, bands)
@@ -239,8 +263,8 @@ def members(rows: DataFrame, bands: Bands, plan: dict, n_buckets: int, size: int
             if len(x):
                 c = class_of(x)
                 for b in bands.of(len(x)):
-                    if bands.most(b):
-                        e = segment_entries(x, b, bands.most(b), plan)
+                    if bands.segments(b):
+                        e = segment_entries(x, b, bands.segments(b) - 1, plan)
                         entry.append(e), cls.append((c, len(e)))
             if got >= _UNIT:
                 if entry:
@@ -266,6 +290,33 @@ def members(rows: DataFrame, bands: Bands, plan: dict, n_buckets: int, size: int
             .applyInArrow(meet, "entry long, cls long"))
 
 
+def rarest(met: DataFrame, sizes: DataFrame, bands: Bands, plan: dict) -> DataFrame:
+    """``met`` without the most shared entries of each class in each band, as far
+    as its spare segments allow.  ``sizes``: (cls, n), a row for each class.  Only
+    entries of more than ``_POPULAR`` classes go: these come first in the order,
+    so what goes is its beginning either way.  In a band with deletions an entry
+    may stand for a segment of two."""
+    many = met.groupBy("entry").agg(F.count("*").alias("_many")).where(F.col("_many") > _POPULAR)
+    found = met.join(many, "entry", "left")
+    places = range(len(bands.edges) - 1)
+    band = F.col("entry").bitwiseAND(_BAND_MASK).cast("int")
+
+    def of_band(values):
+        return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), band)
+
+    top = of_band(bands.edges[1:] - 1)
+    n = F.col("n").cast("long")
+    partner = F.floor(n * bands.den / bands.num)
+    partner = F.when(n > top, F.least(partner, top)).otherwise(partner)
+    apart = F.floor((n + partner) * (bands.den - bands.num) / (bands.den + bands.num))
+    spare = of_band([bands.segments(b) for b in places]) - 1 - apart
+    cost = of_band([2 if b in plan else 1 for b in places])
+    order = Window.partitionBy("cls", band).orderBy(F.col("_many").desc(), "entry")
+    popular = (found.where("_many IS NOT NULL").join(sizes, "cls")
+               .withColumn("_spent", F.row_number().over(order) * cost).where(F.col("_spent") > spare))
+    return found.where("_many IS NULL").select("entry", "cls").unionByName(popular.select("entry", "cls"))
+
+
 def candidate_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(cls, elements) of one document of each class in ``wanted`` (_at, cls)."""
     schema = "cls long, elements binary"
@@ -465,7 +516,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = saved(members(rows, bands, plan, n_buckets, size))
     marks = saved(base.where("n > 0").join(met.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
                   .drop("_key"))
-    stars = saved(shared_stars(met))
+    stars = saved(shared_stars(saved(rarest(met, marks.select("cls", "n"), bands, plan))))
 
     def sets_of(classes):
         return saved(candidate_sets(rows, marks.join(classes.distinct(), "cls", "left_semi"), size))

@@ -145,3 +145,64 @@ def test_sets_are_fetched_only_for_open_pairs(make, monkeypatch):
     got = jaccard.link_documents(make(rows), num=90, den=100).collect()
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute(rows, 90, 100)
     assert asked[0] >= 2 and sum(asked) < 20
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_least_shared_entries_hold_every_link(spark, monkeypatch, num, den):
+    """Sets as far apart as a link allows still share an entry once each has
+    left out its most shared ones, however many classes share them."""
+    monkeypatch.setattr(jaccard, "_POPULAR", 1)
+    r = np.random.default_rng(12)
+    bands = jaccard.Bands(num, den)
+    sets, pairs, met, plan = [], [], [], {}
+    for _ in range(150):
+        n = int(r.integers(1, 200))
+        x = r.integers(0, 1 << 60, n).astype(np.uint64)
+        gone = int(r.integers(0, n + 1))
+        while num * (n + (more := int(r.integers(0, n + 1)))) > den * (n - gone):
+            gone = gone // 2 if more else max(0, gone - 1)
+        y = np.concatenate([x[gone:], r.integers(0, 1 << 60, more).astype(np.uint64)])
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [np.unique(x), np.unique(y)]
+    for band in range(8, 12):
+        plan[band] = ((0, 1), (2, 3))
+    for c, x in enumerate(sets):
+        for b in bands.of(len(x)):
+            if bands.segments(b):
+                assert bands.spare(len(x), b) >= 0
+                met += [(e, c) for e in jaccard.segment_entries(x, b, bands.segments(b) - 1, plan).view(np.int64).tolist()]
+    table = spark.createDataFrame(met, "entry long, cls long")
+    sizes = spark.createDataFrame([(c, len(x)) for c, x in enumerate(sets)], "cls long, n int")
+    left = {}
+    for e, c in jaccard.rarest(table, sizes, bands, plan).collect():
+        left.setdefault(c, set()).add(e)
+    assert sum(map(len, left.values())) < 0.9 * len(met)
+    checked = 0
+    for a, b in pairs:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if both < len(sets[a]) + len(sets[b]) - both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            assert left[a] & left[b], (len(sets[a]), len(sets[b]))
+            checked += 1
+    assert checked > 60
+
+
+def test_chance_meetings_grow_no_faster_than_the_texts(spark):
+    """Unrelated sets share empty segments: four times the sets made sixteen
+    times the pairs in groups."""
+    r = np.random.default_rng(13)
+    bands = jaccard.Bands(80, 100)
+    pairs = {"all": [], "rarest": []}
+    for n in (200, 800):
+        sets = [np.unique(r.integers(0, 1 << 60, int(r.integers(180, 260))).astype(np.uint64)) for _ in range(n)]
+        met = pa.table({"entry": pa.array([], pa.int64()), "cls": pa.array([], pa.int64())})
+        for c, x in enumerate(sets):
+            for b in bands.of(len(x)):
+                e = jaccard.segment_entries(x, b, bands.segments(b) - 1, {}).view(np.int64)
+                met = pa.concat_tables([met, pa.table({"entry": e, "cls": np.full(len(e), c)})])
+        met = spark.createDataFrame(met.to_pandas())
+        sizes = spark.createDataFrame([(c, len(x)) for c, x in enumerate(sets)], "cls long, n int")
+        for name, one in (("all", met), ("rarest", jaccard.rarest(met, sizes, bands, {}))):
+            groups = jaccard.shared_stars(one).where("more").groupBy("a", "band").count()
+            pairs[name].append(groups.select(F.sum(F.expr("count * (count - 1)"))).first()[0] or 0)
+    assert pairs["all"][1] > 10 * pairs["all"][0] > 0, pairs
+    assert pairs["rarest"][1] <= 6 * pairs["rarest"][0] + 1000, pairs
