@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from penprint.llm import decontaminate, jaccard, language, packing, suffixes
-from penprint.llm.frames import saved
+from penprint.llm.frames import bounded_batches, saved
 
 _NONE = 1 << 62
 
@@ -29,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can be told: those without a letter and those
     whose nearest codeword is ambiguous go.  Learned from the labelled rows;
     without any, only documents without a letter go."""
+    bounded_batches(spark)
     model = language.train(docs)
     return language.keep_identified(docs, model)
 
@@ -37,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of linked documents: the one with the smallest
     id, once if its row is repeated.  Linked are sets of five-word shingles with
     a similarity of 0.8 or more; op6's query has a contract of its own."""
+    bounded_batches(spark)
     rows = docs.withColumn("__id", _known())
     links = jaccard.link_documents(rows.select("__id", "text"), "__id", size=5, num=80, den=100)
     kept = (links.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id"))
@@ -67,6 +69,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into training sequences."""
+    bounded_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -154,11 +154,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                               [c.split()[0] for c in OUT.split(", ")])
 
         for b in batches:
-            all_ids, all_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(all_ids), 256):
+            for at in range(0, b.num_rows, 256):
                 rows = []
-                texts = [t or "" for t in all_texts[at:at + 256]]
-                for doc_id, text, ids in zip(all_ids[at:at + 256], texts, encode(texts)):
+                doc_ids, texts = (c.to_pylist() for c in b.slice(at, 256).columns)
+                texts = [t or "" for t in texts]
+                for doc_id, text, ids in zip(doc_ids, texts, encode(texts)):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     lossy = len(ids)
                     if prompt_mark and prompt_mark in text:

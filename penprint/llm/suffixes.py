@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from penprint.llm.arrays import BYTE_CODES, U, mix, rolling, slices, sliding_min, utf8
-from penprint.llm.frames import NULL_KEY, keyed, saved, text_bytes
+from penprint.llm.frames import NULL_KEY, bounded_batches, keyed, saved, text_bytes
 
 WIDTH = 100
 CORE = 40
 _UNIT = 12 << 20
 _PIECE = 4 << 20
+_SLICE = 1 << 18  # text bytes hashed at a time: ten arrays of 8 bytes for each
 _SAMPLE_BYTES = 16 << 20
 _PER_BUCKET = 64
 
@@ -78,7 +79,7 @@ def cells(buf: np.ndarray, off: np.ndarray, width: int, core: int):
 def _cells_of(buf, off, width, core):
     """Cells of a slice of documents, long documents piece by piece:
     (document index, place in the document, n, t0, t1)."""
-    for i, j in slices(off, 1 << 20):
+    for i, j in slices(off, _SLICE):
         if j == i + 1 and off[j] - off[i] > _PIECE:
             whole = buf[off[i]:off[j]]
             for s in range(0, len(whole) - width + 1, _PIECE):
@@ -404,6 +405,7 @@ def repeated_marks(docs: DataFrame, id_col: str, text_col: str, width: int, core
     core = core or max(1, width * CORE // WIDTH)
     if not 1 <= core <= width <= 250:
         raise ValueError("width must lie in [1, 250] and core in [1, width]")
+    bounded_batches(spark)
     total = text_bytes(docs, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, int(total / 24e6) + 1)

@@ -85,9 +85,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                                               [c.split()[0] for c in ROW.split(", ")])
 
         for b in batches:
-            own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(own), 256):
-                for i, x in zip(own[at:at + 256], encode(texts[at:at + 256])):
+            for at in range(0, b.num_rows, 256):
+                own, texts = (c.to_pylist() for c in b.slice(at, 256).columns[:2])
+                for i, x in zip(own, encode(texts)):
                     x = np.append(x, np.uint32(end_id))
                     if size and size + len(x) > SEGMENT:
                         yield flush()

@@ -75,3 +75,23 @@ def test_encoder_equals_the_tokenizer(hostile):
            "a <|endoftext|> b", "tab\tand nbsp", "a\x1cb c", "end\n", "\nstart", "x\ny\nz"]
     texts = [t for _, t in hostile if t is not None] + odd
     assert [x.tolist() for x in e(texts)] == [e.whole(t).tolist() if t else [] for t in texts]
+
+
+def test_tables_stay_bounded_and_go_when_idle(monkeypatch):
+    """A worker serves other steps after the packing, so it may not hold on to the
+    tables: they are bounded, and dropped when idle."""
+    import time
+    from penprint.llm import tokens
+    monkeypatch.setattr(tokens, "_MOST", 50)
+    e = tokens.Encoder(default_path())
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}x{i}, 🙂{i}" if i % 2 else f"b{chr(97 + j)}c{i}!" for j in range(9))
+             for i in range(120)]
+    assert [x.tolist() for x in e(texts + texts)] == [e.whole(t).tolist() for t in texts + texts]
+    for table in (e.pieces, e.words):
+        assert len(table) + len(table.old) < 4 * 50
+    monkeypatch.setattr(tokens, "_IDLE", 0.2)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    held = tokens.encoder(default_path())
+    assert tokens.encoder(default_path()) is held
+    time.sleep(1)
+    assert not tokens._ENCODERS and held(["a b"])[0].tolist() == held.whole("a b").tolist()

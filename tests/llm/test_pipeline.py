@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,24 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     out = corpus_pipeline.identify_language(spark, docs, SF001)
     assert out.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_texts_go_to_python_in_small_batches(spark, make):
+    """A batch of texts is held outside the heap, twice while it grows."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "decontamination":  # no Python
+            continue
+        own = spark.newSession()
+        docs = own.createDataFrame(make([(1, "one text"), (2, "two texts here")]).collect(), make([]).schema)
+        stage(own, docs, "")
+        got = own.range(0, 6000, 1, 1).selectExpr("repeat('x', 5000) t").mapInArrow(sizes, "n long").collect()
+        assert len(got) > 1 and max(r.n for r in got) < 6 << 20, name
+        chosen = spark.newSession()
+        chosen.conf.set(key, "1m")
+        stage(chosen, chosen.createDataFrame(docs.collect(), docs.schema), "")
+        assert chosen.conf.get(key) == "1m"
